@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.pieces import texts
 from tideline.llm.words import column, slices
@@ -310,7 +311,7 @@ def reader_of(lex: Lexicon) -> Reader:
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a score between 0 and 1 added; map-only. The model is a lexicon of bounded size and 17 weights."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add(out, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
