@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, language, pieces, quality_rules, secrets, toxicity
+from tideline.llm import decontaminate, language, pieces, quality_rules, secrets, substrings, toxicity
 from tideline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, labelled, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 #: Words of a text, as DuckDB splits them.
@@ -88,4 +93,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL}
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, s FROM (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM late),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce(k.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+           FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d SEMI JOIN lists USING (doc_id))
+           ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id) k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}
