@@ -75,24 +75,56 @@ def load(path: str) -> Vocabulary:
 
 
 class Encoder(dict):
-    """A memo from chunk to (number of ids, ids joined by commas, decoded text); misses are encoded."""
+    """A memo from chunk to (number of ids, ids joined by commas, decoded text); misses are encoded.
+
+    Inside, a token is a number: a piece's id, or a number past the vocabulary
+    for a character that has no piece and falls back to bytes.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
 
         super().__init__()
-        self.v = vocabulary
+        self.v = v = vocabulary
+        self.byte_of = {i: b for b, i in enumerate(v.byte_ids)}
+        self.pairs: dict[int, bool] = {}
+        self.chars: dict[str, int] = {}
+        size = len(v.text)
+        self.piece = list(v.text)
+        self.length = [len(t) for t in v.text]
+        self.shorter = [-1] * size  # the longest piece that a piece starts with
+        self.count, self.joined = [1] * size, [str(i) for i in range(size)]
+        self.shown = [self.unescaped([i]) for i in range(size)]
         self.auto = ahocorasick.Automaton()
-        for p in vocabulary.ids:
-            if len(p) > 1:
-                self.auto.add_word(p, len(p))
+        whole: dict[str, int] = {p: i for p, i in v.ids.items() if len(p) == 1}
+        for p in sorted(v.ids, key=len):
+            i = v.ids[p]
+            if len(p) == 1:
+                self.chars[p] = i
+            elif self.merged(p) == [p]:  # other pieces never come about by merging
+                whole[p] = i
+                self.auto.add_word(p, (i, len(p)))
+                self.shorter[i] = next((whole[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), -1)
+                if self.shorter[i] < 0:
+                    self.shorter[i] = self.char(p[0])
         self.auto.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        inner = {c for p in vocabulary.ids if len(p) > 1 for c in p}
+        inner = {c for p in v.ids if len(p) > 1 for c in p}
         bars = "".join(c for c in "\n\t\r" if c not in inner)
         self.cutter = re.compile(f"{SPACE}*[^{SPACE}{bars}]+|{SPACE}+" + (f"|[{bars}]+" if bars else ""))
-        self.byte_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
+
+    def char(self, c: str) -> int:
+        """The token of a single character."""
+        got = self.chars.get(c)
+        if got is None:
+            ids = [self.v.byte_ids[b] for b in c.encode()]
+            got = self.chars[c] = len(self.piece)
+            self.piece.append(c)
+            self.length.append(1)
+            self.shorter.append(-1)
+            self.count.append(len(ids))
+            self.joined.append(",".join(map(str, ids)))
+            self.shown.append(self.unescaped(ids))
+        return got
 
     def merged(self, text: str) -> list[str]:
         """Merge from single characters: the best-scored pair first, the leftmost of equals."""
@@ -108,66 +140,66 @@ class Encoder(dict):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 4 * MEMO:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(left + right) == [left, right]
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the texts of two tokens, merged afresh, give the two tokens."""
+        if len(self.pairs) > 2 * MEMO:
+            self.pairs.clear()
+        a, b = self.piece[left], self.piece[right]
+        got = self.pairs[left << 24 | right] = self.merged(a + b) == [a, b]
         return got
 
-    def stands(self, piece: str) -> bool:
-        got = self.whole.get(piece)
-        if got is None:
-            got = self.whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return got
-
-    def split(self, s: str) -> list[str]:
-        """The merge-order pieces of s, by backtracking."""
-        n = len(s)
-        ends: list[list[int]] = [[i + 1] for i in range(n)]
-        for last, size in self.auto.iter(s):
-            ends[last - size + 1].append(last + 1)
-        failed = 0
-        out: list[str] = []
-        pos = 0
-        while pos < n:
-            options, step = ends[pos], 0
-            while options:
-                end = options.pop()  # longest first
-                if failed >> end & 1:
-                    continue
-                piece = s[pos:end]
-                if self.stands(piece) and (not out or self.fits(out[-1], piece)):
-                    step = end
-                    break
-            if step:
-                out.append(s[pos:step])
-                pos = step
+    def split(self, s: str) -> list[int]:
+        """The merge-order tokens of s, by backtracking."""
+        n, chars = len(s), self.chars
+        best = [chars.get(c) for c in s]
+        if None in best:
+            best = [self.char(c) for c in s]
+        for last, (token, size) in self.auto.iter(s):
+            best[last - size + 1] = token  # longer ones come later
+        length, shorter, pairs = self.length, self.shorter, self.pairs
+        out: list[int] = []
+        failed = pos = 0
+        token, left = best[0], -1
+        while True:
+            end = pos + length[token]
+            if failed and failed >> end & 1:
+                fit = False
+            elif left < 0:
+                fit = True
             else:
+                fit = pairs.get(left << 24 | token)
+                if fit is None:
+                    fit = self.fits(left, token)
+            if fit:
+                out.append(token)
+                if end == n:
+                    return out
+                pos, left, token = end, token, best[end]
+                continue
+            token = shorter[token]
+            while token < 0:
                 if not out:
                     raise ValueError(f"no encoding of {s[:50]!r}")
                 failed |= 1 << pos
-                pos -= len(out.pop())
-        return out
-
-    def ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            i = self.v.ids.get(p)
-            if i is None:
-                out.extend(self.v.byte_ids[b] for b in p.encode())
-            else:
-                out.append(i)
-        return out
+                last = out.pop()
+                pos -= length[last]
+                token = shorter[last]
+            left = out[-1] if out else -1
 
     def chunks(self, text: str) -> list[str]:
         """Parts of the escaped text that no merge crosses."""
         return self.cutter.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in self.ids(self.split(c))]
+        size = len(self.v.text)
+        out: list[int] = []
+        for c in self.chunks(text):
+            for t in self.split(c):
+                if t < size:
+                    out.append(t)
+                else:
+                    out.extend(self.v.byte_ids[b] for b in self.piece[t].encode())
+        return out
 
     def unescaped(self, ids: list[int]) -> str:
         """Decoded text, with the dummy prefix still there."""
@@ -192,8 +224,9 @@ class Encoder(dict):
         return text[1:] if text.startswith(" ") else text
 
     def __missing__(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.ids(self.split(chunk))
-        got = (len(ids), ",".join(map(str, ids)), self.unescaped(ids))
+        tokens = self.split(chunk)
+        count, joined, shown = self.count, self.joined, self.shown
+        got = (sum([count[t] for t in tokens]), ",".join([joined[t] for t in tokens]), "".join([shown[t] for t in tokens]))
         if len(chunk) <= 64:
             if len(self) >= MEMO:
                 self.clear()
