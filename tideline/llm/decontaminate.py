@@ -292,6 +292,7 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = 0.5, window: int
     Texts without a hit, null texts too, stay as they are.
     """
     m = matches(docs, items, window=window).where(hit_words() <= F.col("__n") * coverage)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -305,7 +306,7 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = 0.5, window: int
                         new[i] = _without(data[offsets[i] : offsets[i + 1]].tobytes(), w, i, int(offsets[i]), h)
                 at = b.schema.get_field_index("text")
                 b = pa.RecordBatch.from_arrays([pa.array(new, c.type) if k == at else c for k, c in enumerate(b.columns)], schema=b.schema)
-            yield b.select(docs.columns)
+            yield b.select(names)
 
     return m.mapInArrow(run, docs.schema)
 
