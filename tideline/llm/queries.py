@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, jaccard, language, pieces, quality_rules, secrets, substrings, toxicity
+from tideline.llm import decontaminate, jaccard, language, mixing, pieces, quality_rules, secrets, substrings, toxicity
 from tideline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(7) == 2)
+    rows = mixing.score(docs, ~F.col("held_out"), keep=("held_out",))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: Words of a text, as DuckDB splits them.
