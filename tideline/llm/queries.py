@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, jaccard, language, mixing, pieces, quality_rules, secrets, substrings, toxicity
+from tideline.llm import cotraining, decontaminate, jaccard, language, mixing, pieces, quality_rules, secrets, substrings, toxicity
 from tideline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(5) == 3)
+    model = cotraining.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 3))
+    rows = cotraining.score(docs, model, keep=("doc_id", "held_out"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(7) == 2)
     rows = mixing.score(docs, ~F.col("held_out"), keep=("held_out",))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_lm_score": op10_lm_score,
 }
 
