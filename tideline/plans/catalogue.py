@@ -45,7 +45,7 @@ def td_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def td_user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = signals.widened(signals.user_samples(spark, sf_dir))
-    return rounded(ex.extract(wide, list(FEATURES["time_domain"])), digits=9)
+    return rounded(ex.extract(wide, list(FEATURES["time_domain"])), digits=8)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,8 +188,8 @@ ORACLE_SQL: dict[str, str] = {
     "td_zero_crossing": f"WITH {_samples()}, {_FLIPS} SELECT seg, {_r('avg(rate)')} AS mean_zero_crossing_rate FROM zc GROUP BY seg",
     "td_hjorth": f"{_hjorth(_DIFF)} SELECT seg, {_r('avg(s0 * s0)')} AS hjorth_activity, {_r('avg(mob)')} AS hjorth_mobility, {_r(_CX_MOB)} AS hjorth_complexity FROM m GROUP BY seg",
     "td_user_series": f"""{_hjorth(_USER_DIFF, ', avg(abs(v)) AS a, max(v) - min(v) AS pp, sqrt(avg(v * v)) AS rms')}, {_FLIPS}
-SELECT seg, {_r('avg(a)', 9)} AS mean_abs_amplitude, {_r('avg(s0)', 9)} AS mean_channel_std, {_r('avg(pp)', 9)} AS mean_peak_to_peak, {_r('avg(rms)', 9)} AS mean_rms,
-  {_r('avg(rate)', 9)} AS mean_zero_crossing_rate, {_r('avg(s0 * s0)', 9)} AS hjorth_activity, {_r('avg(mob)', 9)} AS hjorth_mobility, {_r(_CX_MOB, 9)} AS hjorth_complexity
+SELECT seg, {_r('avg(a)', 8)} AS mean_abs_amplitude, {_r('avg(s0)', 8)} AS mean_channel_std, {_r('avg(pp)', 8)} AS mean_peak_to_peak, {_r('avg(rms)', 8)} AS mean_rms,
+  {_r('avg(rate)', 8)} AS mean_zero_crossing_rate, {_r('avg(s0 * s0)', 8)} AS hjorth_activity, {_r('avg(mob)', 8)} AS hjorth_mobility, {_r(_CX_MOB, 8)} AS hjorth_complexity
 FROM m JOIN zc USING (seg, ch) GROUP BY seg""",
     "seg_statistics": f"WITH {_LABELLED}, tr AS (SELECT trial, arg_min(label, segment) AS label, count(*) AS n FROM l GROUP BY trial) SELECT label, count(*) AS n_trials, CAST(sum(n) AS BIGINT) AS n_segments FROM tr GROUP BY label",
     "seg_merge_within": _merged("PARTITION BY trial"),
