@@ -141,19 +141,28 @@ class FMIndex:
         return np.where(self.symbols[at] == flat, at + 1, 0)
 
     def search(self, codes: np.ndarray, start: np.ndarray, length: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of codes[start:start+length]: which patterns have `least` occurrences, and their intervals."""
-        live = np.arange(len(start))
-        c = codes[start + length - 1]
-        low, high = self.before[c], self.before[c + 1]
+        """Backward search of codes[start:start+length].
+
+        Returns intervals [low, high), and how many words from the end were
+        matched with `least` occurrences; less than length where it broke off.
+        """
+        n = len(start)
+        all_low, all_high, reached = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, length)
+        live = np.arange(n)
+        low = high = np.zeros(0, np.int64)
         for j in range(length - 1, -1, -1):
-            if j < length - 1:
-                c = codes[start[live] + j]
+            c = codes[start[live] + j]
+            if j == length - 1:
+                low, high = self.before[c], self.before[c + 1]
+            else:
                 both = self.occurrences(np.concatenate((c, c)), np.concatenate((low, high)))
                 low, high = self.before[c] + both[: len(c)], self.before[c] + both[len(c) :]
             ok = (high - low >= least) & (c > 0)
             if not ok.all():
+                reached[live[~ok]] = length - 1 - j
                 live, low, high = live[ok], low[ok], high[ok]
-        return live, low, high
+        all_low[live], all_high[live] = low, high
+        return all_low, all_high, reached
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -181,7 +190,7 @@ def repeated_windows(flat: np.ndarray, sizes: np.ndarray, doc: np.ndarray, pos:
     n_win = sizes - window + 1
     owner = np.repeat(np.arange(len(sizes)), n_win)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-    start = offset[owner] + nth
+    first_win = np.cumsum(n_win) - n_win
     own_doc, own_pos = doc[owner], pos[owner] + nth
     # one order of all window starts by (document, word); equal places get equal numbers
     order = np.lexsort((own_pos, own_doc))
@@ -197,13 +206,23 @@ def repeated_windows(flat: np.ndarray, sizes: np.ndarray, doc: np.ndarray, pos:
         index = FMIndex(flat[part], sizes[begin:stop])
         whole = begin == 0 and stop == len(sizes)
         codes = index.numbers(flat)
-        live, low, high = index.search(codes, start, window, least=2 if whole else 1)
         # the place of the window that starts at each text position of the index
         spot = np.full(len(index.suffix), np.iinfo(np.int64).max)
         inside = (owner >= begin) & (owner < stop)
         spot[index.offset[owner[inside] - begin] + nth[inside]] = place[inside]
-        found = _range_min(spot[index.suffix], low, high)
-        earliest[live] = np.minimum(earliest[live], found)
+        spot = spot[index.suffix]
+        # Each snippet's windows from left to right. Where a search breaks off at a word, no window that
+        # ends later and holds that word is found either: the next to ask for starts after it.
+        ask = np.arange(len(sizes))
+        at = np.zeros(len(sizes), np.int64)
+        while len(ask):
+            low, high, reached = index.search(codes, offset[ask] + at, window, least=2 if whole else 1)
+            hit = reached == window
+            win = first_win[ask[hit]] + at[hit]
+            earliest[win] = np.minimum(earliest[win], _range_min(spot, low[hit], high[hit]))
+            at = at + np.where(hit, 1, window - reached)
+            more = at < n_win[ask]
+            ask, at = ask[more], at[more]
         begin = stop
     mask = np.zeros(len(sizes), np.int64)
     np.add.at(mask, owner, np.where(earliest < place, np.int64(1) << nth, 0))
@@ -313,7 +332,7 @@ def covered(s: Snippets, masks: list[dict[tuple[int, int], int]], n: int) -> np.
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", real: bool = False) -> DataFrame:
     """One row a document: key, n_words, n_removed, kept_sha256; with real=True also kept_text."""
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("__id"), F.col(key).alias("__key"), F.col(text).alias("__text"))
-    found = _anchors(src.select("__id", "__text"))
+    found = written(_anchors(src.select("__id", "__text")), "anchors")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     occurs = found.join(twice.hint("merge"), "anchor", "left_semi")
     firsts = occurs.groupBy("anchor", "cls").agg(F.min(F.struct("doc", "pos")).alias("at")).select("at.doc", "at.pos", "cls", F.lit(True).alias("first"))
