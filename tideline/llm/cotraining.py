@@ -139,11 +139,12 @@ def _read(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], list]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
     """Learn from a bounded sample of labels' documents and of the others."""
     told = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("label"))
-    cols = (F.xxhash64(F.col(key).cast("string"), F.lit(5)).alias("h"), "text", "source", "lang", "n_chars", "label")
+    docs = docs.select(F.col(key).alias("__id"), "text", "source", "lang", "n_chars")
+    cols = (F.xxhash64(F.col("__id").cast("string"), F.lit(5)).alias("h"), "text", "source", "lang", "n_chars", "label")
     picked = _sample(told, "__key", LABELLED)  # about LABELLED rows of two numbers
-    views, y = _read(docs.join(F.broadcast(picked), F.col(key) == F.col("__key")).select(*cols))
-    ids = _sample(docs.select(key).where(F.col(key).isNotNull()), key, POOL + LABELLED).join(told, F.col(key) == F.col("__key"), "left_anti").distinct()
-    pool, _ = _read(docs.join(F.broadcast(ids.withColumnRenamed(key, "__key")), F.col(key) == F.col("__key")).withColumn("label", F.lit(0)).select(*cols))
+    views, y = _read(docs.join(F.broadcast(picked), F.col("__id") == F.col("__key")).select(*cols))
+    ids = _sample(docs.select("__id").where(F.col("__id").isNotNull()), "__id", POOL + LABELLED).join(told, F.col("__id") == F.col("__key"), "left_anti").distinct()
+    pool, _ = _read(docs.join(F.broadcast(ids.withColumnRenamed("__id", "__key")), F.col("__id") == F.col("__key")).withColumn("label", F.lit(0)).select(*cols))
     return cotrain(views, np.array(y, float), pool)
 
 

@@ -13,7 +13,7 @@ pairs.
 
 Words: A-Z lower-cased, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Null and empty
 texts have no words; items without words are never found. Items with equal
-text are all reported. Every row of the input gives one row, repeated rows
+text are all reported, an item without an id as an empty string. Every row of the input gives one row, repeated rows
 too. Items are collected only up to SHARD_CHARS characters at a time: a larger
 benchmark is dealt to several automata, and the documents pass them in turn.
 """
@@ -192,7 +192,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _shards(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
     """The items, at most SHARD_CHARS characters at once where no single item is longer."""
-    rows = items.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(F.length("t") > 0)
+    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where(F.length("t") > 0)
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 if total <= SHARD_CHARS else int(2 * total // SHARD_CHARS) + 1
     for k in range(n):

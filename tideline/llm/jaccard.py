@@ -359,5 +359,5 @@ def representatives(docs: DataFrame, s: Setting = NEAR, key: str = "doc_id", tex
 
     Rows with a null key, and repeated rows of the document that stays, stay.
     """
-    told = classified(docs, s, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(told.hint("merge"), F.col(key) == F.col("__gone"), "left_anti")
+    told = classified(docs, s, key, text).where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(told.hint("merge"), key, "left_anti").select(docs.columns)

@@ -108,9 +108,10 @@ class Parser:
         parts, roots, base = [], [], 0
         for n in self.names:
             t = suffix_table(self.rank[samples[n]], self.width)
-            fails = t < 0
-            root = np.where(t[0] < 0, 0, t[0])
-            t = np.where(fails, root[None, :], t) + base
+            # one more state, after a symbol that the sample lacks: whatever follows it starts a phrase
+            root = np.where(t[0] < 0, len(t), t[0])
+            fails = np.concatenate((t < 0, np.ones((1, self.width), bool)))
+            t = np.where(fails, root[None, :], np.concatenate((t, t[:1]))) + base
             parts.append(np.where(fails, -1 - t, t))  # negative: a phrase ended before this symbol
             roots.append(base)
             base += len(t)

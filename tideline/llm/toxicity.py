@@ -289,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     cut = {c: min(1 << 32, (most << 32) // max(1, size.get(c, 0))) for c, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))}
     picked = told.where(h < F.when(F.col("__label") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0])))
     # picked has about SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers whatever the input
-    rows = [(r[0], r[1]) for r in docs.join(F.broadcast(picked), F.col(key) == F.col("__key")).where(F.col(text).isNotNull()).select(text, "__label").collect()]
+    own = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    rows = [(r[0], r[1]) for r in own.join(F.broadcast(picked), F.col("__id") == F.col("__key")).select("__text", "__label").collect()]
     lex = lexicon(learned(rows))
     reader = Reader(lex)
     x = np.array([reader.counts(t) for t, _ in rows], float).reshape(-1, len(KINDS))
@@ -309,7 +310,8 @@ def reader_of(lex: Lexicon) -> Reader:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score between 0 and 1 added; map-only. The model is a lexicon of bounded size and 17 weights."""
+    """docs with a score between 0 and 1 added, in place of a column of that name; map-only."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
