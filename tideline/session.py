@@ -58,7 +58,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(at)
     atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._tideline_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by written() that nothing reads any more."""
+    _remove(df.sparkSession, df._tideline_at)
 
 
 def _remove(spark: SparkSession, at: str) -> None:
