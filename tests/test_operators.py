@@ -107,3 +107,35 @@ def test_custom_groups(spark):
     assert ex.group("twice") == ("twice_mean",)
     with pytest.raises(KeyError):
         ex.group("nope")
+
+
+def test_sample_sorted(spark):
+    got = [(r.trial, r.segment) for r in segments.sample_sorted(spark, {1: [5, 6, 7, 8], 2: [1]}, 2).collect()]
+    want = [(1, 5 + int(i)) for i in sorted(np.random.default_rng(43).choice(4, 2, replace=False))] + [(2, 1)]
+    assert got == want
+
+
+def test_columns(spark):
+    from tideline.functions import columns as C
+
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, 1e-9), (3.0, 2.0)], "a double, b double")
+    assert [r[0] for r in df.select(C.safe_ratio(F.col("a"), F.col("b"))).collect()] == [None, 100.0, 1.5]
+    assert df.select(C.phase_locking(F.col("a"), F.col("a"))).first()[0] == pytest.approx(1)
+    assert df.select(C.guarded_corr(F.lit(1.0), F.col("a"))).first()[0] == 0.0
+    assert df.select(C.guarded_corr(F.col("a"), 2 * F.col("a"))).first()[0] == pytest.approx(1)
+    assert df.select(C.knee_frequency(F.lit(8.0), F.lit(3.0))).first()[0] == pytest.approx(2)
+
+
+def test_api_and_command_line(spark, tmp_path):
+    from tideline import api
+
+    x = np.random.default_rng(2).standard_normal((4, 400))
+    out = api.calculate(x, 200.0, ["time_domain", "katz_fd"])
+    assert len(out) == 9 and out["mean_rms"] > 0
+    with pytest.raises(ValueError, match="array"):
+        api.calculate([1, 2])
+    rows = [(1, s, x[:, :100].tolist()) for s in range(4)]
+    spark.createDataFrame(rows, "trial long, segment long, eeg array<array<double>>").write.parquet(str(tmp_path / "in"))
+    api.main([str(tmp_path / "in"), str(tmp_path / "out"), "--groups", "time_domain", "microstate", "--merge", "2", "--channels", "F3,F4,O1,O2"])
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 2 and all(r.mean_rms > 0 and r.Microstate_0_timecov is not None and r.error is None for r in got)

@@ -54,6 +54,19 @@ def sample_exact(spark, trials: dict[int, list[int]], n: int, seed: int = 42) ->
     return spark.createDataFrame(rows, "trial long, segment long, drawn int")
 
 
+def sample_sorted(spark, trials: dict[int, list[int]], n: int | None, seed: int = 42, first: int = 1) -> DataFrame:
+    """n segments of each trial in their own order, drawn with a generator for each trial: seed + first + trials before."""
+    import numpy as np
+
+    rows = []
+    for k, t in enumerate(sorted(trials)):
+        segs = trials[t]
+        every = not n or n < 0 or len(segs) <= n
+        take = range(len(segs)) if every else sorted(np.random.default_rng(seed + first + k).choice(len(segs), n, replace=False))
+        rows += [(t, segs[i], j) for j, i in enumerate(take)]
+    return spark.createDataFrame(rows, "trial long, segment long, drawn int")
+
+
 def statistics(segments: DataFrame) -> DataFrame:
     """Segments of each label, where a trial counts with the label of its first segment."""
     trial = segments.groupBy("trial").agg(F.min_by("label", "segment").alias("label"), F.count(F.lit(1)).alias("n"))
