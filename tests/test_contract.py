@@ -21,7 +21,7 @@ def duck():
 
 
 def tidy(rows):
-    cell = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
+    cell = lambda v: (None if v != v else round(v, 5) + 0.0) if isinstance(v, float) else v
     return sorted((tuple((k, cell(r[k])) for k in sorted(r)) for r in rows), key=str)
 
 

@@ -27,9 +27,11 @@ def rounded(df: DataFrame, keys: tuple[str, ...] = ("seg",), digits: int = 6) ->
     return df.select(*keys, *[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
 
 
-def features(*names: str, length: int = 100, config: Config = SHORT) -> Query:
+def features(*names: str, length: int = 100, config: Config = SHORT, scale: float = 1.0) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         segs = signals.embedding_segments(spark, sf_dir, length)
+        if scale != 1.0:
+            segs = segs.withColumn("steps", F.transform("steps", lambda x: F.transform(x, lambda v: v * scale)))
         return rounded(ex.extract(segs, list(names), config, eeg="steps", by_time=True))
 
     return run
@@ -256,7 +258,7 @@ QUERIES: dict[str, Query] = {
     "composite_scores": all_of("composite"),
     "de_bands": features(*FEATURES["de_features"][:7]),
     "de_dasm": features(*[f for f in FEATURES["de_features"] if f.startswith("dasm")]),
-    "de_rasm": features(*[f for f in FEATURES["de_features"] if f.startswith("rasm")]),
+    "de_rasm": features(*[f for f in FEATURES["de_features"] if f.startswith("rasm")], scale=100.0),
     "de_dcau": features(*[f for f in FEATURES["de_features"] if f.startswith("dcau")]),
     "de_faa": features(*[f for f in FEATURES["de_features"] if f.startswith("faa")]),
     "cx_fractal": features("higuchi_fd", "katz_fd", "petrosian_fd"),
@@ -280,3 +282,7 @@ QUERIES: dict[str, Query] = {
     "wide_full_row": wide_full_row,
     "stream_windows": stream_windows,
 }
+
+#: All features that SQL can express, in one wide row.
+_SHOWN = [f for f in (n for fs in FEATURES.values() for n in fs) if not f.startswith(("Microstate", "plv", "rasm", "wavelet"))]
+QUERIES["wide_sql_row"] = features(*_SHOWN)

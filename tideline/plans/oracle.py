@@ -229,7 +229,7 @@ SELECT seg, {_r('ta')} AS theta_alpha_ratio, {_r('fb')} AS frontal_beta_ratio, {
   {_r('1 / (1 + exp(-2 * (ad - 0.5)))')} AS alertness_estimate, {_r('rel')} AS relaxation_index FROM q""",
     "de_bands": f"WITH {_DE} SELECT seg, " + ", ".join(f"{_r(f'''avg(CASE WHEN band = '{b[0]}' THEN de END)''')} AS de_{b[0]}" for b in BANDS) + " FROM de GROUP BY seg",
     "de_dasm": _pairs("dasm", SYMMETRIC_PAIRS, "x.de - y.de"),
-    "de_rasm": f"""WITH {_DE}, pr AS (SELECT * FROM {_values([tuple(p) for p in SYMMETRIC_PAIRS], 'a, b')}),
+    "de_rasm": f"""WITH {_DE.replace('greatest(bp, 1e-15)', 'greatest(bp * 1e4, 1e-15)')}, pr AS (SELECT * FROM {_values([tuple(p) for p in SYMMETRIC_PAIRS], 'a, b')}),
   v AS (SELECT x.seg, x.band, CASE WHEN x.de > 0 AND y.de > 0 THEN least(greatest(x.de / y.de, 0.01), 100.0) END AS v FROM pr JOIN de x ON x.name = pr.a JOIN de y ON y.name = pr.b AND y.seg = x.seg AND y.band = x.band)
 SELECT seg, """ + ", ".join(f"{_r(f'''avg(CASE WHEN band = '{b}' THEN v END)''')} AS rasm_{b}" for b in PAIR_BANDS) + " FROM v GROUP BY seg",
     "de_dcau": _pairs("dcau", CAUDAL_PAIRS, "x.de - y.de"),
@@ -278,3 +278,9 @@ SELECT seg, {_r('avg(CASE WHEN abs(v) > 2 * all_sd THEN 1.0 ELSE 0.0 END)')} AS
     "stream_windows": f"""SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start, event_type AS channel, count(value) AS n, {_r('avg(abs(value))', 4)} AS mean_abs,
   {_r('stddev_pop(value)', 4)} AS std, {_r('max(value) - min(value)', 4)} AS peak_to_peak, {_r('sqrt(avg(value * value))', 4)} AS rms FROM events GROUP BY 1, 2""",
 }
+
+_WIDE_PARTS = (
+    "td_amplitude td_zero_crossing td_hjorth fd_absolute fd_relative fd_peaks fd_entropy_centroid fd_ratios fd_aperiodic composite_scores de_bands de_dasm "
+    "de_dcau de_faa cx_fractal cx_hurst cx_entropies cn_correlation cn_coherence cn_power_topography nw_all"
+).split()
+ORACLE_SQL["wide_sql_row"] = "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[q]}) AS q{i}" + (" USING (seg)" if i else "") for i, q in enumerate(_WIDE_PARTS))
