@@ -26,6 +26,12 @@ def test_merge_joins_along_time_and_drops_the_tail(recording):
     assert segments.sources(segments.merge(recording, 2, within=())).count() == 10
 
 
+def test_indexed_is_one_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(5)
+    got = {r.k: r.i for r in segments.indexed(df, ("k",), "i").collect()}
+    assert [got[k] for k in sorted(got)] == list(range(1000))
+
+
 def test_sampling(spark, recording):
     assert segments.sample(recording, 2).groupBy("trial").count().collect()[0][1] == 2
     assert segments.sample(recording, -1).count() == 10

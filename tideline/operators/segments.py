@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import written
+
+
+def indexed(keys: DataFrame, order: tuple[str, ...], name: str = "__r") -> DataFrame:
+    """Rows with their place in one global order, from 0, without bringing all rows to one task.
+
+    Rows are dealt by range and counted for each range; a range's rows are
+    numbered on from the counts of those before it. Only the counts, one number
+    a range, visit the driver.
+    """
+    part = F.spark_partition_id().alias("__p")
+    dealt = written(keys.repartitionByRange(*order).select("*", part), "ranges")
+    before, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in dealt.groupBy("__p").count().collect()):
+        offsets.append((p, before))
+        before += n
+    base = keys.sparkSession.createDataFrame(offsets, "__p int, __base long")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return dealt.withColumn("__own", own).join(F.broadcast(base), "__p").withColumn(name, F.col("__own") + F.col("__base")).drop("__own", "__base", "__p")
+
 
 def merge(segments: DataFrame, k: int, within: tuple[str, ...] = ("trial",), order: tuple[str, ...] = ("trial", "segment"), eeg: str | None = None) -> DataFrame:
     """Merge k consecutive segments of each partition `within`; an incomplete tail is dropped.
 
-    within=() merges across trials; then one ordering of all segments is
-    needed, so give the subject as a partition on large data. Columns: trial,
-    segment, label, start_time, end_time, time_length and, if named, the signal
+    within=() merges across trials, by one ordering of all segments, whose
+    order columns must tell segments apart. Columns: trial, segment, label, start_time, end_time, time_length and, if named, the signal
     (channels x samples), which is joined along time.
     """
-    w = Window.partitionBy(*[F.col(c) for c in within] or [F.lit(0)]).orderBy(*order)
     cols = [c for c in ("trial", "segment", "session_id", "label", "start_time", "end_time", "time_length", eeg) if c and c in segments.columns]
-    rows = segments.withColumn("__r", F.row_number().over(w) - 1).withColumn("merged_id", F.expr(f"CAST(__r AS BIGINT) div {k}"))
+    if within:
+        numbered = segments.withColumn("__r", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    else:
+        numbered = segments.join(indexed(segments.select(*order), order), list(order))
+    rows = numbered.withColumn("merged_id", F.expr(f"CAST(__r AS BIGINT) div {k}"))
     keys = [*within, "merged_id"]
     g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__r", *cols))).alias("s")).where(F.size("s") == k)
     pick = lambda c: F.transform("s", lambda x: x[c])
