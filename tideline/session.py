@@ -22,8 +22,13 @@ def ship(spark: SparkSession) -> None:
     """Make the package importable on every executor.
 
     The zip goes through Spark's own file server, so nothing depends on a
-    folder that the driver and the executors share. Done once a context.
+    folder that the driver and the executors share. Done once a context. Rows
+    here are whole texts or recordings, so where the session has the default
+    of 10,000 rows in an Arrow batch, it is lowered to bound a worker's memory.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_tideline_shipped", False):
         return
