@@ -12,34 +12,39 @@ from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, jaccard, pieces, secrets, toxicity
 from tideline.llm.queries import remainder, tokenizer_path
-from tideline.session import table, written
+from tideline.session import ship, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar scores at the threshold or above go."""
+    ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
     return toxicity.score(docs, model, out="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the least id stays."""
+    ship(spark)
     return jaccard.representatives(docs, jaccard.NEAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are half benchmark go."""
+    ship(spark)
     out = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
+    ship(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text encoded, and decoded again."""
+    ship(spark)
     return pieces.encode_decode(docs, tokenizer_path())
 
 
