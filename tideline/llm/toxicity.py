@@ -21,7 +21,7 @@ at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled texts, whole, chosen by a
 hash of their ids.
 
 An Aho-Corasick automaton over the insult and threat words finds the clauses
-to read. Null, empty and clause-free texts get the score of no evidence.
+to read; a clause reaches 400 characters to each side of such a word at most. Null, empty and clause-free texts get the score of no evidence.
 Rows are independent of each other; repeated rows repeat.
 """
 
@@ -182,13 +182,13 @@ class Reader:
         return out
 
 
-def families(bags: list[set[str]]) -> list[int]:
-    """A number for each bag of words; bags that are copies of each other, exact or near, share theirs.
+def families(texts_: Iterator[str]) -> list[int]:
+    """A number for each text; texts that are copies of each other, exact or near, share theirs.
 
     Min-hashes over the longer words, in eight bands of three.
     """
     mult = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1) for k in range(1, 25)], np.uint64)
-    up = list(range(len(bags)))
+    up: list[int] = []
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -197,16 +197,18 @@ def families(bags: list[set[str]]) -> list[int]:
         return i
 
     seen: dict[tuple, int] = {}
-    for i, bag in enumerate(bags):
+    for i, text in enumerate(texts_):
+        up.append(i)
+        bag = set(_WORD.findall(text.lower()))
         rare = [w for w in bag if len(w) >= 8] or sorted(bag)
         if not rare:
             continue
         h = np.array([zlib.crc32(w.encode()) for w in rare], np.uint64)
         low = ((h[:, None] + np.uint64(1)) * mult[None, :] >> np.uint64(16)).min(0)
         for band in range(8):
-            key = (band, *low[3 * band : 3 * band + 3].tolist())
+            key = hash((band, *low[3 * band : 3 * band + 3].tolist()))
             up[root(i)] = root(seen.setdefault(key, i))
-    return [root(i) for i in range(len(bags))]
+    return [root(i) for i in range(len(up))]
 
 
 def learned(rows: list[tuple[str, int]]) -> tuple[str, ...]:
@@ -214,42 +216,71 @@ def learned(rows: list[tuple[str, int]]) -> tuple[str, ...]:
 
     Copies of one text count once: words that only copies share prove nothing.
     """
-    have: tuple[Counter, Counter] = (Counter(), Counter())
-    size = [0, 0]
-    bags = [set(_WORD.findall(t.lower())) for t, _ in rows]
-    groups: dict[tuple[int, int], set[str]] = {}
-    for i, (bag, (_, label)) in enumerate(zip(families(bags), rows, strict=True)):
-        groups.setdefault((bag, label), set()).update(bags[i])
-    for (_, label), words in groups.items():
-        found = {w + " " for w in words if len(w) > 2}
-        for n in range(4, 8):
-            found |= {w[:n] for w in words if len(w) >= n}
-        have[label].update(found)
-        size[label] += 1
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (f, (_, label)) in enumerate(zip(families(t for t, _ in rows), rows, strict=True)):
+        groups.setdefault((f, label), []).append(i)
+    size = [sum(1 for g in groups if g[1] == c) for c in (0, 1)]
     if not size[0] or not size[1]:
         return ()
-    toxic, clean = have[1], have[0]
-    share = size[1] / sum(size)
+
+    def counted(label: int, only: set[str] | None) -> Counter:
+        out: Counter = Counter()
+        for (_, c), members in groups.items():
+            if c == label:
+                found = _features({w for i in members for w in _WORD.findall(rows[i][0].lower())})
+                out.update(found if only is None else found & only)
+        return out
+
+    toxic = counted(1, None)
     least = math.log(len(toxic) + 1) + 8
+    toxic = {f: a for f, a in toxic.items() if a >= 4}
+    clean = counted(0, set(toxic))
+    share = size[1] / sum(size)
     good: dict[str, int] = {}
     for f, a in toxic.items():
         b = clean.get(f, 0)
-        if a < 4 or (a / size[1]) < 19 * (b / size[0]):
+        if (a / size[1]) < 19 * (b / size[0]):
             continue
         ratio = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)
         if ratio >= least:
             good[f] = a
+    good = _spread(good, [[rows[i][0] for i in m] for (_, c), m in groups.items() if c == 1])
     out: set[str] = set()
     for f in sorted(good, key=lambda x: (len(x), x)):
         if not f.endswith(" "):
-            longer = [g for g in good if len(g.rstrip()) == len(f) + 1 and g.startswith(f) and not g.endswith(" ")]
+            longer = [g for g in good if len(g) == len(f) + 1 and g.startswith(f) and not g.endswith(" ")]
             if any(good[g] >= 0.95 * good[f] for g in longer):
                 continue  # the longer stem says as much
-        if not any(f.startswith(s) for s in out):
+        if not any(f.startswith(x) for x in out):
             out.add(f)
     return tuple(sorted(out))
 
 
+def _features(words: set[str]) -> set[str]:
+    """Whole words (ending in a blank) and stems."""
+    out = {w + " " for w in words if len(w) > 2}
+    for n in range(4, 8):
+        out |= {w[:n] for w in words if len(w) >= n}
+    return out
+
+
+def _spread(good: dict[str, int], groups: list[list[str]]) -> dict[str, int]:
+    """Those of good whose texts have little else in common: what distant copies share goes."""
+    where: dict[str, list[set[str]]] = {f: [] for f in good}
+    for texts_ in groups:
+        words = {w for t in texts_ for w in _WORD.findall(t.lower())}
+        rare = {w for w in words if len(w) >= 8}
+        for f in _features(words) & good.keys():
+            if len(where[f]) < 40:
+                where[f].append(rare)
+    out = {}
+    for f, sets in where.items():
+        near = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:], strict=False)]
+        if not near or sum(near) / len(near) < 0.25:
+            out[f] = good[f]
+    return out
+
+
 def lexicon(found: tuple[str, ...]) -> Lexicon:
     words = {w: c for c, ws in ((TGT, TARGET), (NEG, NEGATION), (REP, REPORT), (THR, THREAT), (INS, INSULT)) for w in ws}
     words |= {f.rstrip(): INS for f in found if f.endswith(" ")}

@@ -153,7 +153,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, lowe
     return Words(data, offsets, start, end, first)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about most bytes of text (one row at least), to bound a worker's arrays."""
     for batch in batches:
         if not batch.num_rows:
