@@ -265,7 +265,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
 def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame) -> DataFrame:
     """Exact links between nodes, a spanning forest of each tile. classes: node, n, id (one row a node)."""
     groups = components(loose_links(docs, s, text), "loose")
-    ratio = float(np.log(100 / s.percent))
+    ratio = float(np.log(100 / s.percent)) * (1 + 1e-9)  # sizes in that very ratio stay neighbours
     member = classes.join(groups.hint("merge"), "node").withColumn("band", F.floor(F.log("n") / ratio).cast("int"))
     member = written(member, "members")
     total = member.groupBy("component", "band").agg(F.sum("n").alias("m"))
