@@ -93,7 +93,9 @@ def test_jaccard_empty(spark):
     assert jaccard.classified(table(spark, ["x"]).where("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [1000, 2])
+def test_components(spark, monkeypatch, least):
+    monkeypatch.setattr("tideline.llm.components.LEAST", least)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | dict.fromkeys((100, 101, 102), 100)
