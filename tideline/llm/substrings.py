@@ -18,7 +18,8 @@ in the same document at an earlier word).
 4. The verdicts return to their documents, which drop the covered words.
 
 A shard's index takes blocks of at most BLOCK words; an anchor with more is
-indexed block by block and its windows pass all of them, so memory is bounded.
+indexed block by block and its windows pass all of them. The distinct snippets
+at one anchor, some 150 bytes each however often they occur, meet in one task.
 
 Null and empty texts have no words. Rows with a null id come after all
 others. Rows with the same id count as one document at the same places: none
@@ -107,12 +108,12 @@ class FMIndex:
         while width < 32:
             key = rank * (n + 2)
             key[:-width] += rank[width:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
             width *= 2
-        self.suffix = np.argsort(rank, kind="stable")
+        self.suffix = np.argsort(rank)
         bwt = text[self.suffix - 1]
         count = np.bincount(bwt, minlength=len(self.symbols) + 1)
         self.before = np.concatenate(([0], np.cumsum(count)))
@@ -293,7 +294,16 @@ def _verdicts(snippets: DataFrame) -> DataFrame:
         raw, offsets = buffers_binary(body)
         sizes = np.diff(offsets) // 4
         doc, pos = t["doc"].to_numpy(), t["pos"].to_numpy().astype(np.int64)
-        mask = repeated_windows(raw.view(np.uint32), sizes, doc, pos)
+        flat, offset = raw.view(np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+        anchor = t["anchor"].to_numpy()
+        group = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
+        parts, begin = [], 0
+        while begin < len(anchor):  # whole anchors, as many as an index takes, one at least
+            last = int(np.searchsorted(offset[group], offset[begin] + BLOCK, side="right")) - 1
+            stop = int(group[max(last, int(np.searchsorted(group, begin, side="right")))])
+            parts.append(repeated_windows(flat[offset[begin] : offset[stop]], sizes[begin:stop], doc[begin:stop], pos[begin:stop]))
+            begin = stop
+        mask = np.concatenate(parts)
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(t["cls"].to_numpy()), pa.array(mask)], names=["doc", "pos", "cls", "mask"])
 
     return snippets.mapInArrow(run, "doc long, pos int, cls long, mask long")
