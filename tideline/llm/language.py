@@ -31,8 +31,8 @@ from tideline.llm.words import LOWER, buffers, column, slices
 
 #: Symbols of training text over all languages: bounds the tables at 2 * SAMPLE_SYMBOLS * alphabet * 4 bytes.
 SAMPLE_SYMBOLS = 120_000
-#: Labelled documents read for the sample, of each language.
-SAMPLE_DOCS = 200
+#: Labelled documents read for the sample, over all languages; eight of each at least.
+SAMPLE_DOCS = 800
 #: Languages learned at most, those with most labelled texts first.
 LANGUAGES = 256
 BLOCK = 512
@@ -147,15 +147,16 @@ class Parser:
 
 
 def sampled(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, np.ndarray]:
-    """The samples: of each language the documents whose id hashes below a cutoff that gives about SAMPLE_DOCS."""
+    """The samples: of each language the whole texts whose id hashes below a cutoff that gives about its share of SAMPLE_DOCS."""
     named = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     sizes = {r[0]: r[1] for r in named.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()}
     if not sizes:
         return {}
     share = SAMPLE_SYMBOLS // len(sizes)
-    cutoff = F.create_map(*[F.lit(x) for n, k in sizes.items() for x in (n, min(1 << 32, (SAMPLE_DOCS << 32) // k))])
+    most = max(8, SAMPLE_DOCS // len(sizes))
+    cutoff = F.create_map(*[F.lit(x) for n, k in sizes.items() for x in (n, min(1 << 32, (most << 32) // k))])
     h = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32))
-    rows = named.where(h < cutoff[F.col(lang)]).select(F.col(lang), h, F.substring(text, 1, share)).collect()
+    rows = named.where(h < cutoff[F.col(lang)]).select(F.col(lang), h, F.col(text)).collect()
     by: dict[str, list[str]] = {}
     for name, _, t in sorted(map(tuple, rows)):
         by.setdefault(name, []).append(t)
