@@ -3,9 +3,7 @@
 Alternating large-star and small-star steps: every step is an aggregate and a
 join on narrow rows, the number of steps grows with the logarithm of the
 input, and each round is written to the shared folder. No node's neighbours
-are ever collected. Nodes with many neighbours, of which there can only be
-HUBS or fewer, get their least neighbour by broadcast, so that no task has to
-take all of a node's edges.
+are ever collected.
 """
 
 from __future__ import annotations
@@ -16,20 +14,14 @@ from pyspark.sql import functions as F
 from tideline.session import discard, written
 
 
-#: Hubs at most: nodes with 2 / HUBS of all edges or more. No node with fewer than LEAST edges is one.
-HUBS, LEAST = 100_000, 1000
-
-
-def _star(edges: DataFrame, large: bool, many: int) -> DataFrame:
-    """Join neighbours to the least node near them: the larger ones (large) or the others. many: edges of a hub."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Join neighbours to the least node near them: the larger ones (large) or the others."""
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") >= many).select("a", "m"))
-    others = near.join(hubs, "a", "left_anti").join(least.where(F.col("n") < many).select("a", "m").hint("merge"), "a")
-    joined = near.join(hubs, "a").unionByName(others)
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    joined = near.join(least.hint("merge"), "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -46,8 +38,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     before = mark(now)
     while before[0]:
-        many = max(LEAST, -(-2 * before[0] // HUBS))
-        last, now = now, written(_star(_star(now, True, many), False, many), label)
+        last, now = now, written(_star(_star(now, True), False), label)
         discard(last)
         after = mark(now)
         if after == before:
