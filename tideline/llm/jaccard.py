@@ -5,7 +5,7 @@
 2. Sets that may be similar are brought together by min-hash keys, BANDS keys
    of ROWS min-hashes each. A pair at the threshold is missed with probability
    (1 - t ** ROWS) ** BANDS, under 1e-12 for the settings below, and more
-   similar pairs more rarely still: less than what 64-bit hashes of shingles
+   similar pairs more rarely still: about what 64-bit hashes of shingles
    risk. Within a task equal keys are linked to one leader at once, so a key
    crosses the shuffle once a task at most, however many texts have it.
 3. Linked nodes form loose groups. A group's nodes go to tiles: by size band

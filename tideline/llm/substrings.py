@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.words import Words, buffers, column, cut, mix, slices
-from tideline.session import written
+from tideline.session import discard, written
 
 WINDOW, GRAM = 20, 6
 BLOCK = 400_000
@@ -352,6 +352,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", real: bool =
         F.collect_list(F.when(F.col("first"), F.struct("pos", "cls"))).alias("firsts"),
     )
     lists = written(lists, "substrings")
+    discard(found)
     bodies = _contents(src.select("__id", "__text").join(lists.where(F.size("firsts") > 0).select(F.col("doc").alias("__id"), "firsts").hint("merge"), "__id"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     masks = _verdicts(bodies.dropDuplicates(["anchor", "cls"]).repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "pos"))
