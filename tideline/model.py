@@ -29,8 +29,8 @@ MONTAGE_90 = (
 ).split()
 
 # Electrode pairs.
-SYMMETRIC_PAIRS = tuple(tuple(p.split("-")) for p in "FP1-FP2 F7-F8 F3-F4 T7-T8 P7-P8 C3-C4 P3-P4 O1-O2 AF3-AF4 FC5-FC6 FC1-FC2 CP5-CP6 CP1-CP2 PO3-PO4".split())
-CAUDAL_PAIRS = tuple(tuple(p.split("-")) for p in "FC5-CP5 FC1-CP1 FC2-CP2 FC6-CP6 F7-P7 F3-P3 FZ-PZ F4-P4 F8-P8 FP1-O1 FP2-O2".split())
+SYMMETRIC_PAIRS = (("FP1", "FP2"), ("F7", "F8"), ("F3", "F4"), ("T7", "T8"), ("P7", "P8"), ("C3", "C4"), ("P3", "P4"), ("O1", "O2"), ("AF3", "AF4"), ("FC5", "FC6"), ("FC1", "FC2"), ("CP5", "CP6"), ("CP1", "CP2"), ("PO3", "PO4"))
+CAUDAL_PAIRS = (("FC5", "CP5"), ("FC1", "CP1"), ("FC2", "CP2"), ("FC6", "CP6"), ("F7", "P7"), ("F3", "P3"), ("FZ", "PZ"), ("F4", "P4"), ("F8", "P8"), ("FP1", "O1"), ("FP2", "O2"))
 FAA_PAIRS = (("F3", "F4"), ("F7", "F8"), ("FP1", "FP2"), ("AF3", "AF4"))
 PAIR_BANDS = ("delta", "theta", "alpha", "beta", "gamma")
 
@@ -39,7 +39,7 @@ REGIONS = (("CB", "occipital"), ("FP", "frontal"), ("AF", "frontal"), ("FT", "te
 SIDED = {"A1": "left", "T1": "left", "T9": "left", "A2": "right", "T2": "right", "T10": "right"}
 
 _BAND_NAMES = [b[0] for b in BANDS]
-#: Feature names by group, in order.
+# Feature names by group, in order.
 FEATURES: dict[str, tuple[str, ...]] = {
     "time_domain": ("mean_abs_amplitude", "mean_channel_std", "mean_peak_to_peak", "mean_rms", "mean_zero_crossing_rate", "hjorth_activity", "hjorth_mobility", "hjorth_complexity"),
     "frequency_domain": (
