@@ -35,7 +35,7 @@ from tideline.llm.words import column, slices
 
 SPACE = "▁"
 #: Entries of a worker's memo of encoded chunks before it starts afresh.
-MEMO = 200_000
+MEMO = 300_000
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def load(path: str) -> Vocabulary:
 
 
 class Encoder(dict):
-    """A memo from chunk to (number of ids, ids joined by commas, decoded text); misses are encoded.
+    """A memo from chunk to (ids joined by commas, decoded text); misses are encoded.
 
     Inside, a token is a number: a piece's id, or a number past the vocabulary
     for a character that has no piece and falls back to bytes.
@@ -93,7 +93,7 @@ class Encoder(dict):
         self.piece = list(v.text)
         self.length = [len(t) for t in v.text]
         self.shorter = [-1] * size  # the longest piece that a piece starts with
-        self.count, self.joined = [1] * size, [str(i) for i in range(size)]
+        self.joined = [str(i) for i in range(size)]
         self.shown = [self.unescaped([i]) for i in range(size)]
         self.auto = ahocorasick.Automaton()
         whole: dict[str, int] = {p: i for p, i in v.ids.items() if len(p) == 1}
@@ -121,7 +121,6 @@ class Encoder(dict):
             self.piece.append(c)
             self.length.append(1)
             self.shorter.append(-1)
-            self.count.append(len(ids))
             self.joined.append(",".join(map(str, ids)))
             self.shown.append(self.unescaped(ids))
         return got
@@ -142,7 +141,7 @@ class Encoder(dict):
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the texts of two tokens, merged afresh, give the two tokens."""
-        if len(self.pairs) > 2 * MEMO:
+        if len(self.pairs) > MEMO:
             self.pairs.clear()
         a, b = self.piece[left], self.piece[right]
         got = self.pairs[left << 24 | right] = self.merged(a + b) == [a, b]
@@ -223,10 +222,10 @@ class Encoder(dict):
         text = self.unescaped(ids)
         return text[1:] if text.startswith(" ") else text
 
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
+    def __missing__(self, chunk: str) -> tuple[str, str]:
         tokens = self.split(chunk)
-        count, joined, shown = self.count, self.joined, self.shown
-        got = (sum([count[t] for t in tokens]), ",".join([joined[t] for t in tokens]), "".join([shown[t] for t in tokens]))
+        joined, shown = self.joined, self.shown
+        got = (",".join([joined[t] for t in tokens]), "".join([shown[t] for t in tokens]))
         if len(chunk) <= 64:
             if len(self) >= MEMO:
                 self.clear()
@@ -236,10 +235,10 @@ class Encoder(dict):
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the hashes of the ids and of the decoded text."""
         got = [self[c] for c in self.chunks(text)]
-        decoded = "".join([g[2] for g in got])
+        decoded = "".join([g[1] for g in got])
         decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        joined = ",".join([g[1] for g in got])
-        return sum([g[0] for g in got]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        joined = ",".join([g[0] for g in got])
+        return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 #: Ids of the begin and end marks, which have no text.
