@@ -20,13 +20,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    near = near.repartition("a")  # one exchange that the aggregate and the join share
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     joined = near.join(least.hint("merge"), "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -38,7 +39,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     before = mark(now)
     while before[0]:
-        last, now = now, written(_star(_star(now, True), False), label)
+        last, now = now, written(_star(_star(now, True), False).distinct(), label)
         discard(last)
         after = mark(now)
         if after == before:
