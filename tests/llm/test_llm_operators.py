@@ -431,6 +431,13 @@ def test_mixing_bits_are_a_distribution():
             assert ((p := m.refined(*m.mixed(logits, gate), gate)) > 0).all() and (p < 1).all()
 
 
+def test_mixing_counts_every_word_in_every_order(spark):
+    # more than 100,000 training words: a word seen once still reaches all tables
+    words = spark.createDataFrame([(bytearray(b"common"), 1, 150_000), (bytearray(b"rareword"), 2, 1)], "word binary, h long, c long")
+    model = mixing.train(words)
+    assert [float(t.sum()) for t in model.table] == [8.0 * (150_000 * 7 + 9)] * len(mixing.ORDERS)
+
+
 def test_mixing_no_training(spark):
     from pyspark.sql import functions as F
 
