@@ -81,6 +81,19 @@ def test_jaccard_tiles_are_cut(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts, 3, 90).items()}
 
 
+@pytest.mark.parametrize("tile", [1_500_000, 150])
+def test_jaccard_counts_all_links(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    texts = [*corpus(3, 40), *[" ".join(f"n{i}" for i in range(80)) + f" end{k % 5}" for k in range(12)]]
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set()))
+    want = {i: sum(100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets) if a and b and j != i) for i, a in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in jaccard.classified(table(spark, texts), jaccard.STRICT).collect()}
+    assert got == want and [want[len(texts) - 1 - k] for k in range(12)] == [11] * 12
+
+
 def test_jaccard_representatives(spark):
     texts = corpus(4, 30)
     kept = jaccard.representatives(table(spark, texts), jaccard.NEAR)

@@ -13,13 +13,16 @@
    Only tiles of the same or neighbouring bands meet, since sets whose sizes
    differ by more than the threshold can't be similar.
 4. In a tile, bitmaps of the hashed shingles bound the overlap from above by
-   bit counts; pairs that pass, and aren't connected yet, are decided by exact
-   intersection of the sorted arrays. Only a spanning forest leaves the tile.
+   bit counts; every pair that passes is decided by exact intersection. Each
+   pair of nodes meets in one tile. A tile sends the number of links of each
+   node, weighted by the rows of the other node, and a spanning forest: a
+   group's pairs, which grow with the square of its size, are counted there.
 5. Connected components of those links, by distributed star contraction.
 
 Null and empty texts have the empty set and are linked with nothing. Rows with
 equal texts are one node; equal ids are allowed. Similarities that equal the
-threshold link. Columns that aren't named are carried on by `representatives`
+threshold link. A row's links go to all other rows with a similar or an equal
+set; rows of a set that has no row with a key are linked with nothing. Columns that aren't named are carried on by `representatives`
 and not looked at.
 """
 
@@ -222,48 +225,61 @@ class _Forest:
             r = n
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with similarity >= percent/100.
+def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int, weight: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the pairs of sets with similarity >= percent/100, and each set's links by the other sets' weight.
 
     side: 0 or 1 for the two tiles that meet, 2 where all pairs are asked for.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
     side = side[order]
+    w = np.ones(len(order), np.int64) if weight is None else weight[order]
     width = int(min(256, max(4, 1 << int(np.ceil(np.log2(max(1, 2 * size[-1]) / 64 + 1))))))
     bits = np.zeros((len(order), width), np.uint64)
     for r, i in enumerate(order):
         h = sets[i] >> np.uint64(20)
         np.bitwise_or.at(bits[r], ((h >> np.uint64(6)) % np.uint64(width)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
     excess = size - np.bitwise_count(bits).sum(1)
-    forest, out = _Forest(len(order)), []
+    first = np.concatenate(([0], np.cumsum(size)))
+    flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    mine = np.zeros(int(flat.max()) + 1, np.uint8)  # whether a shingle is in the set at hand
+    forest, out, count = _Forest(len(order)), [], np.zeros(len(order), np.int64)
     for r in range(len(order)):
+        mine[flat[first[r] : first[r + 1]]] = 1
         # sets are in order of size: those from r + 1 up to size / t can be similar
         stop = int(np.searchsorted(size, size[r] * 100 // percent, side="right"))
         for begin in range(r + 1, stop, 4096):
             j = np.arange(begin, min(stop, begin + 4096))
             if side[r] != 2:
                 j = j[side[j] != side[r]]
-            j = j[forest.roots(j) != forest.root(r)]
+            need = -((-percent * (size[r] + size[j])) // (100 + percent))
+            j = j[np.bitwise_count(bits[j] & bits[r]).sum(1) + np.minimum(excess[r], excess[j]) >= need]
             if not len(j):
                 continue
-            need = -((-percent * (size[r] + size[j])) // (100 + percent))
-            bound = np.bitwise_count(bits[j] & bits[r]).sum(1) + np.minimum(excess[r], excess[j])
-            mine = sets[order[r]]
-            for q in j[bound >= need].tolist():
-                if forest.root(q) == forest.root(r):
-                    continue
-                other = sets[order[q]]
-                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                same = int((other[at] == mine).sum())
-                if 100 * same >= percent * (size[r] + size[q] - same):
+            low, n = first[j], size[j]
+            base = np.cumsum(n) - n
+            if 2 * int(n.sum()) > first[j[-1] + 1] - low[0]:  # most of the sets between: read them in one piece
+                same = np.add.reduceat(mine[flat[low[0] : first[j[-1] + 1]]], first[j[0] : j[-1] + 1] - low[0], dtype=np.int64)[j - j[0]]
+            else:
+                same = np.add.reduceat(mine[flat[np.arange(int(n.sum())) + np.repeat(low - base, n)]], base, dtype=np.int64)
+            j = j[100 * same >= percent * (size[r] + n - same)]
+            count[r] += w[j].sum()
+            count[j] += w[r]
+            for q in j[forest.roots(j) != forest.root(r)].tolist():
+                if forest.root(q) != forest.root(r):
                     forest.up[forest.root(q)] = forest.root(r)
                     out.append((int(order[r]), int(order[q])))
-    return out
+        mine[flat[first[r] : first[r + 1]]] = 0
+    found = np.zeros(len(order), np.int64)
+    found[order] = count
+    return out, found
 
 
 def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame) -> DataFrame:
-    """Exact links between nodes, a spanning forest of each tile. classes: node, n, id (one row a node)."""
+    """Exact links between nodes: a spanning forest of each tile, as rows with a < b or a > b, and rows (a, a, links of a in a tile).
+
+    classes: node, n, id, rows (one row a node).
+    """
     groups = components(loose_links(docs, s, text), "loose")
     ratio = float(np.log(100 / s.percent)) * (1 + 1e-9)  # sizes in that very ratio stay neighbours
     member = classes.join(groups.hint("merge"), "node").withColumn("band", F.floor(F.log("n") / ratio).cast("int"))
@@ -287,7 +303,7 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame)
             ),
         )
     )
-    wanted = dealt.select("id", "node", "component", tiles.alias("tiles"))
+    wanted = dealt.select("id", "node", "component", "rows", tiles.alias("tiles"))
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("__text"))
     picked = src.join(wanted.hint("merge"), "id")
 
@@ -296,11 +312,11 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame)
             flat, offsets, node = _sets(b, s)
             ok = pa.array(node.view(np.int64) == column(b, "node").to_numpy())  # another row may have the id
             raw = [flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(b.num_rows)]
-            out = pa.RecordBatch.from_arrays([column(b, "node"), column(b, "component"), column(b, "tiles"), pa.array(raw, pa.binary())], names=["node", "component", "tiles", "body"])
+            out = pa.RecordBatch.from_arrays([column(b, "node"), column(b, "component"), column(b, "rows"), column(b, "tiles"), pa.array(raw, pa.binary())], names=["node", "component", "rows", "tiles", "body"])
             yield out.filter(ok)
 
-    sent = picked.mapInArrow(bodies, picked.select("node", "component", "tiles").schema.add("body", "binary"))
-    sent = sent.select("node", "component", "body", F.explode("tiles").alias("t")).select("node", "component", "body", "t.tile", "t.side")
+    sent = picked.mapInArrow(bodies, picked.select("node", "component", "rows", "tiles").schema.add("body", "binary"))
+    sent = sent.select("node", "component", "rows", "body", F.explode("tiles").alias("t")).select("node", "component", "rows", "body", "t.tile", "t.side")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = sent.repartition(n, "component", "tile").sortWithinPartitions("component", "tile", "node")
 
@@ -309,20 +325,26 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame)
         now: tuple | None = None
 
         def judged() -> Iterator[pa.RecordBatch]:
-            node, sets, side = [], [], []
+            node, sets, side, rows = [], [], [], []
             for h in held:
                 raw, offsets = buffers_binary(column(h, "body"))
                 v = raw.view(np.uint64)
-                for i, (x, y) in enumerate(zip(column(h, "node").to_pylist(), column(h, "side").to_pylist(), strict=True)):
+                for i, (x, y, k) in enumerate(zip(column(h, "node").to_pylist(), column(h, "side").to_pylist(), column(h, "rows").to_pylist(), strict=True)):
                     if not node or x != node[-1]:  # rows that share an id may send a node twice
                         node.append(x)
                         side.append(y)
+                        rows.append(k)
                         sets.append(v[offsets[i] // 8 : offsets[i + 1] // 8])
             held.clear()
             if len(node) > 1:
-                found = tile_links(sets, np.array(side), s.percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([node[a] for a, _ in found], pa.int64()), pa.array([node[b] for _, b in found], pa.int64())], names=["a", "b"])
+                found, count = tile_links(sets, np.array(side), s.percent, np.array(rows, np.int64))
+                at = np.flatnonzero(count)
+                if len(at):
+                    own = np.array(node, np.int64)
+                    pair = np.array(found, np.int64).reshape(-1, 2)
+                    a, b = np.concatenate((pair[:, 0], at)), np.concatenate((pair[:, 1], at))
+                    n = np.concatenate((np.zeros(len(pair), np.int64), count[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b]), pa.array(n)], names=["a", "b", "n"])
 
         for b in batches:
             if not b.num_rows:
@@ -337,21 +359,24 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame)
         if held:
             yield from judged()
 
-    return sent.mapInArrow(meet, "a long, b long")
+    return sent.mapInArrow(meet, "a long, b long, n long")
 
 
 def classified(docs: DataFrame, s: Setting = NEAR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, n_shingles, component_id (least key reachable by links, itself included)."""
+    """One row a document: key, n_shingles, component_id (least key reachable by links, itself included), n_links (other rows linked with it)."""
     rows = written(sized(docs, s, key, text), "sized")
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n")).where(F.col("id").isNotNull())
+    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).where(F.col("id").isNotNull())
     exact = written(links(docs, s, key, text, classes), "links")
     groups = components(exact, "groups")
     least = groups.join(classes.select("node", "id").hint("merge"), "node").groupBy("component").agg(F.min("id").alias("__least"))
     grouped = groups.join(least.hint("merge"), "component").select("node", "__least")
-    # every node: its group's least id, or its own class's
-    named = classes.select("node", "id").join(grouped.hint("merge"), "node", "left").select("node", F.coalesce("__least", "id").alias("component_id"))
+    counted = exact.where(F.col("a") == F.col("b")).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("__links"))
+    # every node: its group's least id, or its own class's, and the links of its rows
+    named = classes.select("node", "id", "rows").join(grouped.hint("merge"), "node", "left").join(counted.hint("merge"), "node", "left")
+    named = named.select("node", F.coalesce("__least", "id").alias("component_id"), (F.coalesce("__links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     out = rows.join(named.hint("merge"), "node", "left")
-    return out.select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.coalesce("component_id", F.col(key))).alias("component_id"))
+    component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.coalesce("component_id", F.col(key)))
+    return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(docs: DataFrame, s: Setting = NEAR, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,8 @@ def tokenizer_path() -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.STRICT)
+    rows = jaccard.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.STRICT)
+    return rows.drop("n_links")  # the SQL's columns
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
