@@ -451,6 +451,24 @@ def test_mixing_counts_every_word_in_every_order(spark):
     assert [float(t.sum()) for t in model.table] == [8.0 * (150_000 * 7 + 9)] * len(mixing.ORDERS)
 
 
+def test_mixing_scores_depend_on_the_order_of_words(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(17)
+    follow = {f"v{i}": [f"v{rnd.randrange(50)}" for _ in range(2)] for i in range(50)}
+
+    def walk():
+        w = ["v0"]
+        while len(w) < 60:
+            w.append(rnd.choice(follow[w[-1]]))
+        return w
+
+    walks = [walk() for _ in range(320)]
+    texts = [" ".join(w) for w in walks] + [" ".join(rnd.sample(w, len(w))) for w in walks[300:]]
+    got = {r.doc_id: r for r in mixing.score(table(spark, texts), F.col("doc_id") < 300).collect()}
+    assert all(got[300 + i].base_score == pytest.approx(got[320 + i].base_score) and got[300 + i].score > got[320 + i].score for i in range(20))
+
+
 def test_mixing_no_training(spark):
     from pyspark.sql import functions as F
 
