@@ -41,6 +41,44 @@ def test_sampling(spark, recording):
     assert [(r.trial, r.segment) for r in exact] == want
 
 
+def test_subjects_stay_apart(spark, recording):
+    both = recording.withColumn("subject", F.lit("a")).unionByName(recording.withColumn("subject", F.lit("b")).withColumn("label", F.lit(7)))
+    for within, n in ((("trial",), 8), ((), 10)):
+        out = segments.merge(both, 2, within=within, eeg="eeg").collect()
+        assert len(out) == n and all(set(r.labels) <= ({0, 1} if r.subject == "a" else {7}) for r in out)
+    assert segments.sources(segments.merge(both, 2, within=())).groupBy("subject", "trial", "segment").count().where("count > 1").count() == 0
+    assert segments.sample(both, 2).groupBy("subject", "trial").count().where("count = 2").count() == 4
+    assert {tuple(r) for r in segments.statistics(both).collect()} == {("a", 0, 2, 10), ("b", 7, 2, 10)}
+    # without subjects, repeated rows are numbered themselves
+    assert segments.merge(both.drop("subject"), 2, within=()).count() == 10
+
+
+def test_template_of_each_subject(spark):
+    rng = np.random.default_rng(1)
+    x = [rng.standard_normal((8, 200)).cumsum(1) for _ in range(2)]
+    df = spark.createDataFrame([(s, 1, x[i].tolist()) for i, s in enumerate("ab")], "subject string, seg long, eeg array<array<double>>")
+    fitted = ex.fit_template(df, subject="subject")
+    config, names = Config(channels=tuple("ABCDEFGH")), ["Microstate_0_gev", "Microstate_1_gev"]
+    got = {r.subject: (r[names[0]], r[names[1]]) for r in ex.extract(df, names, config, keep=("subject",), templates=fitted).collect()}
+    for s in "ab":
+        maps = np.array([r.map for r in fitted.where(F.col("subject") == s).orderBy("state").collect()])
+        own = ex.extract(df.where(F.col("subject") == s), names, config, keep=("subject",), centroids=maps).first()
+        assert got[s] == (own[names[0]], own[names[1]])
+
+
+def test_extract_tells_what_failed(spark):
+    @ex.register_group("broken", ("never",))
+    def broken(s, want):
+        raise ValueError("no luck")
+
+    df = spark.createDataFrame([(1, [[0.0, 1.0, 0.0, 2.0] * 30] * 2)], "seg long, eeg array<array<double>>")
+    try:
+        row = ex.extract(df, ["never", "mean_rms"], Config(channels=("F3", "F4")), errors=True).first()
+        assert row.never is None and row.mean_rms > 0 and row.error == "broken: ValueError: no luck"
+    finally:
+        ex._custom.pop("broken")
+
+
 def test_extract_reports_broken_signals(spark):
     rows = [(1, [[0.0, 1.0, 0.0, 2.0] * 30] * 2), (2, None), (3, [[1.0], [1.0, 2.0]]), (4, [])]
     df = spark.createDataFrame(rows, "seg long, eeg array<array<double>>")
@@ -145,3 +183,18 @@ def test_api_and_command_line(spark, tmp_path):
     api.main([str(tmp_path / "in"), str(tmp_path / "out"), "--groups", "time_domain", "microstate", "--merge", "2", "--channels", "F3,F4,O1,O2"])
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 2 and all(r.mean_rms > 0 and r.Microstate_0_timecov is not None and r.error is None for r in got)
+    assert all("in/part-" in r.source_file for r in got)
+    # each file a subject, to a CSV sink with lists as text
+    for s in ("s1", "s2"):
+        spark.createDataFrame(rows, "trial long, segment long, eeg array<array<double>>").coalesce(1).write.parquet(str(tmp_path / "two" / s))
+    api.main([str(tmp_path / "two" / "*"), str(tmp_path / "csv"), "--groups", "time_domain", "--merge", "2", "--subject-files", "--sink", "csv", "--channels", "F3,F4,O1,O2"])
+    got = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).collect()
+    assert len(got) == 4 and len({r.subject for r in got}) == 2 and {r.segment_ids for r in got} == {"[0,1]", "[2,3]"}
+
+
+def test_listing(capsys):
+    from tideline import api
+
+    api.main(["list"])
+    out = capsys.readouterr().out
+    assert "time_domain" in out and "preset standard" in out and "katz_fd" in out

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.features import compute
-from tideline.model import Config
+from tideline.model import FEATURES, PRESETS, Config
 from tideline.operators import extract as ex
 from tideline.operators import repair, segments
 from tideline.operators.selection import Selection, load, preset, resolve
@@ -30,36 +31,56 @@ def selection_of(args: argparse.Namespace) -> Selection:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Read segments (trial, segment, eeg and, if there, times and labels), merge, extract, write."""
+    """Read segments (trial, segment, eeg and, if there, subject, times and labels), merge, extract, write.
+
+    Each subject has its own microstate template, fitted on a sample of its segments.
+    """
     rows = spark.read.format(args.format).load(args.input)
+    rows = rows.withColumn("source_file", F.input_file_name())
+    if args.subject_files:  # a file is a subject
+        rows = rows.withColumn("subject", F.col("source_file"))
     chosen = selection_of(args).computable()
     within = () if args.cross_trial else ("trial",)
     merged = segments.merge(rows, args.merge, within=within, eeg="eeg")
     keep = tuple(c for c in merged.columns if c != "eeg")
     names = tuple(args.channels.split(",")) if args.channels else Config().channels
     config = Config(fs=args.fs, channels=names)
-    centroids = None
+    templates = None
     if any(f.startswith("Microstate") for f in chosen):
-        picked = segments.sample(rows, args.template_segments)
-        fitted = ex.fit_template(picked, keep=("trial", "segment")).orderBy("state").collect()
-        centroids = np.array([r["map"] for r in fitted]) if fitted else None
-    out = ex.extract(merged, chosen, config, keep=keep, centroids=centroids, errors=True).withColumn("source", F.lit(args.input))
-    repair.write(out, args.output, fmt=args.sink)
+        subject = "subject" if "subject" in rows.columns else None
+        templates = ex.fit_template(segments.sample(rows, args.template_segments), keep=("trial", "segment"), subject=subject)
+        if subject is None:
+            merged = merged.withColumn("subject", F.lit(0).cast("long"))
+    out = ex.extract(merged, chosen, config, keep=keep, templates=templates, errors=True)
+    repair.write(repair.flat(out) if args.sink == "csv" else out, args.output, fmt=args.sink)
     return out
 
 
+def listing() -> None:
+    """Print every group with its features, and every preset."""
+    for g, names in FEATURES.items():
+        print(f"{g} ({len(names)})", *names, sep="\n  ")
+    for name in PRESETS:
+        chosen = preset(name)
+        print(f"preset {name}: {len(chosen.names())} features of {', '.join(chosen.required_groups())}")
+
+
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(prog="tideline")
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["list"]:
+        return listing()
+    p = argparse.ArgumentParser(prog="tideline", epilog="`tideline list` shows features, groups and presets")
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("--format", default="parquet")
-    p.add_argument("--sink", default="parquet", choices=("parquet", "json", "orc"))
+    p.add_argument("--sink", default="parquet", choices=("parquet", "json", "orc", "csv"))
     p.add_argument("--preset")
     p.add_argument("--config")
     p.add_argument("--groups", nargs="*", default=[])
     p.add_argument("--features", nargs="*", default=[])
     p.add_argument("--exclude", nargs="*", default=[])
     p.add_argument("--merge", type=int, default=1)
+    p.add_argument("--subject-files", action="store_true", help="each input file is a subject")
     p.add_argument("--cross-trial", action="store_true")
     p.add_argument("--template-segments", type=int, default=10)
     p.add_argument("--fs", type=float, default=200.0)

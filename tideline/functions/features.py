@@ -206,8 +206,8 @@ def microstate(s: Segment, want: set[str]) -> dict:
 GROUPS = {g.__name__: g for g in (time_domain, frequency_domain, complexity, connectivity, network, composite, de_features, microstate)}
 
 
-def compute(x: np.ndarray, config: Config, names: list[str], template: np.ndarray | None = None, extra: dict | None = None) -> dict[str, float | None]:
-    """The named features of one segment; a group that fails gives missing values for its features only."""
+def compute(x: np.ndarray, config: Config, names: list[str], template: np.ndarray | None = None, extra: dict | None = None, failed: list[str] | None = None) -> dict[str, float | None]:
+    """The named features of one segment; a group that fails gives missing values for its features only, and is told in failed."""
     s, want, out = Segment(x, config, template), set(names), {}
     for group, f in {**GROUPS, **(extra or {})}.items():
         mine = [n for n in FEATURES.get(group, names) if n in want and n not in out]
@@ -215,8 +215,10 @@ def compute(x: np.ndarray, config: Config, names: list[str], template: np.ndarra
             continue
         try:
             got = f(s, want)
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError, IndexError):
+        except (ValueError, FloatingPointError, np.linalg.LinAlgError, IndexError) as e:
             got = {}
+            if failed is not None:
+                failed.append(f"{group}: {type(e).__name__}: {e}")
         for n in mine:
             v = got.get(n)
             if n in got or group in FEATURES:

@@ -43,26 +43,35 @@ def catalogue(spark) -> DataFrame:
 
 
 def _matrix(col: pa.Array, i: int, by_time: bool) -> np.ndarray | None:
-    value = col[i].as_py()
-    if not value or len({len(v) for v in value}) != 1:
+    """Row i as channels x samples, read from Arrow's buffers; None where it is no full matrix of finite numbers."""
+    value = col[i].values
+    if value is None or not len(value) or value.null_count:
         return None
-    x = np.array(value, float)
-    x = x.T if by_time else x
-    return x if x.ndim == 2 and np.isfinite(x).all() else None
+    sizes = value.value_lengths().to_numpy()
+    if sizes[0] == 0 or (sizes != sizes[0]).any():
+        return None
+    x = value.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(value), -1)
+    return np.ascontiguousarray(x.T if by_time else x) if np.isfinite(x).all() else None
 
 
-def extract(segments: DataFrame, selection: Selection | list[str], config: Config = Config(), keep: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, centroids: np.ndarray | None = None, errors: bool = False) -> DataFrame:
+def extract(segments: DataFrame, selection: Selection | list[str], config: Config = Config(), keep: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, centroids: np.ndarray | None = None, errors: bool = False, templates: DataFrame | None = None, subject: str = "subject") -> DataFrame:
     """The selected features of each segment, computed where the segment is: no shuffle.
 
     by_time: the signal is stored as time steps of channels. Only the inputs
     that the selected features share are built, once a segment. Features that
     can't be computed are null; with errors=True column error tells of signals
-    that are no full matrix.
+    that are no full matrix, and of each group that failed, with its exception.
+    Microstates use the given centroids, or those that templates (the rows of
+    `fit_template`) has for the row's subject, or the segment's own.
     """
     names = selection if isinstance(selection, list) else selection.computable()
     own = [n for n in names if n not in GROUP_OF]
     extra = {g: f for g, (fs, f) in _custom.items() if set(fs) & set(own)}
-    src = segments.select(*keep, F.col(eeg).alias("__x"))
+    fitted = templates is not None
+    if fitted:
+        maps = templates.groupBy(F.col("subject").alias("__subject")).agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "map"))), lambda x: x["map"]).alias("__maps"))
+        segments = segments.join(maps.hint("merge"), F.col(subject).eqNullSafe(F.col("__subject")), "left")
+    src = segments.select(*keep, F.col(eeg).alias("__x"), *([F.col("__maps")] if fitted else []))
     fields = [src.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names]
     if errors:
         fields.append(T.StructField("error", T.StringType()))
@@ -70,11 +79,13 @@ def extract(segments: DataFrame, selection: Selection | list[str], config: Confi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(b.schema.get_field_index("__x"))
+            own = b.column(b.schema.get_field_index("__maps")) if fitted else None
             rows, bad = [], []
             for i in range(b.num_rows):
-                m = _matrix(x, i, by_time)
-                rows.append(compute(m, config, names, centroids, extra) if m is not None else dict.fromkeys(names))
-                bad.append(None if m is not None else "the signal is no full matrix of finite numbers")
+                m, failed = _matrix(x, i, by_time), []
+                at = centroids if own is None else _matrix(own, i, False)
+                rows.append(compute(m, config, names, at, extra, failed) if m is not None else dict.fromkeys(names))
+                bad.append("; ".join(failed) or None if m is not None else "the signal is no full matrix of finite numbers")
             cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array([r[n] for r in rows], pa.float64()) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(bad, pa.string())] if errors else cols, names=[f.name for f in fields])
 
@@ -82,15 +93,15 @@ def extract(segments: DataFrame, selection: Selection | list[str], config: Confi
 
 
 def fit_template(segments: DataFrame, keep: tuple[str, ...] = ("seg",), subject: str | None = None, eeg: str = "eeg", by_time: bool = False, seed: int = 42) -> DataFrame:
-    """Microstate maps of each subject: (subject, state, map).
+    """Microstate maps of each subject: (subject, state, map). Without a subject column all segments are one subject's.
 
     Segments are cut down to their peak maps before anything moves; then one
     subject's maps, a few thousand rows of 62 numbers at the usual sample of
     segments, meet in one group, in the order of keep and time.
     """
-    who = F.col(subject) if subject else F.lit(0)
-    src = segments.select(who.cast("long").alias("subject"), *keep, F.col(eeg).alias("__x"))
-    fields = T.StructType([T.StructField("subject", T.LongType()), *[src.schema[c] for c in keep], T.StructField("t", T.IntegerType()), T.StructField("map", T.ArrayType(T.DoubleType()))])
+    who = F.col(subject) if subject else F.lit(0).cast("long")
+    src = segments.select(who.alias("subject"), *keep, F.col(eeg).alias("__x"))
+    fields = T.StructType([src.schema["subject"], *[src.schema[c] for c in keep], T.StructField("t", T.IntegerType()), T.StructField("map", T.ArrayType(T.DoubleType()))])
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,6 +117,7 @@ def fit_template(segments: DataFrame, keep: tuple[str, ...] = ("seg",), subject:
     def cluster(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in (*keep, "t")])
         maps = template(np.array(t["map"].to_pylist()), seed=seed)
-        return pa.table({"subject": pa.array([t["subject"][0].as_py()] * len(maps), pa.int64()), "state": pa.array(range(len(maps)), pa.int32()), "map": pa.array(maps.tolist(), pa.list_(pa.float64()))})
+        return pa.table({"subject": pa.array([t["subject"][0].as_py()] * len(maps), t["subject"].type), "state": pa.array(range(len(maps)), pa.int32()), "map": pa.array(maps.tolist(), pa.list_(pa.float64()))})
 
-    return src.mapInArrow(peaks, fields).groupBy("subject").applyInArrow(cluster, "subject long, state int, map array<double>")
+    out = T.StructType([src.schema["subject"], T.StructField("state", T.IntegerType()), T.StructField("map", T.ArrayType(T.DoubleType()))])
+    return src.mapInArrow(peaks, fields).groupBy("subject").applyInArrow(cluster, out)

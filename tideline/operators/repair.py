@@ -54,6 +54,11 @@ def column_counts(frames: dict[str, DataFrame], spark) -> DataFrame:
     return spark.createDataFrame([(k, len(d.columns), len(d.columns) == first) for k, d in frames.items()], "source string, n_columns int, consistent boolean")
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Arrays as text, for sinks that know only plain columns."""
+    return df.select([F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+
+
 def write(df: DataFrame, path: str, by: tuple[str, ...] = (), fmt: str = "parquet") -> None:
     """Feature rows, partitioned; a rerun replaces only the partitions that it writes."""
     w = df.write.mode("overwrite").option("header", "true").option("partitionOverwriteMode", "dynamic" if by else "static")

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from tideline.session import written
 
 
-def indexed(keys: DataFrame, order: tuple[str, ...], name: str = "__r") -> DataFrame:
+def _of(segments: DataFrame, subject: str | None) -> tuple[str, ...]:
+    """The subject's column as a key, where the rows have one."""
+    return (subject,) if subject and subject in segments.columns else ()
+
+
+def indexed(rows: DataFrame, order: tuple[str, ...], name: str = "__r") -> DataFrame:
     """Rows with their place in one global order, from 0, without bringing all rows to one task.
 
     Rows are dealt by range and counted for each range; a range's rows are
@@ -16,34 +21,48 @@ def indexed(keys: DataFrame, order: tuple[str, ...], name: str = "__r") -> DataF
     a range, visit the driver.
     """
     part = F.spark_partition_id().alias("__p")
-    dealt = written(keys.repartitionByRange(*order).select("*", part), "ranges")
+    dealt = written(rows.repartitionByRange(*order).select("*", part), "ranges")
     before, offsets = 0, []
     for p, n in sorted(tuple(r) for r in dealt.groupBy("__p").count().collect()):
         offsets.append((p, before))
         before += n
-    base = keys.sparkSession.createDataFrame(offsets, "__p int, __base long")
+    base = rows.sparkSession.createDataFrame(offsets, "__p int, __base long")
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
     return dealt.withColumn("__own", own).join(F.broadcast(base), "__p").withColumn(name, F.col("__own") + F.col("__base")).drop("__own", "__base", "__p")
 
 
-def merge(segments: DataFrame, k: int, within: tuple[str, ...] = ("trial",), order: tuple[str, ...] = ("trial", "segment"), eeg: str | None = None) -> DataFrame:
+def merge(segments: DataFrame, k: int, within: tuple[str, ...] = ("trial",), order: tuple[str, ...] = ("trial", "segment"), eeg: str | None = None, subject: str | None = "subject") -> DataFrame:
     """Merge k consecutive segments of each partition `within`; an incomplete tail is dropped.
 
-    within=() merges across trials, by one ordering of all segments, whose
-    order columns must tell segments apart. Columns: trial, segment, label, start_time, end_time, time_length and, if named, the signal
-    (channels x samples), which is joined along time.
+    Segments of different subjects (column subject, where the rows have it)
+    never meet. within=() merges across trials: in each subject's own order,
+    or without subjects by one ordering of all segments, in which rows with
+    equal order columns keep any order. Columns: the subject, trial, segment,
+    label, start_time, end_time, time_length, source_file (that of the first)
+    and, if named, the signal (channels x samples), which is joined along time.
     """
-    cols = [c for c in ("trial", "segment", "session_id", "label", "start_time", "end_time", "time_length", eeg) if c and c in segments.columns]
-    if within:
-        numbered = segments.withColumn("__r", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    who = _of(segments, subject)
+    cols = [c for c in ("trial", "segment", "session_id", "label", "start_time", "end_time", "time_length", "source_file", eeg) if c and c in segments.columns]
+    keys = [*who, *(w for w in within if w not in who)]
+    if keys:
+        numbered = segments.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     else:
-        numbered = segments.join(indexed(segments.select(*order), order), list(order))
+        numbered = indexed(segments, order)
+    keys.append("merged_id")
     rows = numbered.withColumn("merged_id", F.expr(f"CAST(__r AS BIGINT) div {k}"))
-    keys = [*within, "merged_id"]
     g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__r", *cols))).alias("s")).where(F.size("s") == k)
     pick = lambda c: F.transform("s", lambda x: x[c])
-    out = g.select(*keys, pick("trial").alias("trial_ids"), pick("segment").alias("segment_ids"), *(x for c, n in (("session_id", "session_id"), ("label", "primary_label"), ("start_time", "start_time")) if c in cols for x in (F.col("s")[0][c].alias(n),)), *([pick("label").alias("labels")] if "label" in cols else []), *([F.col("s")[k - 1]["end_time"].alias("end_time")] if "end_time" in cols else []), *([F.aggregate(pick("time_length"), F.lit(0.0), lambda a, x: a + x).alias("total_time_length")] if "time_length" in cols else []), F.size("s").alias("merge_count"), F.transform("s", lambda x: F.concat(F.lit("trial"), x["trial"], F.lit("/segment"), x["segment"])).alias("source_segments"), *([_joined(eeg).alias(eeg)] if eeg else []))
-    return out
+    out = [pick("trial").alias("trial_ids"), pick("segment").alias("segment_ids")]
+    out += [F.col("s")[0][c].alias(n) for c, n in (("session_id", "session_id"), ("label", "primary_label"), ("start_time", "start_time"), ("source_file", "source_file")) if c in cols]
+    if "label" in cols:
+        out.append(pick("label").alias("labels"))
+    if "end_time" in cols:
+        out.append(F.col("s")[k - 1]["end_time"].alias("end_time"))
+    if "time_length" in cols:
+        out.append(F.aggregate(pick("time_length"), F.lit(0.0), lambda a, x: a + x).alias("total_time_length"))
+    out.append(F.size("s").alias("merge_count"))
+    out.append(F.transform("s", lambda x: F.concat(F.lit("trial"), x["trial"], F.lit("/segment"), x["segment"])).alias("source_segments"))
+    return g.select(*keys, *out, *([_joined(eeg).alias(eeg)] if eeg else []))
 
 
 def _joined(eeg: str):
@@ -51,17 +70,20 @@ def _joined(eeg: str):
     return F.transform(first, lambda _, i: F.flatten(F.transform("s", lambda x: x[eeg][i])))
 
 
-def sources(merged: DataFrame) -> DataFrame:
+def sources(merged: DataFrame, subject: str | None = "subject") -> DataFrame:
     """One row for each source segment of merged rows, to read them again."""
-    return merged.select("merged_id", F.posexplode("source_segments").alias("nth", "name")).select("merged_id", "nth", F.regexp_extract("name", r"trial(\d+)/", 1).cast("long").alias("trial"), F.regexp_extract("name", r"/segment(\d+)", 1).cast("long").alias("segment"))
+    who = _of(merged, subject)
+    out = merged.select(*who, "merged_id", F.posexplode("source_segments").alias("nth", "name"))
+    return out.select(*who, "merged_id", "nth", F.regexp_extract("name", r"trial(\d+)/", 1).cast("long").alias("trial"), F.regexp_extract("name", r"/segment(\d+)", 1).cast("long").alias("segment"))
 
 
-def sample(segments: DataFrame, n: int, by: str = "trial", key: str = "segment", seed: int = 42) -> DataFrame:
+def sample(segments: DataFrame, n: int, by: str = "trial", key: str = "segment", seed: int = 42, subject: str | None = "subject") -> DataFrame:
     """n segments of each trial, by a hash of seed and key that any engine can compute; all for n < 0."""
     if n < 0:
         return segments
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string"), F.col(key).cast("string")))
-    return segments.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(h, key))).where(F.col("__r") <= n).drop("__r")
+    who = _of(segments, subject)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*who, by, key)]))
+    return segments.withColumn("__r", F.row_number().over(Window.partitionBy(*who, by).orderBy(h, key))).where(F.col("__r") <= n).drop("__r")
 
 
 def sample_exact(spark, trials: dict[int, list[int]], n: int, seed: int = 42) -> DataFrame:
@@ -89,7 +111,11 @@ def sample_sorted(spark, trials: dict[int, list[int]], n: int | None, seed: int
     return spark.createDataFrame(rows, "trial long, segment long, drawn int")
 
 
-def statistics(segments: DataFrame) -> DataFrame:
-    """Segments of each label, where a trial counts with the label of its first segment."""
-    trial = segments.groupBy("trial").agg(F.min_by("label", "segment").alias("label"), F.count(F.lit(1)).alias("n"))
-    return trial.groupBy("label").agg(F.count(F.lit(1)).alias("n_trials"), F.sum("n").alias("n_segments"))
+def statistics(segments: DataFrame, by: str = "label", subject: str | None = "subject") -> DataFrame:
+    """Trials and segments of each subject and label; a trial counts with the label of its first segment.
+
+    by="session_id" counts them for each session in the same way.
+    """
+    who = _of(segments, subject)
+    trial = segments.groupBy(*who, "trial").agg(F.min_by(by, "segment").alias(by), F.count(F.lit(1)).alias("n"))
+    return trial.groupBy(*who, by).agg(F.count(F.lit(1)).alias("n_trials"), F.sum("n").alias("n_segments"))

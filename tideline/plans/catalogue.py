@@ -82,9 +82,50 @@ def seg_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.statistics(labelled(spark, sf_dir))
 
 
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of three subjects whose trial and segment numbers coincide, eight segments a trial."""
+    s = signals.embedding_segments(spark, sf_dir, 20)
+    seg = F.expr("seg div 3")
+    return s.select(
+        (F.col("seg") % 3).alias("subject"), F.expr("seg div 24").alias("trial"), seg.alias("segment"), (seg % 2 + 1).alias("session_id"), F.col("label").cast("long").alias("label"),
+        (seg * 2.0).alias("start_time"), (seg * 2.0 + 2.0).alias("end_time"), F.lit(2.0).alias("time_length"),
+    )
+
+
+def _flat_subjects(m: DataFrame) -> DataFrame:
+    flat = _flat(m.withColumn("source_segments", F.concat(F.array(F.concat(F.lit("subject"), "subject")), "source_segments")))
+    return flat.withColumnRenamed("source_segments", "sources")
+
+
+def seg_merge_within_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_subjects(segments.merge(subjects(spark, sf_dir), 2))
+
+
+def seg_merge_cross_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_subjects(segments.merge(subjects(spark, sf_dir), 2, within=()))
+
+
+def seg_lineage_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = subjects(spark, sf_dir)
+    back = segments.sources(segments.merge(own, 2, within=()))
+    return back.join(own.select("subject", "trial", "segment", "label"), ["subject", "trial", "segment"]).select("subject", "merged_id", F.col("nth").cast("long").alias("nth"), "trial", "segment", "label")
+
+
+def seg_sample_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.sample(subjects(spark, sf_dir), 1).select("subject", "trial", "segment")
+
+
+def seg_statistics_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.statistics(subjects(spark, sf_dir))
+
+
+def seg_statistics_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.statistics(subjects(spark, sf_dir), by="session_id")
+
+
 def seg_tumbling_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = signals.event_grid(spark, sf_dir)
-    return rounded(g.groupBy(F.expr("t div 24").alias("seg"), F.col("ch").cast("long").alias("ch")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_v"), F.max("v").alias("max_v")), ("seg", "ch"), 4)
+    return rounded(g.groupBy(F.expr("t div 24").alias("seg"), F.col("ch").cast("long").alias("ch")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_v"), F.max("v").alias("max_v")), ("seg", "ch"), 8)
 
 
 def electrode_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +285,12 @@ QUERIES: dict[str, Query] = {
     "seg_lineage": seg_lineage,
     "seg_sample_per_trial": seg_sample_per_trial,
     "seg_tumbling_grid": seg_tumbling_grid,
+    "seg_merge_within_subjects": seg_merge_within_subjects,
+    "seg_merge_cross_subjects": seg_merge_cross_subjects,
+    "seg_lineage_subjects": seg_lineage_subjects,
+    "seg_sample_subjects": seg_sample_subjects,
+    "seg_statistics_subjects": seg_statistics_subjects,
+    "seg_statistics_sessions": seg_statistics_sessions,
     "electrode_groups": electrode_groups,
     "feature_catalog": feature_catalog,
     "preset_sizes": preset_sizes,

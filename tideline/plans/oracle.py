@@ -103,6 +103,25 @@ SELECT string_agg(CAST(trial AS VARCHAR), ',' ORDER BY trial, segment) AS trial_
 FROM n GROUP BY {'trial, ' if part else ''}g HAVING count(*) = 2"""
 
 
+_SUBJECTS = """l AS (SELECT seg % 3 AS subject, CAST(seg // 24 AS BIGINT) AS trial, CAST(seg // 3 AS BIGINT) AS segment, CAST((seg // 3) % 2 + 1 AS BIGINT) AS session_id, label
+  FROM (SELECT CAST(vec_id // 20 AS BIGINT) AS seg, CAST(arg_min(label, vec_id) AS BIGINT) AS label FROM embeddings GROUP BY 1))"""
+
+
+def _merged_subjects(part: str) -> str:
+    listed = lambda c: f"string_agg({c}, ',' ORDER BY trial, segment)"
+    return f"""WITH {_SUBJECTS},
+  n AS (SELECT *, (row_number() OVER (PARTITION BY {part} ORDER BY trial, segment) - 1) // 2 AS g FROM l)
+SELECT {listed('CAST(trial AS VARCHAR)')} AS trial_ids, {listed('CAST(segment AS VARCHAR)')} AS segment_ids, arg_min(label, segment) AS primary_label,
+  {listed('CAST(label AS VARCHAR)')} AS labels, CAST(min(segment) * 2.0 AS DOUBLE) AS start_time, CAST(max(segment) * 2.0 + 2.0 AS DOUBLE) AS end_time,
+  CAST(2.0 * count(*) AS DOUBLE) AS total_time_length, count(*) AS merge_count, 'subject' || subject || ',' || {listed("'trial' || trial || '/segment' || segment")} AS sources
+FROM n GROUP BY {part}, g HAVING count(*) = 2"""
+
+
+def _statistics_subjects(by: str) -> str:
+    return f"""WITH {_SUBJECTS}, tr AS (SELECT subject, trial, arg_min({by}, segment) AS {by}, count(*) AS n FROM l GROUP BY ALL)
+SELECT subject, {by}, count(*) AS n_trials, CAST(sum(n) AS BIGINT) AS n_segments FROM tr GROUP BY ALL"""
+
+
 def _entropies(length: int = 100) -> str:
     n2, n3 = length - 1, length - 2
     return f"""WITH {_samples(length)},
@@ -192,6 +211,13 @@ SELECT seg, {_r('avg(a)', 8)} AS mean_abs_amplitude, {_r('avg(s0)', 8)} AS mean_
   {_r('avg(rate)', 8)} AS mean_zero_crossing_rate, {_r('avg(s0 * s0)', 8)} AS hjorth_activity, {_r('avg(mob)', 8)} AS hjorth_mobility, {_r(_CX_MOB, 8)} AS hjorth_complexity
 FROM m JOIN zc USING (seg, ch) GROUP BY seg""",
     "seg_statistics": f"WITH {_LABELLED}, tr AS (SELECT trial, arg_min(label, segment) AS label, count(*) AS n FROM l GROUP BY trial) SELECT label, count(*) AS n_trials, CAST(sum(n) AS BIGINT) AS n_segments FROM tr GROUP BY label",
+    "seg_merge_within_subjects": _merged_subjects("subject, trial"),
+    "seg_merge_cross_subjects": _merged_subjects("subject"),
+    "seg_lineage_subjects": f"""WITH {_SUBJECTS}, n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY trial, segment) - 1 AS r FROM l)
+SELECT subject, CAST(r // 2 AS BIGINT) AS merged_id, CAST(r % 2 AS BIGINT) AS nth, trial, segment, label FROM n QUALIFY count(*) OVER (PARTITION BY subject, r // 2) = 2""",
+    "seg_sample_subjects": f"WITH {_SUBJECTS} SELECT subject, trial, segment FROM l QUALIFY row_number() OVER (PARTITION BY subject, trial ORDER BY md5('42:' || subject || ':' || trial || ':' || segment), segment) <= 1",
+    "seg_statistics_subjects": _statistics_subjects("label"),
+    "seg_statistics_sessions": _statistics_subjects("session_id"),
     "seg_merge_within": _merged("PARTITION BY trial"),
     "seg_merge_cross": _merged(""),
     "seg_lineage": f"""WITH {_LABELLED}, n AS (SELECT *, row_number() OVER (ORDER BY trial, segment) - 1 AS r FROM l)
@@ -202,7 +228,7 @@ SELECT CAST(r // 2 AS BIGINT) AS merged_id, CAST(r % 2 AS BIGINT) AS nth, trial,
   ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS ch FROM (SELECT DISTINCT event_type FROM e)),
   hs AS (SELECT unnest(range(a, b + 1)) AS hour, a FROM (SELECT min(hour) AS a, max(hour) AS b FROM e)),
   grid AS (SELECT hour, hour - a AS t, ch, event_type FROM hs, ty)
-SELECT CAST(t // 24 AS BIGINT) AS seg, ch, count(*) AS n, {_r('avg(coalesce(v, 0))', 4)} AS mean_v, {_r('max(coalesce(v, 0))', 4)} AS max_v
+SELECT CAST(t // 24 AS BIGINT) AS seg, ch, count(*) AS n, {_r('avg(coalesce(v, 0))', 8)} AS mean_v, {_r('max(coalesce(v, 0))', 8)} AS max_v
 FROM grid LEFT JOIN seen USING (hour, event_type) GROUP BY 1, 2""",
     "electrode_groups": f"""SELECT montage, side AS hemisphere, area AS region, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
 FROM (SELECT montage, name, CASE WHEN name IN ('A1', 'T1', 'T9') THEN 'left' WHEN name IN ('A2', 'T2', 'T10') THEN 'right' ELSE {_SIDE} END AS side, {_AREA} AS area FROM {_montages}) GROUP BY 1, 2, 3""",
