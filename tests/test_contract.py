@@ -49,3 +49,22 @@ def test_entry_works_without_llm(monkeypatch):
 
 def test_every_sql_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_other_queries_survive_a_broken_corpus_part(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "tideline.llm.queries", None)  # its import raises ImportError
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry_module.queries()) == set(catalogue.QUERIES) and set(entry_module.oracle_sql()) == set(oracle.ORACLE_SQL)
+
+
+def test_clusters_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tideline.session import shared_dir
+
+    session = lambda master, at: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: at), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("local[2]", None)).startswith("file:/") and shared_dir(session("yarn", "hdfs:/x/")) == "hdfs:/x"
+    with pytest.raises(RuntimeError):
+        shared_dir(session("yarn", None))

@@ -23,11 +23,11 @@ def ship(spark: SparkSession) -> None:
 
     The zip goes through Spark's own file server, so nothing depends on a
     folder that the driver and the executors share. Done once a context. Rows
-    here are whole texts or recordings, so where the session has the default
-    of 10,000 rows in an Arrow batch, it is lowered to bound a worker's memory.
+    here are whole texts or recordings, so where nobody has set the rows of an
+    Arrow batch, 2,000 of them bound a worker's memory; a setting is kept.
     """
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows, "10000") == "10000":
+    if spark.conf.get(rows, None) is None:
         spark.conf.set(rows, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_tideline_shipped", False):
@@ -43,11 +43,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, for tables written between steps.
 
-    A cluster names it in spark.checkpoint.dir. Only where that setting is
-    missing (local tests) does the driver's temporary folder serve.
+    A cluster names it in spark.checkpoint.dir. Where driver and executors are
+    one process (a local master) the driver's temporary folder will do.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{os.path.join(tempfile.gettempdir(), 'tideline-shared')}"
     return at.rstrip("/")
 
