@@ -102,10 +102,69 @@ def test_jaccard_representatives(spark):
     assert kept.columns == table(spark, texts).columns
 
 
+def loose(spark, texts, setting):
+    docs = table(spark, texts)
+    often, seen, total = jaccard.frequent(jaccard.sized(docs, setting, "doc_id", "text"))
+    return jaccard.loose_links(docs, setting, "text", often, seen, total), often
+
+
+def test_jaccard_boilerplate_brings_nothing_together(spark, monkeypatch):
+    rnd = random.Random(21)
+    words = lambda n: " ".join(f"r{rnd.randrange(10**9)}" for _ in range(n))
+    footer = words(90)
+    for least in (256, 10**9):  # with the footer's shingles told as frequent ones, or counted in buckets
+        monkeypatch.setattr(jaccard, "FREQUENT_LEAST", least)
+        texts = [f"{words(200)} {footer}" for _ in range(1500)]
+        got, often = loose(spark, texts, jaccard.NEAR)
+        assert got.count() == 0 and (len(often) >= 86) == (least == 256)
+        a = texts[7].split()
+        a[50] = "changed"
+        got, _ = loose(spark, [*texts, " ".join(a)], jaccard.NEAR)
+        assert got.count() == 1  # work goes with similar texts, not with texts that share something
+
+
+@pytest.mark.parametrize("setting", [jaccard.STRICT, jaccard.NEAR])
+@pytest.mark.parametrize("seen", [8, 2])
+def test_jaccard_frequent_shingles_and_tight_windows(spark, monkeypatch, setting, seen):
+    for name, x in (("FREQUENT_LEAST", seen), ("SEEN_LEAST", seen), ("HELD", 500), ("BUCKET", 300), ("TILE", 400)):
+        monkeypatch.setattr(jaccard, name, x)
+    texts = corpus(22, 70)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classified(table(spark, texts), setting).collect()}
+    assert got == brute_components(texts, setting.k, setting.percent)
+
+
+def test_jaccard_pairs_at_the_threshold(spark):
+    texts, want = [], {}
+    for percent, setting in ((90, jaccard.STRICT), (80, jaccard.NEAR)):
+        texts, linked = [], []
+        for i in range(40):
+            for extra in (0, 1):
+                # `same` shingles in common, `own` in each of the two: just at the threshold, or one less in common
+                same, own = (percent // 10 * 10 * (1 + i % 3) - extra * (i % 2), (10 - percent // 10) * 5 * (1 + i % 3))
+                words = lambda p, n: " ".join(f"{p}{percent}x{i}x{extra}x{j}" for j in range(n))  # noqa: B023, E731
+                k = setting.k
+                a = words("s", same + k - 1) + " " + words("a", own)
+                b = words("s", same + k - 1) + " " + words("b", own)
+                linked.append(100 * same >= percent * (same + 2 * own))
+                texts += [a, b]
+        assert any(linked) and not all(linked)
+        got = {r.doc_id: r.component_id for r in jaccard.classified(table(spark, texts), setting).collect()}
+        want = {2 * i + j: 2 * i if j == 0 or x else 2 * i + 1 for i, x in enumerate(linked) for j in (0, 1)}
+        assert got == want
+
+
 def test_jaccard_empty(spark):
     assert jaccard.classified(table(spark, ["x"]).where("false")).count() == 0
 
 
+def test_components_of_hubs_and_null_ends(spark):
+    rnd = random.Random(23)
+    ids = rnd.sample(range(10**6), 400)
+    edges = [(ids[0], x) for x in ids[1:200]] + [(x, ids[399]) for x in ids[200:399]] + [(None, 5), (6, None), (ids[3], ids[0])]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(ids[:200]) for x in ids[:200]} | {x: min(ids[200:]) for x in ids[200:]}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

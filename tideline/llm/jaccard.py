@@ -1,17 +1,20 @@
-"""N-gram Jaccard join: size-banded tiles, bitmap bounds, exact intersection.
+"""N-gram Jaccard join: prefixes of rare shingles, size-banded tiles, bitmap bounds, exact intersection.
 
 1. A text's set is its distinct k-word shingles as 64-bit hashes (a shorter
    text is one shingle). Texts with equal sets form one node.
-2. Sets that may be similar are brought together by min-hash keys, BANDS keys
-   of ROWS min-hashes each. A pair at the threshold is missed with probability
-   (1 - t ** ROWS) ** BANDS, under 1e-12 for the settings below, and more
-   similar pairs more rarely still: about what 64-bit hashes of shingles
-   risk. Within a task equal keys are linked to one leader at once, so a key
-   crosses the shuffle once a task at most, however many texts have it.
-3. Linked nodes form loose groups. A group's nodes go to tiles: by size band
-   (neighbours in the ratio of the threshold) and, in large bands, by hash.
-   Only tiles of the same or neighbouring bands meet, since sets whose sizes
-   differ by more than the threshold can't be similar.
+2. Candidates by an exact prefix filter. Shingles have one order over the whole
+   corpus, by the number of nodes that hold them, rarest first. Sets with a
+   similarity of t share a shingle among the first n - ceil(t * n) + 1 of each.
+   A shingle that only one node holds can't be shared, so a set with that many
+   of its own has no candidates at all: boilerplate, which comes last in the
+   order, brings no sets together. Counting goes by buckets of the hash; a
+   bucket's counts return to the nodes, which post the rest of their prefix.
+   Shingles that are very frequent (at most FREQUENT of them by construction)
+   are told to all tasks beforehand and never meet in a bucket.
+3. Nodes that share a posted shingle form loose groups. A group's nodes go to
+   tiles: by size band (neighbours in the ratio of the threshold) and, in large
+   bands, by hash. Only tiles of the same or neighbouring bands meet, since
+   sets whose sizes differ by more than the threshold can't be similar.
 4. In a tile, bitmaps of the hashed shingles bound the overlap from above by
    bit counts; every pair that passes is decided by exact intersection. Each
    pair of nodes meets in one tile. A tile sends the number of links of each
@@ -19,11 +22,17 @@
    group's pairs, which grow with the square of its size, are counted there.
 5. Connected components of those links, by distributed star contraction.
 
-Null and empty texts have the empty set and are linked with nothing. Rows with
-equal texts are one node; equal ids are allowed. Similarities that equal the
-threshold link. A row's links go to all other rows with a similar or an equal
-set; rows of a set that has no row with a key are linked with nothing. Columns that aren't named are carried on by `representatives`
-and not looked at.
+Nothing is missed but for what 64-bit hashes of shingles and sets risk. In the
+order, a shingle goes by its bucket and 32 bits: where two shingles share
+these, they count as one, which only adds candidates.
+
+Null and empty texts have the empty set and are linked with nothing, and an
+empty table gives an empty one. Rows with equal texts are one node; equal ids
+are allowed. Similarities that equal the threshold link. A very long text is
+one large set, held by one task at a time; a tile has one such set at least. A
+row's links go to all other rows with a similar or an equal set; rows of a set
+that has no row with a key are linked with nothing. Columns that aren't named
+are carried on by `representatives` and not looked at.
 """
 
 from __future__ import annotations
@@ -35,29 +44,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.components import components
 from tideline.llm.substrings import buffers_binary
-from tideline.llm.words import MASK, Words, _splitmix, buffers, column, cut, mix, slices
+from tideline.llm.words import MASK, Words, buffers, column, cut, mix, slices
 from tideline.session import written
 
 #: Shingles in a tile at most, where one set isn't longer.
 TILE = 1_500_000
-#: Postings that a task holds before it links equal keys and passes them on.
+#: Shingles or postings that a task holds before it passes them on.
 HELD = 1_500_000
+#: Shingles in a bucket, on average at most.
+BUCKET = 4_000_000
+#: Frequent shingles at most; nodes that have one at least; and how often a task must see it among HELD shingles.
+FREQUENT, FREQUENT_LEAST, SEEN_LEAST = 1 << 20, 256, 8
 
 
 @dataclass(frozen=True)
 class Setting:
-    """Shingles of k words, similarity of at least percent/100; min-hash keys."""
+    """Shingles of k words, similarity of at least percent/100."""
 
     k: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 3
 
 
-STRICT = Setting(k=3, percent=90, bands=28, rows=4)
+STRICT = Setting(k=3, percent=90)
 NEAR = Setting()
 
 
@@ -90,39 +102,238 @@ def nodes(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(flat: np.ndarray, offsets: np.ndarray, s: Setting) -> np.ndarray:
-    """Min-hash keys of non-empty sets: sets x bands."""
-    start = offsets[:-1]
-    seed = _splitmix(101, 2 * s.bands * s.rows)
-    out = np.empty((len(start), s.bands), np.uint64)
-    for band in range(s.bands):
-        key = np.full(len(start), band, np.uint64)
-        for row in range(s.rows):
-            i = 2 * (band * s.rows + row)
-            low = np.minimum.reduceat((flat ^ seed[i]) * (seed[i + 1] | np.uint64(1)), start)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
-        out[:, band] = key
-    return out
-
-
 def _sets(b: pa.RecordBatch, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat, offsets = shingles(cut(*buffers(column(b, "__text")), lower=True), s.k)
     return flat, offsets, nodes(flat, offsets)
 
 
+def _once(flats: list[np.ndarray], sizes: list[np.ndarray], nodes_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of several slices, each node once and without the empty one: flat shingles, sizes, nodes."""
+    flat, size, node = np.concatenate(flats), np.concatenate(sizes), np.concatenate(nodes_)
+    first = np.unique(node, return_index=True)[1]
+    take = np.zeros(len(node), bool)
+    take[first[node[first] != 0]] = True
+    return flat[np.repeat(take, size)], size[take], node[take]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], s: Setting) -> Iterator[tuple[pa.RecordBatch | None, tuple | None]]:
+    """(slice, (sizes, nodes)) for each slice of texts, and (None, sets of a window of slices) now and then."""
+    held: list[tuple] = []
+    size = 0
+    for b in slices(batches, "__text"):
+        flat, offsets, node = _sets(b, s)
+        n = np.diff(offsets)
+        yield b, (n, node)
+        held.append((flat, n, node))
+        size += len(flat)
+        if size > HELD:
+            yield None, _once(*zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield None, _once(*zip(*held, strict=True))
+
+
 def sized(docs: DataFrame, s: Setting, key: str, text: str) -> DataFrame:
-    """key, n_shingles and node of each row."""
+    """key, n_shingles and node of each row; and rows (shingle, seen) for those that a task sees often."""
     src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    schema = docs.select(F.col(key)).schema.add("n_shingles", "long").add("node", "long")
+    own = src.schema["__key"].dataType
+    schema = T.StructType([T.StructField("__key", own), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "node", "shingle", "seen"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            _, offsets, node = _sets(b, s)
-            yield pa.RecordBatch.from_arrays([column(b, "__key"), pa.array(np.diff(offsets)), pa.array(node.view(np.int64))], names=schema.names)
+        kind = None
+        for b, got in _windows(batches, s):
+            if b is not None:
+                kind, n, zero = column(b, "__key").type, b.num_rows, pa.nulls(b.num_rows, pa.int64())
+                cols = [column(b, "__key"), pa.array(got[0]), pa.array(got[1].view(np.int64)), zero, zero]
+            else:
+                shingle, seen = np.unique(got[0], return_counts=True)
+                shingle, seen = shingle[seen >= SEEN_LEAST], seen[seen >= SEEN_LEAST]
+                n, zero = len(seen), pa.nulls(len(seen), pa.int64())
+                cols = [pa.nulls(n, kind), zero, zero, pa.array(shingle.view(np.int64)), pa.array(seen)]
+            if n:
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted frequent shingles, how often they were seen, and the shingles of all rows."""
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    least = max(FREQUENT_LEAST, -(-total // FREQUENT))  # at most FREQUENT shingles can be seen as often
+    often = rows.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least)
+    got = often.toPandas()
+    shingle = got["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], got["seen"].to_numpy(np.int64)[order], total
+
+
+def _packed(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary column: values[edge[i]:edge[i + 1]] for each i."""
+    offsets = (edge * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _runs(place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries sorted by place and owner: first entry of each run of equal ones and of each place, first run of each place, places."""
+    n = len(place)
+    new_place = np.ones(n, bool)
+    new_place[1:] = place[1:] != place[:-1]
+    new = new_place.copy()
+    new[1:] |= owner[1:] != owner[:-1]
+    first = np.flatnonzero(new)
+    lead = np.flatnonzero(new_place)
+    return first, np.append(lead, n), np.append(np.searchsorted(first, lead), len(first)), place[lead]
+
+
+def _share(h: np.ndarray, parts: int) -> np.ndarray:
+    """One of parts numbers, rising with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.int64)
+
+
+_SPREAD = "place int, kind int, part int, nodes binary, sizes binary, counts binary, body binary, ranks binary"
+_NAMES = [c.split()[0] for c in _SPREAD.split(", ")]
+
+
+def _sent(place: np.ndarray, owner: np.ndarray, node: np.ndarray, size: np.ndarray, body: np.ndarray, rank: np.ndarray, kind: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Rows, one a place, of the nodes' runs of entries (sorted by place and owner)."""
+    if not len(place):
+        return
+    first, edge, run_edge, places = _runs(place, owner)
+    who = owner[first]
+    count = np.diff(np.append(first, len(place))).astype(np.uint32)
+    fixed = [pa.array(np.full(len(places), x, np.int32)) for x in (kind, part)]
+    cols = [pa.array(places.astype(np.int32)), *fixed, _packed(node[who], run_edge), _packed(size[who].astype(np.uint32), run_edge), _packed(count, run_edge), _packed(body, edge), _packed(rank, edge if len(rank) else np.zeros(len(edge), np.int64))]
+    yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows with equal values of an integer column."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = column(b, name).to_numpy()
+        edge = (np.flatnonzero(v[1:] != v[:-1]) + 1).tolist()
+        for x, y in zip([0, *edge], [*edge, len(v)], strict=True):
+            if held and v[x] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(v[x])
+            held.append(b.slice(x, y - x))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The values of a binary column, row after row."""
+    return np.concatenate([buffers_binary(c)[0] for c in t[name].chunks if len(c)] or [np.zeros(0, np.uint8)]).view(kind)
+
+
+def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
+    """Rows (a, b): the nodes b that have the shingle a, shared by other nodes, in their prefix; stars in a task as links.
+
+    Texts go to buckets by shingle, counts back to the nodes.
+    """
+    spark = docs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(2 * n, -(-total // BUCKET))
+    shared = spark.sparkContext.broadcast((often, np.minimum(seen, (1 << 31) - 1)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, seen = shared.value
+        for b, got in _windows(batches, s):
+            if b is not None:
+                continue
+            flat, size, node = got
+            owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+                hot = often[at] == flat
+                # frequent ones go straight to their nodes
+                who = owner[hot]
+                place = _share(node, buckets)[who]
+                order = np.argsort(place, kind="stable")
+                yield from _sent(place[order], who[order], node, size, flat[hot][order], (seen[at[hot]][order] + (1 << 31)).astype(np.uint32), 1, 0)
+                flat, owner = flat[~hot], owner[~hot]
+            place = _share(flat, buckets)
+            order = np.argsort(place, kind="stable")
+            yield from _sent(place[order], owner[order], node, size, flat.astype(np.uint32)[order], np.zeros(0, np.uint32), 0, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of a bucket that several nodes have, with how many."""
+        for bucket, t in _groups(batches, "place"):
+            kind = t["kind"].to_numpy()
+            if kind.any():
+                yield from t.filter(pa.array(kind == 1)).to_batches()
+                t = t.filter(pa.array(kind == 0))
+            node, size, counts, tail = _joined(t, "nodes", np.uint64), _joined(t, "sizes", np.uint32), _joined(t, "counts", np.uint32).astype(np.int64), _joined(t, "body", np.uint32)
+            if not len(node):
+                continue
+            node, run = np.unique(node, return_index=True)  # a node's copies sent the same run
+            start = (np.cumsum(counts) - counts)[run]
+            counts, size = counts[run], size[run]
+            tail = tail[np.arange(int(counts.sum())) + np.repeat(start - (np.cumsum(counts) - counts), counts)]
+            order = np.argsort(tail, kind="stable")
+            ordered = tail[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            times = np.empty(len(tail), np.uint32)
+            times[order] = np.repeat(np.diff(np.append(first, len(tail))), np.diff(np.append(first, len(tail))))
+            owner = np.repeat(np.arange(len(node), dtype=np.int32), counts)
+            many = times > 1
+            owner = owner[many]
+            yield from _sent(_share(node, buckets)[owner], owner, node, size, tail[many], times[many], 0, bucket)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        most = 0
+        for _, t in _groups(batches, "place"):
+            kind, part = t["kind"].to_numpy(), t["part"].to_numpy()
+            order = np.argsort(kind, kind="stable")
+            t, kind, part = t.take(pa.array(order)), kind[order], part[order].astype(np.uint64)
+            plain = t.slice(0, int((kind == 0).sum()))
+            node, size, counts = _joined(t, "nodes", np.uint64), _joined(t, "sizes", np.uint32).astype(np.int64), _joined(t, "counts", np.uint32).astype(np.int64)
+            width = np.concatenate([np.diff(buffers_binary(c)[1]) for c in t["ranks"].chunks if len(c)]) // 4  # entries of each row
+            key = np.concatenate((_joined(plain, "body", np.uint32).astype(np.uint64), mix(_joined(t.slice(len(plain)), "body", np.uint64))))
+            key[: int(width[: len(plain)].sum())] |= np.repeat(part[: len(plain)], width[: len(plain)]) << np.uint64(32)
+            rank = _joined(t, "ranks", np.uint32)
+            node, first, owner = np.unique(node, return_index=True, return_inverse=True)
+            size = size[first]
+            owner = np.repeat(owner, counts)
+            if kind.any():  # copies of a node sent the same frequent shingles
+                keep = np.ones(len(key), bool)
+                hot = np.flatnonzero(rank >= 1 << 31)
+                keep[hot] = False
+                keep[hot[np.unique(mix(key[hot] ^ mix(node[owner[hot]])), return_index=True)[1]]] = True
+                owner, key, rank = owner[keep], key[keep], rank[keep]
+            shared_ = np.bincount(owner, minlength=len(node))
+            quota = size - (s.percent * size + 99) // 100 + 1 - (size - shared_)
+            order = np.lexsort((key, rank, owner))
+            owner, key = owner[order], key[order]
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(shared_) - shared_, shared_)
+            take = nth < quota[owner]
+            if take.any():
+                held.append((key[take], node[owner[take]]))
+                most += int(take.sum())
+            if most > HELD:
+                yield from _stars(held)
+                held, most = [], 0
+        if held:
+            yield from _stars(held)
+
+    src = docs.select(F.col(text).alias("__text"))
+    counted = src.mapInArrow(spread, _SPREAD).repartition(n, "place").sortWithinPartitions("place").mapInArrow(count, _SPREAD)
+    return counted.repartition(n, "place").sortWithinPartitions("place").mapInArrow(post, "link boolean, a long, b long")
+
+
+def _stars(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Each key with its first node (link false), and links from that node to the key's others."""
+    k, v, a, b = _linked(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+    for link, x, y in ((False, k, v), (True, a, b)):
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), link)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["link", "a", "b"])
+
+
 def _linked(keys_: np.ndarray, nodes_: np.ndarray) -> tuple[np.ndarray, ...]:
     """First node of each key, and pairs of a key's first node with its others."""
     order = np.lexsort((nodes_, keys_))
@@ -135,44 +346,8 @@ def _linked(keys_: np.ndarray, nodes_: np.ndarray) -> tuple[np.ndarray, ...]:
     return k[new], v[new], pair[:, 0], pair[:, 1]
 
 
-def loose_links(docs: DataFrame, s: Setting, text: str) -> DataFrame:
-    """Pairs (a, b) of nodes that share a min-hash key, as stars."""
-    schema = "link boolean, a long, b long"
-
-    def batch(link: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), link)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["link", "a", "b"])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, v, a, b = _linked(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            for i in range(0, len(k), 200_000):
-                yield batch(False, k[i : i + 200_000], v[i : i + 200_000])
-            if len(a):
-                yield batch(True, a, b)
-            held.clear()
-
-        for b in slices(batches, "__text"):
-            flat, offsets, node = _sets(b, s)
-            _, once = np.unique(node, return_index=True)
-            once = np.sort(once[node[once] != 0])
-            if not len(once):
-                continue
-            n = np.diff(offsets)
-            if len(once) < len(n):
-                take = np.zeros(len(n), bool)
-                take[once] = True
-                flat = flat[np.repeat(take, n)]
-            table = keys(flat, np.concatenate(([0], np.cumsum(n[once]))), s)
-            held.append((table.ravel(), np.repeat(node[once], s.bands)))
-            size += table.size
-            if size > HELD:
-                yield from flush()
-                size = 0
-        if held:
-            yield from flush()
+def loose_links(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a posted shingle, as stars."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = None
@@ -199,9 +374,8 @@ def loose_links(docs: DataFrame, s: Setting, text: str) -> DataFrame:
                 pair = np.unique(np.column_stack((lead[other], v[other])), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    src = docs.select(F.col(text).alias("__text"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    posted = src.mapInArrow(post, schema).repartition(n, "a").sortWithinPartitions("link", "a")
+    posted = postings(docs, s, text, often, seen, total).repartition(n, "a").sortWithinPartitions("link", "a")
     return posted.mapInArrow(join, "a long, b long").distinct()
 
 
@@ -275,12 +449,12 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int, weight: n
     return out, found
 
 
-def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame, often: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
     """Exact links between nodes: a spanning forest of each tile, as rows with a < b or a > b, and rows (a, a, links of a in a tile).
 
     classes: node, n, id, rows (one row a node).
     """
-    groups = components(loose_links(docs, s, text), "loose")
+    groups = components(loose_links(docs, s, text, often, seen, total), "loose")
     ratio = float(np.log(100 / s.percent)) * (1 + 1e-9)  # sizes in that very ratio stay neighbours
     member = classes.join(groups.hint("merge"), "node").withColumn("band", F.floor(F.log("n") / ratio).cast("int"))
     member = written(member, "members")
@@ -364,9 +538,11 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame)
 
 def classified(docs: DataFrame, s: Setting = NEAR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_shingles, component_id (least key reachable by links, itself included), n_links (other rows linked with it)."""
-    rows = written(sized(docs, s, key, text), "sized")
+    every = written(sized(docs, s, key, text), "sized")
+    often, seen, total = frequent(every)
+    rows = every.where(F.col("shingle").isNull()).select(F.col("__key").alias(key), "n_shingles", "node")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).where(F.col("id").isNotNull())
-    exact = written(links(docs, s, key, text, classes), "links")
+    exact = written(links(docs, s, key, text, classes, often, seen, total), "links")
     groups = components(exact, "groups")
     least = groups.join(classes.select("node", "id").hint("merge"), "node").groupBy("component").agg(F.min("id").alias("__least"))
     grouped = groups.join(least.hint("merge"), "component").select("node", "__least")
