@@ -208,6 +208,51 @@ def test_quality_bound_is_exact():
     assert sum(math.comb(40, i) * p**i * (1 - p) ** (40 - i) for i in range(4)) == pytest.approx(0.01, abs=1e-9)
 
 
+@pytest.mark.parametrize(("k", "n"), [(1000, 50_000), (10**6, 10**8), (0, 10**9)])
+def test_quality_bound_counts_the_whole_tail(k, n):
+    # far from k, the bound is about the Wilson bound; a tail cut short would put it too low
+    p, z = quality_rules.upper_bound(k, n, 0.001), 3.0902323
+    wilson = (k + z * z / 2 + z * math.sqrt(k * (1 - k / n) + z * z / 4)) / (n + z * z)
+    assert p == pytest.approx(-math.log(0.001) / n if k == 0 else wilson, rel=1e-3) and p > k / n
+
+
+def test_quality_cutoffs_are_tested_in_sequence():
+    tally = {"good": 2000, "bad": 200} | {(r, c): (0, 0) for r, (_, cs) in quality_rules.GRID.items() for c in cs}
+    # the cutoff that rejects least fails, so those beyond it aren't tried
+    tally |= {("mean_word", 15.0): (100, 0), ("mean_word", 12.0): (0, 50), ("short_word", 2.0): (0, 5), ("short_word", 2.5): (1, 60), ("short_word", 3.0): (90, 90)}
+    assert quality_rules.select({"en": tally}) == {"en": {"short_word": 2.5}}
+
+
+def test_quality_kept_equals_plain_rules(spark):
+    rnd = random.Random(33)
+    texts, labels = [], []
+    for i in range(2400):
+        bad = i % 6 == 0
+        w = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(3, 7))) for _ in range(rnd.randint(5, 30))]
+        texts.append(" ".join(w).upper() if bad and rnd.random() < 0.8 else " ".join(w))
+        labels.append((i, int(not bad)))
+    langs = [["en", "de"][i // 7 % 2] for i in range(2402)]
+    docs = table(spark, [*texts, None, ""], langs)
+    told = spark.createDataFrame(labels[:2000], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality_rules.apply_rules(docs, told, risk=0.2).collect()}
+    tally = {}
+    upper = {i: sum(c.isupper() for c in t) / max(sum(c.isalpha() for c in t), 1) for i, t in enumerate(texts)}
+    for i, good in labels[:2000]:
+        if not rows[i].base_failed:
+            t = tally.setdefault(langs[i], {"good": 0, "bad": 0} | {(r, c): (0, 0) for r, (_, cs) in quality_rules.GRID.items() for c in cs})
+            t["good" if good else "bad"] += 1
+            for c in quality_rules.GRID["upper_share"][1]:
+                g, x = t["upper_share", c]
+                t["upper_share", c] = (g + good * (upper[i] > c), x + (1 - good) * (upper[i] > c))
+    cutoffs = quality_rules.select(tally, risk=0.2)
+    assert sorted(cutoffs) == ["de", "en"] and all(list(v) == ["upper_share"] for v in cutoffs.values())
+    for i in range(2400):
+        assert rows[i].kept == (not rows[i].base_failed and not upper[i] > cutoffs[langs[i]]["upper_share"])
+    assert not rows[2400].kept and not rows[2401].kept
+    empty = quality_rules.apply_rules(docs, told.where("false"))
+    assert empty.where("kept = base_failed").count() == 0 and empty.count() == 2402
+
+
 def test_quality_selection_controls_risk():
     tally = {"good": 2000, "bad": 200} | {(r, c): (0, 0) for r, (_, cs) in quality_rules.GRID.items() for c in cs}
     tally["upper_share", 0.3] = (0, 150)
@@ -242,6 +287,16 @@ def test_pieces_equal_library(spark, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_pieces_of_a_very_long_chunk(tokenizer):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+    enc = pieces.Encoder(pieces.load(tokenizer))
+    rnd = random.Random(35)
+    for t in ("ab" * 200_000 + "c", "".join(rnd.choice("etaoinshrdlu") for _ in range(300_000))):
+        assert enc.encode(t) == lib.encode(t)
+
+
 # -- 4
 
 
@@ -255,9 +310,56 @@ def test_toxicity_grammar():
     assert kinds("not an idiot") == {toxicity.INS | toxicity.NEGATED: 1}
     assert kinds("he said what an utter and complete idiot") == {toxicity.INS | toxicity.REPORTED: 1}
     assert kinds("we will kill the lights. no idiot") == {toxicity.THR: 1, toxicity.INS | toxicity.NEGATED: 1}
+    assert kinds("I will kill all of them") == {toxicity.THR: 1, toxicity.TGT | toxicity.AIMED: 1}
+    assert kinds("nobody said I will destroy you") == {toxicity.THR | toxicity.REPORTED: 1, toxicity.TGT | toxicity.AIMED | toxicity.REPORTED: 1}
     assert kinds("idiotic trashcan, nothing else") == {} and kinds("") == {}
 
 
+def test_toxicity_grammar_equals_the_plain_rules():
+    machine, rnd = toxicity.grammar(), random.Random(31)
+    for _ in range(300):
+        symbols = [rnd.choice([0, 0, 0, 1, 2, 3, 4, 5, 6]) for _ in range(25)]
+        want = []
+        for i, s in enumerate(symbols):
+            begin = max([k + 1 for k in range(i) if symbols[k] == toxicity.BRK], default=0)
+            before = symbols[begin:i]
+            aimed = None
+            for k in range(len(before) - 1, -1, -1):  # the last threat, with no target since
+                if before[k] == toxicity.TGT or len(before) - k > 3:
+                    break
+                if before[k] == toxicity.THR:
+                    aimed = k
+                    break
+            if s in (toxicity.INS, toxicity.THR) or s == toxicity.TGT and aimed is not None:
+                s |= toxicity.AIMED if s == toxicity.TGT else toxicity.DIRECTED if toxicity.TGT in before[-4:] else 0
+                s |= toxicity.NEGATED if toxicity.NEG in before[-3:] else 0
+                s |= toxicity.REPORTED if toxicity.REP in before else 0
+            want.append(s)
+        assert machine.run(symbols) == want
+
+
+def test_toxicity_reads_clauses_to_their_ends():
+    reader = toxicity.Reader(toxicity.lexicon(()))
+    far = "word " * 400
+    counts = dict(zip(toxicity.KINDS, reader.counts(f"he said {far} you are an idiot {far} and a moron. scum"), strict=True))
+    assert {k: n for k, n in counts.items() if n} == {
+        toxicity.INS | toxicity.DIRECTED | toxicity.REPORTED: 1,
+        toxicity.INS | toxicity.REPORTED: 1,
+        toxicity.INS: 1,
+    }
+    assert sum(reader.counts("x" * 395 + " y " * 2 + "idiot " * 500)) == 500
+
+
+def test_toxicity_learning_ignores_the_order_of_rows(spark):
+    rnd = random.Random(32)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    texts = [" ".join([*(word() for _ in range(30)), *(["zlurg"] if i % 3 == 0 else [])]) for i in range(300)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    a, b = (toxicity.train(d, labels) for d in (docs, docs.orderBy(docs.doc_id.desc()).repartition(7)))
+    assert a.lexicon == b.lexicon and np.array_equal(a.weights, b.weights) and any("zlurg".startswith(x) for x in a.lexicon.stems)
+
+
 def test_toxicity_learns_held_out(spark):
     rnd = random.Random(8)
     texts, labels = [], []
@@ -359,6 +461,14 @@ def test_decontaminate_clean(spark):
     assert out == {0: "Before it stands,  and after it comes more of the text to keep.", 2: None, 3: "clean text"}
 
 
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"some text before {item} and quite enough of it after the passage too", 5, "h", "i", "l")], "doc_id long, text string, __n long, __hits string, __Items string, __longest string")
+    row = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert tuple(row)[2:] == (5, "h", "i", "l") and "q5" not in row.text
+    assert decontaminate.report(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), keep=("__n", "__hits")).first().n_hit == 12
+
+
 def test_decontaminate_no_items(spark):
     rows = decontaminate.report(table(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert {(r.n_words, r.n_hit, r.contaminated) for r in rows} == {(2, 0, False), (0, 0, False)}
@@ -381,6 +491,65 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, docs.where("false")).collect()} == {"und"}
 
 
+def brute_language(texts, samples):
+    """Greedy longest phrases by plain substring search, in blocks."""
+    sym = lambda t: bytes(language.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append("und")
+            continue
+        x, counts = sym(t), {}
+        for name in sorted(samples):
+            s, n = samples[name].tobytes(), 0
+            for at in range(0, len(x), language.BLOCK):
+                block, i = x[at : at + language.BLOCK], 0
+                while i < len(block):
+                    j = i + 1
+                    while j <= len(block) and block[i:j] in s:
+                        j += 1
+                    i = max(i + 1, j - 1)
+                    n += 1
+            counts[name] = n
+        out.append(min(sorted(counts), key=counts.get))
+    return out
+
+
+@pytest.mark.parametrize("group", [4, 2])
+def test_language_equals_plain_parsing(spark, monkeypatch, group):
+    monkeypatch.setattr(language, "GROUP", group)
+    monkeypatch.setattr(language, "SHARE", 600)
+    rnd = random.Random(34)
+    words = {x: ["".join(rnd.choice(a) for _ in range(4)) for _ in range(15)] for x, a in (("l1", "abcde"), ("l2", "cdefg"), ("l3", "efgha"), ("l4", "abcde"), ("l5", "éabüc"))}
+    langs = [rnd.choice(sorted(words)) for _ in range(90)]
+    texts = [" ".join(rnd.choice(words[x]) for _ in range(rnd.randint(3, 60))) for x in langs] + ["", "42", "zz", None, "a " * 3000]
+    docs = table(spark, texts, [*langs, None, None, None, None, None])
+    samples = {}
+    for got in language.sampled(docs, "text", "lang", "doc_id"):
+        assert len(got) <= group
+        samples |= got
+    assert sorted(samples) == sorted(words) and all(len(s) <= 600 for s in samples.values())
+    rows = {r.doc_id: r.lang_pred for r in language.identify(docs, docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_language(texts, samples)
+
+
+def test_language_samples_hold_whole_texts():
+    short, long = "abc " * 20, "xyz " * 5000
+    got = bytes(language.chosen([long, short, short], 300))
+    one = bytes(language.symbols(np.frombuffer(short.encode(), np.uint8), np.array([0, len(short)]))[0])
+    assert got == (one + b"\x00") * 2
+    assert len(language.chosen([long], 320)) == 320 and len(language.chosen([], 300)) == 0
+
+
+def test_language_learns_any_number_of_languages(spark):
+    names = [f"l{i:03d}" for i in range(300)]
+    docs = table(spark, [chr(0x4E00 + 7 * i) * 20 for i in range(300)], names)
+    # three of 300, at the end of the order
+    assert len(list(language.sampled(docs, "text", "lang", "doc_id"))) == 75
+    last = docs.where("lang >= 'l290'")
+    assert {(r.doc_id, r.lang_pred) for r in language.identify(last, last).collect()} == {(i, names[i]) for i in range(290, 300)}
+
+
 def test_cross_parsing_counts_longest_phrases():
     p = language.Parser({"a": np.frombuffer(b"\x01\x02\x03\x01\x02", np.uint8)})
     s = np.array([1, 2, 3, 1, 2, 2, 9, 3, 1], np.uint8)  # 12312|2|9|31

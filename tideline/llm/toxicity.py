@@ -4,25 +4,33 @@ Words of a clause become symbols (insult, threat, target, negation, report,
 other, break). Four small transducers read that string one after the other
 and are composed into one machine beforehand:
 
-* target: an insult or threat up to four words after a target is directed;
+* threat: a target up to three words after a threat is what it aims at, and
+  the two are an aimed threat;
+* insult: an insult or threat up to four words after a target is directed;
 * negation: one up to three words after a negation is negated;
-* reported speech: one after a reporting verb, in the same clause, is reported;
-* clause: the count of each kind of matched clause element.
+* reported speech: one after a reporting verb, in the same clause, is reported.
 
-A document's score is a logistic function of log(1 + count) of each kind,
-with weights fitted on labelled texts around a stated prior, so that a kind
-the labels don't show keeps its prior weight. Isolated words don't count: only
-what the machine puts out for whole clauses does.
+What the machine puts out for a whole clause, however long, is counted by kind
+(insult, threat or aimed threat, with each combination of marks). A document's
+score is a logistic function of log(1 + count) of each kind, with weights
+fitted on labelled texts around a stated prior, so that a kind the labels don't
+show keeps its prior weight. In the prior a threat that aims at nothing is
+almost nothing ("kill the lights"). An insult without any target or mark is a
+clause of its own kind and has a weight too, since labels mark such clauses:
+in that, single words do count.
 
 The lexicon is a fixed list, extended by words and word stems that occur in
 labelled toxic texts far more often than chance allows (a likelihood ratio
 above a threshold that grows with the number of candidates). Learning takes
-at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled texts, whole, chosen by a
-hash of their ids.
+at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled texts, whole, chosen and
+ordered by a hash of their ids, so that it doesn't depend on the rows' order.
 
 An Aho-Corasick automaton over the insult and threat words finds the clauses
-to read; a clause reaches 400 characters to each side of such a word at most. Null, empty and clause-free texts get the score of no evidence.
-Rows are independent of each other; repeated rows repeat.
+to read; a clause is read from its first word to its last. Null, empty and
+clause-free texts get the score of no evidence; an empty table gives an empty
+one, and without labels the prior decides. Very long texts are read whole.
+Rows are independent of each other; repeated rows repeat, and equal texts get
+equal scores. Other columns are carried on; a column named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -61,12 +69,13 @@ selon dijo escribió según""".split()
 
 CLASSES = ("other", "insult", "threat", "target", "negation", "report", "break")
 OTHER, INS, THR, TGT, NEG, REP, BRK = range(7)
-#: Marks that transducers add to an insult or threat.
-DIRECTED, NEGATED, REPORTED = 8, 16, 32
-KINDS = [c | m for c in (INS, THR) for m in range(0, 64, 8)]
+#: Marks that transducers add to an insult or threat, and to the target of a threat.
+DIRECTED, NEGATED, REPORTED, AIMED = 8, 16, 32, 64
+KINDS = [c | m for c in (INS, THR) for m in range(0, 64, 8)] + [TGT | AIMED | m for m in (0, NEGATED, REPORTED, NEGATED | REPORTED)]
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;\n]")
+_BREAKS = ".!?;\n"
+_CLAUSE = re.compile(f"[{_BREAKS}]")
 
 
 @dataclass
@@ -84,14 +93,15 @@ class Transducer:
 
 
 def marker(trigger: int, mark: int, reach: int | None, alphabet: list[int]) -> Transducer:
-    """Adds mark to insults and threats within reach symbols after trigger (None: until the clause ends)."""
+    """Adds mark to insults, threats and their targets within reach symbols after trigger (None: until the clause ends)."""
     n = 1 if reach is None else reach
     arcs: list[dict[int, tuple[int, int]]] = []
     for left in range(n + 1):  # left: how many symbols the mark still reaches
         row = {}
         for s in alphabet:
             kind = s & 7
-            out = s | mark if left and kind in (INS, THR) else s
+            marked = kind in (INS, THR) or s & AIMED and mark != DIRECTED
+            out = s | mark if left and marked else s
             if kind == BRK:
                 to = 0
             elif kind == trigger:
@@ -119,13 +129,30 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(arcs)
 
 
+def aim(reach: int, alphabet: list[int]) -> Transducer:
+    """Marks a target up to reach symbols after a threat as aimed at."""
+    arcs = []
+    for left in range(reach + 1):
+        row = {}
+        for s in alphabet:
+            if s == THR:
+                row[s] = (reach, s)
+            elif s == TGT and left:
+                row[s] = (0, s | AIMED)
+            else:
+                row[s] = (0 if s == BRK else max(0, left - 1), s)
+        arcs.append(row)
+    return Transducer(arcs)
+
+
 def grammar() -> Transducer:
     base = list(range(7))
-    marked = lambda *m: base + sorted({c | x for c in (INS, THR) for x in m})
-    target = marker(TGT, DIRECTED, 4, base)
+    marked = lambda *m: base + sorted({c | x for c in (INS, THR) for x in m} | {TGT | AIMED | x & ~DIRECTED for x in (0, *m)})
+    threat = aim(3, base)
+    insult = marker(TGT, DIRECTED, 4, marked())
     negation = marker(NEG, NEGATED, 3, marked(DIRECTED))
     report = marker(REP, REPORTED, None, marked(DIRECTED, NEGATED, DIRECTED | NEGATED))
-    return compose(compose(target, negation), report)
+    return compose(compose(compose(threat, insult), negation), report)
 
 
 #: Prior weights: of no evidence, and of each kind.
@@ -133,8 +160,11 @@ BIAS = -3.0
 
 
 def prior() -> np.ndarray:
-    w = [4.5 + 1.0 * bool(k & DIRECTED) - 2.5 * bool(k & NEGATED) - 2.0 * bool(k & REPORTED) - 0.5 * ((k & 7) == THR) for k in KINDS]
-    return np.array([BIAS, *w])
+    def weight(kind: int) -> float:
+        base = {INS: 4.5, THR: 0.5, TGT: 5.5}[kind & 7]
+        return max(0.0, base + (1.0 if kind & DIRECTED else 0.0) - (2.5 if kind & NEGATED else 0.0) - (2.0 if kind & REPORTED else 0.0))
+
+    return np.array([BIAS, *map(weight, KINDS)])
 
 
 @dataclass
@@ -172,12 +202,11 @@ class Reader:
             begin = last + 1 - size
             if begin < done or begin and (low[begin - 1].isalpha() or low[begin - 1] == "_"):
                 continue
-            start = max((m.end() for m in _CLAUSE.finditer(low, max(done, begin - 400), begin)), default=max(done, begin - 400))
+            start = max(done, *(low.rfind(c, done, begin) + 1 for c in _BREAKS))
             stop = _CLAUSE.search(low, last + 1)
             done = stop.start() if stop else len(low)
-            done = min(done, last + 401) if done > last + 401 else done
-            for o in self.machine.run([self.symbol(w) for w in _WORD.findall(low[start:done])]):
-                if o & 7 in (INS, THR):
+            for o in self.machine.run([self.symbol(w) for w in _WORD.findall(low, start, done)]):
+                if o in self.at:
                     out[self.at[o]] += 1
         return out
 
@@ -271,8 +300,7 @@ def _spread(good: dict[str, int], groups: list[list[str]]) -> dict[str, int]:
         words = {w for t in texts_ for w in _WORD.findall(t.lower())}
         rare = {w for w in words if len(w) >= 8}
         for f in _features(words) & good.keys():
-            if len(where[f]) < 40:
-                where[f].append(rare)
+            where[f].append(rare)
     out = {}
     for f, sets in where.items():
         near = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:], strict=False)]
@@ -321,7 +349,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     picked = told.where(h < F.when(F.col("__label") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0])))
     # picked has about SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers whatever the input
     own = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    rows = [(r[0], r[1]) for r in own.join(F.broadcast(picked), F.col("__id") == F.col("__key")).select("__text", "__label").collect()]
+    got = own.join(F.broadcast(picked), F.col("__id") == F.col("__key")).select(F.xxhash64(F.col("__id").cast("string")), "__text", "__label").collect()
+    rows = [(r[1], r[2]) for r in sorted(map(tuple, got))]
     lex = lexicon(learned(rows))
     reader = Reader(lex)
     x = np.array([reader.counts(t) for t, _ in rows], float).reshape(-1, len(KINDS))
