@@ -3,17 +3,22 @@
 Each rule compares one measure of a text with a cutoff. Cutoffs are chosen on
 labelled holdouts, apart for each stratum: a cutoff may be used only if the
 exact (Clopper-Pearson) upper confidence bound of its false-rejection rate,
-that is the share of good documents which it rejects, is at most `risk`. The
-error level `delta` is split over all strata, rules and cutoffs tried
-(Bonferroni), and the rules of a stratum share its risk, so that with
-probability 1 - delta the rules together reject at most `risk` of the good
-documents of every stratum. Among cutoffs that pass, each rule takes the one
-that rejects most bad documents; a rule that has none that passes, or that
-rejects no more bad than good documents, is off in that stratum.
-
-Strata without a labelled document use no learned rule. Null texts have no
-words and fail the base rule (fewer than ten words). Each input row gives one
-row; repeated rows and ties give equal results.
+that is the share of good documents which it rejects, is at most its rule's
+part of `risk`. The error level `delta` is split over strata and rules
+(Bonferroni); a rule's cutoffs, a grid fixed in advance, are tested in their
+order from the one that rejects least on, each at the rule's whole level, and
+testing stops at the first that fails (fixed-sequence testing). The rules of a
+stratum share its risk, so that with probability 1 - delta the rules together
+reject at most `risk` of the good documents of every stratum. Among cutoffs
+that pass, each rule takes the one that rejects most bad documents beside good
+ones, the first of equals; a rule that has none that passes, or that rejects
+no more bad than good documents, is off in that stratum.
+
+Strata without a labelled document use no learned rule, nor does any stratum
+without labels at all. Null texts have no words and fail the base rule (fewer
+than ten words). Very long texts are measured whole. Each input row gives one
+row, and an empty table none; repeated rows and ties give equal results. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from tideline.session import written
 
 #: Largest share of good documents that the learned rules of a stratum may reject together, and the error level.
 RISK, DELTA = 0.05, 0.05
-#: Cutoffs tried for each rule: a grid fixed in advance, so that trying it costs only its length.
+#: Cutoffs tried for each rule, the one that rejects most first.
 GRID: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbol_share": (">", (0.01, 0.02, 0.05, 0.1, 0.2, 0.5)),
     "dup_line_share": (">", (0.05, 0.1, 0.2, 0.3, 0.5, 0.7)),
@@ -39,7 +44,7 @@ GRID: dict[str, tuple[str, tuple[float, ...]]] = {
     "upper_share": (">", (0.1, 0.2, 0.3, 0.5, 0.7)),
     "punct_share": (">", (0.05, 0.1, 0.15, 0.2, 0.3)),
     "mean_word": (">", (8.0, 10.0, 12.0, 15.0)),
-    "short_word": ("<", (2.0, 2.5, 3.0, 3.5)),
+    "short_word": ("<", (3.5, 3.0, 2.5, 2.0)),
 }
 #: Which measure a rule reads, where its name isn't the measure's.
 MEASURE = {"short_word": "mean_word"}
@@ -157,21 +162,35 @@ def _rejects(rule: str, cutoff: float, m: dict):
     return value > cutoff if GRID[rule][0] == ">" else value < cutoff
 
 
+def incomplete_beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(1 - x, b, a)
+    tiny, m = 1e-300, 0
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    while True:
+        m += 1
+        before = out
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d or tiny)
+            c = 1 + num / c or tiny
+            out *= c * d
+        if abs(out - before) <= 1e-15 * abs(out) or m > 1_000_000:
+            break
+    return out * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+
 def upper_bound(k: int, n: int, level: float) -> float:
     """Clopper-Pearson: the largest rate p with P(X <= k | n, p) >= level, by bisection."""
     if n <= 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(max(0, k - 400), k + 1)]
-    first = max(0, k - 400)
-
-    def tail(p: float) -> float:
-        a, b = math.log(p), math.log1p(-p)
-        return math.fsum(math.exp(c + i * a + (n - i) * b) for i, c in enumerate(logs, first))
-
     low, high = k / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        if mid >= 1.0 or tail(mid) < level:
+        if incomplete_beta(1 - mid, n - k, k + 1) < level:
             high = mid
         else:
             low = mid
@@ -180,17 +199,18 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 def select(tallies: dict[tuple, dict], risk: float = RISK, delta: float = DELTA) -> dict[tuple, dict[str, float]]:
     """Cutoffs by stratum. tallies: stratum -> {"good": n, "bad": n, (rule, cutoff): (good rejected, bad rejected)}."""
-    tests = sum(len(c) for _, c in GRID.values()) * max(1, len(tallies))
-    level, share = delta / tests, risk / len(GRID)
+    level, share = delta / (len(GRID) * max(1, len(tallies))), risk / len(GRID)
     out: dict[tuple, dict[str, float]] = {}
     for stratum, t in tallies.items():
         chosen: dict[str, float] = {}
-        for rule, (_, cutoffs) in GRID.items():
+        for rule, (side, cutoffs) in GRID.items():
             best = 0.0
-            for c in cutoffs:
+            for c in sorted(cutoffs, reverse=side == ">"):  # the one that rejects least first
                 good, bad = t[rule, c]
+                if upper_bound(good, t["good"], level) > share:
+                    break
                 lift = bad / max(t["bad"], 1) - good / max(t["good"], 1)
-                if bad and lift > best and upper_bound(good, t["good"], level) <= share:
+                if bad and lift > best:
                     best, chosen[rule] = lift, c
         out[stratum] = chosen
     return out
