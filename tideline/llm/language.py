@@ -1,20 +1,28 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton is built over a bounded sample of its
-labelled text (SAMPLE_SYMBOLS symbols over all languages together, dealt
-evenly; whole documents in the order of a hash of their id until the share is
-full). A text is then cut greedily into the longest phrases that occur in a
-language's sample: an automaton with "start afresh" as the failing move is a
-plain table, so thousands of text blocks step through it side by side. The
-language with the fewest phrases per symbol wins.
-
-Texts are read whole, in blocks of BLOCK symbols (a phrase ends with its
-block). Symbols are the bytes of the text with ASCII letters lower-cased, all
-other ASCII characters as one, and runs of that one cut to length one.
+labelled text: whole documents in the order of a hash of their id until SHARE
+symbols are full. Those longer than a quarter of the share come last, so that
+no document makes up a sample where there are others; a language that has no
+document within its share gives its shortest one, in evenly spaced pieces. A
+text is then cut greedily into the longest phrases that occur in a language's
+sample: an automaton with "start afresh" as the failing move is a plain table,
+so thousands of text blocks step through it side by side. The language with
+the fewest phrases per symbol wins.
+
+Any number of languages is learned: GROUP of them have their tables in memory
+at once, and texts pass one group after another.
+
+Texts are read whole, in blocks of BLOCK symbols; a phrase ends with its block,
+in every language alike, which leaves their order as it is. Symbols are the
+bytes of the text with ASCII letters lower-cased, all other ASCII characters as
+one, and runs of that one cut to length one.
 
 Null or empty texts, and texts without any letter, give `und` and score 0.
-Without a labelled text every text gives `und`. Languages with equal counts
-are decided for the name that sorts first.
+Without a labelled text every text gives `und`, and an empty table gives an
+empty one. Languages with equal counts are decided for the name that sorts
+first. Repeated rows get equal results; columns that aren't named are not
+looked at.
 """
 
 from __future__ import annotations
@@ -23,19 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideline.llm.words import LOWER, buffers, column, slices
+from tideline.session import written
 
-#: Symbols of training text over all languages: bounds the tables at 2 * SAMPLE_SYMBOLS * alphabet * 4 bytes.
-SAMPLE_SYMBOLS = 120_000
-#: Labelled documents read for the sample, over all languages; eight of each at least.
-SAMPLE_DOCS = 800
-#: Languages learned at most, those with most labelled texts first.
-LANGUAGES = 256
+#: Symbols of training text of a language, and languages whose tables are held at once: bounds these at 2 * SHARE * GROUP * alphabet * 4 bytes.
+SHARE, GROUP = 30_000, 4
+#: Labelled documents read for the sample of a language, about.
+SAMPLE_DOCS = 200
 BLOCK = 512
+#: How sharply the score falls with a language's rate.
+SHARP = 40.0
 NONE = "und"
 
 
@@ -146,25 +155,39 @@ class Parser:
         return out
 
 
-def sampled(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, np.ndarray]:
-    """The samples: of each language the whole texts whose id hashes below a cutoff that gives about its share of SAMPLE_DOCS."""
+def chosen(texts: list[str], share: int) -> np.ndarray:
+    """The sample of a language from its texts in their order: whole ones that fit, or the shortest one in pieces."""
+    parts = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        s = symbols(data, np.array([0, len(data)], np.int64))[0]
+        if len(s):
+            parts.append(s)
+    out, size = [], 0
+    for s in sorted(parts, key=lambda s: len(s) > share // 4):  # stable
+        if size + len(s) + 1 <= share:
+            out += [s, np.zeros(1, np.uint8)]  # a blank between texts
+            size += len(s) + 1
+    if out:
+        return np.concatenate(out)
+    shortest = min(parts, key=len, default=np.zeros(0, np.uint8))
+    n = share // 16
+    return np.concatenate([shortest[a : a + n] for a in np.linspace(0, len(shortest) - n, 16).astype(int)]) if len(shortest) else shortest
+
+
+def sampled(labelled: DataFrame, text: str, lang: str, key: str) -> Iterator[dict[str, np.ndarray]]:
+    """The samples of each group of languages, from the texts whose id hashes below a cutoff that gives about SAMPLE_DOCS."""
     named = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    sizes = {r[0]: r[1] for r in named.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()}
-    if not sizes:
-        return {}
-    share = SAMPLE_SYMBOLS // len(sizes)
-    most = max(8, SAMPLE_DOCS // len(sizes))
-    cutoff = F.create_map(*[F.lit(x) for n, k in sizes.items() for x in (n, min(1 << 32, (most << 32) // k))])
+    sizes = sorted((r[0], r[1]) for r in named.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect())
     h = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32))
-    rows = named.where(h < cutoff[F.col(lang)]).select(F.col(lang), h, F.col(text)).collect()
-    by: dict[str, list[str]] = {}
-    for name, _, t in sorted(map(tuple, rows)):
-        by.setdefault(name, []).append(t)
-    out = {}
-    for name, parts in by.items():
-        data = np.frombuffer("\n".join(parts).encode(), np.uint8)
-        out[name] = symbols(data, np.array([0, len(data)], np.int64))[0][:share]
-    return out
+    for at in range(0, len(sizes), GROUP):
+        cutoff = F.create_map(*[F.lit(x) for n, k in sizes[at : at + GROUP] for x in (n, min(1 << 32, max(1, (SAMPLE_DOCS << 32) // k)))])
+        rows = named.where(h < cutoff[F.col(lang)]).select(F.col(lang), h, F.col(text)).collect()
+        by: dict[str, list[str]] = {}
+        for name, _, t in sorted(map(tuple, rows)):
+            by.setdefault(name, []).append(t)
+        got = {name: chosen(parts, SHARE) for name, parts in by.items()}
+        yield {name: s for name, s in got.items() if len(s)}
 
 
 _parsers: dict[tuple, Parser] = {}
@@ -186,30 +209,35 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     phrases per symbol of the winner as `rate`. Map-only but for the sample.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sampled(labelled, text, lang, key))
-    src = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = T.StructType([src.schema[c] for c in keep])
-    schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rate", T.DoubleType())
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    src = docs.select(*keep, F.col(text).alias("__text"), letters.alias("__letters"), F.lit(None).cast("string").alias("__lang"), F.lit(None).cast("double").alias("__rate"), F.lit(0.0).alias("__odds"))
+    for nth, samples in enumerate(sampled(labelled, text, lang, key)):
+        if samples:
+            src = _step(written(src, "languages") if nth else src, spark.sparkContext.broadcast(samples))
+    known = F.col("__letters") & F.col("__lang").isNotNull()
+    return src.select(
+        *keep,
+        F.when(known, F.col("__lang")).otherwise(NONE).alias("lang_pred"),
+        F.when(known, F.exp(-SHARP * F.col("__rate")) / F.col("__odds")).otherwise(0.0).alias("score"),
+        F.when(known, F.col("__rate")).otherwise(0.0).alias("rate"),
+    )
+
+
+def _step(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Take the languages of one group into each row's best language, its rate, and the sum of all odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(shared.value)
         for b in slices(batches, "__text"):
             s, offsets = symbols(*buffers(column(b, "__text")))
-            n = b.num_rows
-            known = np.array(column(b, "__letters").to_pylist(), bool) & bool(p.names)
-            if p.names:
-                rate = p.phrases(s, offsets) / np.maximum(np.diff(offsets), 1)[:, None]
-                best = rate.argmin(1)
-                least = rate[np.arange(n), best]
-                odds = np.exp(-40 * (rate - least[:, None]))
-                score = 1 / odds.sum(1)
-                names = np.array(p.names, object)[best]
-            else:
-                least, score, names = np.zeros(n), np.zeros(n), np.full(n, NONE, object)
-            cols = [column(b, c) for c in keep]
-            cols.append(pa.array(np.where(known, names, NONE).tolist(), pa.string()))
-            cols.append(pa.array(np.where(known, score, 0.0)))
-            cols.append(pa.array(np.where(known, least, 0.0)))
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rate"])
-
-    return src.mapInArrow(run, schema)
+            rate = p.phrases(s, offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+            best = rate.argmin(1)
+            least = rate[np.arange(b.num_rows), best]
+            before = column(b, "__rate").fill_null(np.inf).to_numpy(zero_copy_only=False)
+            better = least < before
+            names = np.where(better, np.array(p.names, object)[best], np.array(column(b, "__lang").to_pylist(), object))
+            odds = column(b, "__odds").to_numpy(zero_copy_only=False) + np.exp(-SHARP * rate).sum(1)
+            put = {"__lang": pa.array(names.tolist(), pa.string()), "__rate": pa.array(np.minimum(least, before)), "__odds": pa.array(odds)}
+            yield pa.RecordBatch.from_arrays([put.get(f.name, c) for f, c in zip(b.schema, b.columns, strict=True)], names=b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
