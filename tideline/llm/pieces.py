@@ -2,7 +2,8 @@
 
 encode(text) gives exactly what the sentencepiece library gives for a BPE
 model with an identity normaliser, a dummy prefix, escaped white space and
-byte fallback (anything else in the model is refused). The route:
+byte fallback (anything else in the model, user-defined pieces too, is
+refused). The route:
 
 * an Aho-Corasick automaton over the vocabulary lists, for every position,
   the pieces that start there, longest first;
@@ -16,8 +17,11 @@ merge-order encoding of that prefix, hence the result is exact and each
 position fails once at most.
 
 Null texts count as empty; an empty text has no ids and decodes to an empty
-text. Bytes that are no UTF-8 count as U+FFFD. Repeated rows give repeated
-rows. Other columns of the input are not looked at.
+text, and an empty table gives an empty one. Bytes that are no UTF-8 count as
+U+FFFD. A very long text is encoded whole, in chunks that no merge crosses; the
+bitfield takes one bit a character of a chunk. Of pairs with equal scores the
+leftmost merges first, as in the library. Repeated rows give repeated rows.
+Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.words import column, slices
 
@@ -46,6 +52,7 @@ class Vocabulary:
     ids: dict[str, int]
     byte_ids: tuple[int, ...]
     text: tuple[str, ...]
+    silent: frozenset[int] = frozenset()  # control pieces, which have no text
 
 
 def load(path: str) -> Vocabulary:
@@ -60,6 +67,8 @@ def load(path: str) -> Vocabulary:
     plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
     if train.model_type != train.BPE or not train.byte_fallback or train.treat_whitespace_as_suffix or not plain:
         raise ValueError("the model must be BPE with byte fallback, an identity normaliser and a dummy prefix")
+    if any(p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in spec.pieces):
+        raise ValueError("user-defined pieces are not supported")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     score, ids, byte_ids, text = {}, {}, [0] * 256, []
     for i in range(lib.vocab_size()):
@@ -71,7 +80,8 @@ def load(path: str) -> Vocabulary:
             score[p], ids[p] = lib.get_score(i), i
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError("pieces that cross white space are not supported")
-    return Vocabulary(score, ids, tuple(byte_ids), tuple(text))
+    silent = frozenset(i for i in range(lib.vocab_size()) if lib.is_control(i))
+    return Vocabulary(score, ids, tuple(byte_ids), tuple(text), silent)
 
 
 class Encoder(dict):
@@ -157,11 +167,11 @@ class Encoder(dict):
             best[last - size + 1] = token  # longer ones come later
         length, shorter, pairs = self.length, self.shorter, self.pairs
         out: list[int] = []
-        failed = pos = 0
+        failed, pos = b"", 0  # a bitfield of positions, once there is one
         token, left = best[0], -1
         while True:
             end = pos + length[token]
-            if failed and failed >> end & 1:
+            if failed and failed[end >> 3] >> (end & 7) & 1:
                 fit = False
             elif left < 0:
                 fit = True
@@ -179,7 +189,8 @@ class Encoder(dict):
             while token < 0:
                 if not out:
                     raise ValueError(f"no encoding of {s[:50]!r}")
-                failed |= 1 << pos
+                failed = failed or bytearray(n // 8 + 1)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 last = out.pop()
                 pos -= length[last]
                 token = shorter[last]
@@ -211,7 +222,7 @@ class Encoder(dict):
             if run:
                 out.append(_utf8(bytes(run)))
                 run.clear()
-            if i in _CONTROL:
+            if i in self.v.silent:
                 continue
             out.append(self.v.text[i].replace(SPACE, " "))
         if run:
@@ -232,17 +243,11 @@ class Encoder(dict):
             self[chunk] = got
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, and the hashes of the ids and of the decoded text."""
+    def read(self, text: str) -> tuple[str, str]:
+        """Ids joined by commas, and the decoded text."""
         got = [self[c] for c in self.chunks(text)]
         decoded = "".join([g[1] for g in got])
-        decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        joined = ",".join([g[0] for g in got])
-        return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-
-
-#: Ids of the begin and end marks, which have no text.
-_CONTROL = frozenset({1, 2})
+        return ",".join([g[0] for g in got]), decoded[1:] if decoded.startswith(" ") else decoded
 
 
 def _utf8(raw: bytes) -> str:
@@ -296,8 +301,6 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
     shared = spark.sparkContext.broadcast(load(path))
     src = docs.select(*keep, F.col(text).alias("__text"))
     out = [src.schema[c] for c in keep]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*out, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if real:
         schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
@@ -306,13 +309,15 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
         enc = encoder(shared.value)
         for b in slices(batches, "__text"):
             values = texts(column(b, "__text"))
-            rows = [enc.digest(t) for t in values]
+            rows = [enc.read(t) for t in values]
+            sizes = [ids.count(",") + 1 if ids else 0 for ids, _ in rows]
             cols = [column(b, c) for c in keep]
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            cols += [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+            cols += [pa.array(sizes, pa.int64()), *(pa.array([hashlib.sha256(r[k].encode()).hexdigest() for r in rows], pa.string()) for k in (0, 1))]
             if real:
-                ids = [enc.encode(t) for t in values]
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids], pa.string())]
+                flat = np.fromstring(",".join([ids for ids, _ in rows if ids]), np.int32, sep=",")
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                cols += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([d for _, d in rows], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
