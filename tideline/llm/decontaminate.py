@@ -12,9 +12,11 @@ automaton then decides on them. This is exact, since a window has only such
 pairs.
 
 Words: A-Z lower-cased, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Null and empty
-texts have no words; items without words are never found. Items with equal
-text are all reported, an item without an id as an empty string. Every row of the input gives one row, repeated rows
-too. Items are collected only up to SHARD_CHARS characters at a time: a larger
+texts have no words; items without words are never found, and without items
+nothing is hit. Items with equal text are all reported, an item without an id
+as an empty string. Every row of the input gives one row, repeated rows too;
+an empty table gives an empty one. Very long texts are streamed whole. Other
+columns are carried on by `clean` and not looked at, whatever their names. Items are collected only up to SHARD_CHARS characters at a time: a larger
 benchmark is dealt to several automata, and the documents pass them in turn.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.words import ALNUM, buffers, column, cut, slices
+from tideline.llm.words import ALNUM, buffers, column, cut, slices, unused
 from tideline.session import written
 
 WINDOW = 10
@@ -217,17 +219,18 @@ _HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _HITS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _step(docs: DataFrame, shared: Broadcast, text: str, window: int) -> DataFrame:
+def _step(docs: DataFrame, shared: Broadcast, text: str, window: int, names_: dict[str, str]) -> DataFrame:
     """Adds the hits of one automaton to those that the rows have."""
     schema = docs.schema
+    n_, hits_, items_, longest_ = (names_[k] for k in ("n", "hits", "items", "longest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(shared.value, window)
         for b in slices(batches, text):
             w = cut(*buffers(column(b, text)), inside=ALNUM, lower=True)
-            hits = [[(x["start"], x["end"]) for x in v or ()] for v in column(b, "__hits").to_pylist()]
-            names = [set(v or ()) for v in column(b, "__items").to_pylist()]
-            most = column(b, "__longest").to_pylist()
+            hits = [[(x["start"], x["end"]) for x in v or ()] for v in column(b, hits_).to_pylist()]
+            names = [set(v or ()) for v in column(b, items_).to_pylist()]
+            most = column(b, longest_).to_pylist()
             runs = auto.stretches(w.hash, w.first)
             owner = np.searchsorted(w.first, [a for a, _ in runs], side="right") - 1
             for (start, stop), doc in zip(runs, owner.tolist(), strict=True):
@@ -237,10 +240,10 @@ def _step(docs: DataFrame, shared: Broadcast, text: str, window: int) -> DataFra
                 names[doc] |= items
                 most[doc] = max(most[doc], longest)
             put = {
-                "__n": pa.array(w.n),
-                "__hits": pa.array([[{"start": a, "end": e} for a, e in _merged(h)] for h in hits], _HITS_ARROW),
-                "__items": pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                "__longest": pa.array(most, pa.int32()),
+                n_: pa.array(w.n),
+                hits_: pa.array([[{"start": a, "end": e} for a, e in _merged(h)] for h in hits], _HITS_ARROW),
+                items_: pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                longest_: pa.array(most, pa.int32()),
             }
             yield pa.RecordBatch.from_arrays([put.get(f.name, c) for f, c in zip(b.schema, b.columns, strict=True)], names=b.schema.names)
 
@@ -257,32 +260,39 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with __n (words), __hits (word intervals), __items (sorted strings) and __longest added."""
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, dict[str, str]]:
+    """docs with four columns added, and these columns' names.
+
+    n (words), hits (word intervals), items (sorted strings) and longest: the
+    longest match in the stretches that may hold a window; shorter matches
+    elsewhere aren't looked at.
+    """
     spark = docs.sparkSession
-    out = docs.withColumns({"__n": F.lit(0).cast("long"), "__hits": F.lit(None).cast(_HITS), "__items": F.lit(None).cast("array<string>"), "__longest": F.lit(0)})
+    names = {k: unused(docs.columns, f"__{k}") for k in ("n", "hits", "items", "longest")}
+    empty = {"n": F.lit(0).cast("long"), "hits": F.lit(None).cast(_HITS), "items": F.lit(None).cast("array<string>"), "longest": F.lit(0)}
+    out = docs.withColumns({names[k]: v for k, v in empty.items()})
     for k, shard in enumerate(_shards(items, item, item_text)):
         if k:
             out = written(out, "decontaminate")
-        out = _step(out, spark.sparkContext.broadcast(shard), text, window)
-    return out
+        out = _step(out, spark.sparkContext.broadcast(shard), text, window, names)
+    return out, names
 
 
-def hit_words() -> Column:
-    return F.coalesce(F.aggregate("__hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long"))
+def hit_words(hits: str) -> Column:
+    return F.coalesce(F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long"))
 
 
 def report(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
-    """One row a document: n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
-    m = matches(docs.select(*keep, "text"), items, window=window)
+    """One row a document: n_words, n_hit, n_items, items_sha256, contaminated, longest_match (see `matches`)."""
+    m, at = matches(docs.select(*keep, F.col("text").alias("__text")), items, text="__text", window=window)
     return m.select(
         *keep,
-        F.col("__n").alias("n_words"),
-        hit_words().alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
-        (hit_words() > 0).alias("contaminated"),
-        F.col("__longest").alias("longest_match"),
+        F.col(at["n"]).alias("n_words"),
+        hit_words(at["hits"]).alias("n_hit"),
+        F.size(at["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", at["items"]), 256).alias("items_sha256"),
+        (hit_words(at["hits"]) > 0).alias("contaminated"),
+        F.col(at["longest"]).alias("longest_match"),
     )
 
 
@@ -291,12 +301,13 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = 0.5, window: int
 
     Texts without a hit, null texts too, stay as they are.
     """
-    m = matches(docs, items, window=window).where(hit_words() <= F.col("__n") * coverage)
+    m, own = matches(docs, items, window=window)
+    m = m.where(hit_words(own["hits"]) <= F.col(own["n"]) * coverage)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            hits = column(b, "__hits").to_pylist()
+            hits = column(b, own["hits"]).to_pylist()
             if any(hits):
                 data, offsets = buffers(column(b, "text"))
                 w = cut(data, offsets, inside=ALNUM, lower=True)

@@ -167,6 +167,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_
             at = stop
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name like name that no column has, in any case."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
