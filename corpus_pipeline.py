@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, jaccard, pieces, secrets, toxicity
 from tideline.llm.queries import remainder, tokenizer_path
+from tideline.llm.words import unused
 from tideline.session import ship, table, written
 
 
@@ -19,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar scores at the threshold or above go."""
     ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
-    return toxicity.score(docs, model, out="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = unused(docs.columns, "__score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +45,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text encoded, and decoded again."""
+    """Each text encoded, and decoded again: the token ids to train on, and their digests."""
     ship(spark)
-    return pieces.encode_decode(docs, tokenizer_path())
+    return pieces.encode_decode(docs, tokenizer_path(), real=True).drop("decoded")
 
 
 STAGES = [
