@@ -173,39 +173,39 @@ def _packed(values: np.ndarray, edge: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _runs(place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries sorted by place and owner: first entry of each run of equal ones and of each place, first run of each place, places."""
-    n = len(place)
-    new_place = np.ones(n, bool)
-    new_place[1:] = place[1:] != place[:-1]
-    new = new_place.copy()
-    new[1:] |= owner[1:] != owner[:-1]
-    first = np.flatnonzero(new)
-    lead = np.flatnonzero(new_place)
-    return first, np.append(lead, n), np.append(np.searchsorted(first, lead), len(first)), place[lead]
-
-
 def _share(h: np.ndarray, parts: int) -> np.ndarray:
     """One of parts numbers, rising with the hash."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.int64)
 
 
 _SPREAD = "place int, kind int, part int, nodes binary, sizes binary, counts binary, body binary, ranks binary"
+_NONE = np.zeros(0, np.uint32)
 _NAMES = [c.split()[0] for c in _SPREAD.split(", ")]
 
 
-def _sent(place: np.ndarray, owner: np.ndarray, node: np.ndarray, size: np.ndarray, body: np.ndarray, rank: np.ndarray, kind: int, part: int) -> Iterator[pa.RecordBatch]:
-    """Rows, one a place, of the nodes' runs of entries (sorted by place and owner)."""
-    if not len(place):
+def _sent(place: np.ndarray, node: np.ndarray, size: np.ndarray, count: np.ndarray, body: np.ndarray, rank: np.ndarray, kind: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Rows, one a place, of runs of entries (body and rank, count of them a run) sorted by place."""
+    n = len(place)
+    if not n:
         return
-    first, edge, run_edge, places = _runs(place, owner)
-    who = owner[first]
-    count = np.diff(np.append(first, len(place))).astype(np.uint32)
-    fixed = [pa.array(np.full(len(places), x, np.int32)) for x in (kind, part)]
-    cols = [pa.array(places.astype(np.int32)), *fixed, _packed(node[who], run_edge), _packed(size[who].astype(np.uint32), run_edge), _packed(count, run_edge), _packed(body, edge), _packed(rank, edge if len(rank) else np.zeros(len(edge), np.int64))]
+    lead = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    run = np.append(lead, n)
+    edge = np.concatenate(([0], np.cumsum(count)))[run]
+    none = np.zeros(len(run), np.int64)
+    fixed = [pa.array(np.full(len(lead), x, np.int32)) for x in (kind, part)]
+    cols = [pa.array(place[lead].astype(np.int32)), *fixed, _packed(node, run), _packed(size, run if len(size) else none)]
+    cols += [_packed(count.astype(np.uint32), run), _packed(body, edge), _packed(rank, edge if len(rank) else none)]
     yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
 
+def _of_runs(place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First entry and length of each run of entries that are sorted by place and owner."""
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(place)))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.Table]]:
     """Runs of rows with equal values of an integer column."""
     held: list[pa.RecordBatch] = []
@@ -237,7 +237,7 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(2 * n, -(-total // BUCKET))
+    n = buckets = max(n, -(-total // BUCKET))
     shared = spark.sparkContext.broadcast((often, np.minimum(seen, (1 << 31) - 1)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,18 +247,24 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
                 continue
             flat, size, node = got
             owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            # each node's size goes to its place, with those of its shingles that are frequent
+            place = _share(node, buckets)
+            order = np.argsort(place, kind="stable")
             if len(often):
                 at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
                 hot = often[at] == flat
-                # frequent ones go straight to their nodes
-                who = owner[hot]
-                place = _share(node, buckets)[who]
-                order = np.argsort(place, kind="stable")
-                yield from _sent(place[order], who[order], node, size, flat[hot][order], (seen[at[hot]][order] + (1 << 31)).astype(np.uint32), 1, 0)
+                by = np.argsort(place[owner[hot]], kind="stable")
+                count, body = np.bincount(owner[hot], minlength=len(node)), flat[hot][by]
+                rank = (seen[at[hot][by]] + (1 << 31)).astype(np.uint32)
                 flat, owner = flat[~hot], owner[~hot]
+            else:
+                count, body, rank = np.zeros(len(node), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            yield from _sent(place[order], node[order], size[order].astype(np.uint32), count[order], body, rank, 1, 0)
             place = _share(flat, buckets)
             order = np.argsort(place, kind="stable")
-            yield from _sent(place[order], owner[order], node, size, flat.astype(np.uint32)[order], np.zeros(0, np.uint32), 0, 0)
+            place, owner = place[order], owner[order]
+            first, count = _of_runs(place, owner)
+            yield from _sent(place[first], node[owner[first]], _NONE, count, flat.astype(np.uint32)[order], _NONE, 0, 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries of a bucket that several nodes have, with how many."""
@@ -267,12 +273,12 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
             if kind.any():
                 yield from t.filter(pa.array(kind == 1)).to_batches()
                 t = t.filter(pa.array(kind == 0))
-            node, size, counts, tail = _joined(t, "nodes", np.uint64), _joined(t, "sizes", np.uint32), _joined(t, "counts", np.uint32).astype(np.int64), _joined(t, "body", np.uint32)
+            node, counts, tail = _joined(t, "nodes", np.uint64), _joined(t, "counts", np.uint32).astype(np.int64), _joined(t, "body", np.uint32)
             if not len(node):
                 continue
             node, run = np.unique(node, return_index=True)  # a node's copies sent the same run
             start = (np.cumsum(counts) - counts)[run]
-            counts, size = counts[run], size[run]
+            counts = counts[run]
             tail = tail[np.arange(int(counts.sum())) + np.repeat(start - (np.cumsum(counts) - counts), counts)]
             order = np.argsort(tail, kind="stable")
             ordered = tail[order]
@@ -282,7 +288,9 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
             owner = np.repeat(np.arange(len(node), dtype=np.int32), counts)
             many = times > 1
             owner = owner[many]
-            yield from _sent(_share(node, buckets)[owner], owner, node, size, tail[many], times[many], 0, bucket)
+            first, counts = _of_runs(owner, owner)
+            node = node[owner[first]]
+            yield from _sent(_share(node, buckets), node, _NONE, counts, tail[many], times[many], 0, bucket)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -292,15 +300,17 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
             order = np.argsort(kind, kind="stable")
             t, kind, part = t.take(pa.array(order)), kind[order], part[order].astype(np.uint64)
             plain = t.slice(0, int((kind == 0).sum()))
-            node, size, counts = _joined(t, "nodes", np.uint64), _joined(t, "sizes", np.uint32).astype(np.int64), _joined(t, "counts", np.uint32).astype(np.int64)
+            node, counts = _joined(t, "nodes", np.uint64), _joined(t, "counts", np.uint32).astype(np.int64)
             width = np.concatenate([np.diff(buffers_binary(c)[1]) for c in t["ranks"].chunks if len(c)]) // 4  # entries of each row
             key = np.concatenate((_joined(plain, "body", np.uint32).astype(np.uint64), mix(_joined(t.slice(len(plain)), "body", np.uint64))))
             key[: int(width[: len(plain)].sum())] |= np.repeat(part[: len(plain)], width[: len(plain)]) << np.uint64(32)
             rank = _joined(t, "ranks", np.uint32)
-            node, first, owner = np.unique(node, return_index=True, return_inverse=True)
-            size = size[first]
+            node, owner = np.unique(node, return_inverse=True)
+            told = _joined(t, "sizes", np.uint32).astype(np.int64)  # those of kind 1, which come last
+            size = np.zeros(len(node), np.int64)
+            size[owner[len(owner) - len(told) :]] = told
             owner = np.repeat(owner, counts)
-            if kind.any():  # copies of a node sent the same frequent shingles
+            if (rank >= 1 << 31).any():  # copies of a node sent the same frequent shingles
                 keep = np.ones(len(key), bool)
                 hot = np.flatnonzero(rank >= 1 << 31)
                 keep[hot] = False
