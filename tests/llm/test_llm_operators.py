@@ -646,14 +646,15 @@ def test_mixing(spark, monkeypatch, hot):
     monkeypatch.setattr(mixing, "HOT", hot)
     texts = corpus(15, 40)
     docs = table(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id IN (9, 10)"))  # repeated rows
     from pyspark.sql import functions as F
 
     held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
     rows = mixing.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t in enumerate(texts)}
-    c = Counter(x for i, w in tokens.items() if i not in held for x in w)
+    c = Counter(x for i, w in tokens.items() if i not in held for x in w * (1 + (i in (9, 10))))
     n, v = sum(c.values()), len(c)
-    assert len(rows) == len(texts)
+    assert sorted(r.doc_id for r in rows) == sorted([*range(len(texts)), 9, 10])
     for r in rows:
         w = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
@@ -661,15 +662,99 @@ def test_mixing(spark, monkeypatch, hot):
         assert r.score < 0 and math.isfinite(r.score)
 
 
-def test_mixing_bits_are_a_distribution():
+def small_mixer():
     m = mixing.Mixer(np.zeros((len(mixing.ORDERS), 2, 1 << mixing.SLOT_BITS), np.float32))
-    w = mixing.of_strings(pa.array(["aa", "b"]))
-    mixing.tally(w, np.array([5, 3]), m.table, 1)
-    ctx = [w.contexts(o) for o in mixing.ORDERS]
-    for node, bit in w.bits():
-        for b in (bit, 1 - bit):
-            logits, gate = m.inputs(ctx, node, b, w.place, 0)
-            assert ((p := m.refined(*m.mixed(logits, gate), gate)) > 0).all() and (p < 1).all()
+    mixing.tally(mixing.of_strings(pa.array(["aa", "ab", "b", "abab"])), np.array([5, 2, 3, 1]), m.table, 1)
+    m.learn(mixing.of_strings(pa.array(["aa", "b", "abab"])), np.ones(3))
+    return m
+
+
+def test_mixing_bits_are_a_distribution():
+    m = small_mixer()
+    for model in (m, m.frozen()):
+        w = mixing.of_strings(pa.array(["aa", "b", "zz"]))
+        at = model.at(w)
+        for node, bit in w.bits():
+            slot, p = at.step(node), []
+            for b in (bit, 1 - bit):
+                logits, gate = model.inputs(slot, b, w.place, 0)
+                one = model.refined(*model.mixed(logits, gate), gate)
+                p.append(np.where(b == 1, one, 1 - one))
+            assert np.allclose(p[0] + p[1], 1) and (p[0] > 0).all()
+    # all words of one letter and those that go on: the blank after it is one of 256 bytes
+    ones = mixing.of_strings(pa.array([chr(c) for c in range(0x21, 0x7F)]))
+    assert 0 < (10.0 ** m.frozen().bits(ones, 0)).sum() < 1
+
+
+def small_sequence(seed=41):
+    rnd = np.random.default_rng(seed)
+    table = np.zeros((2, 1 << mixing.CONTEXT_BITS, 2), np.float32)
+    words = mixing.mix(np.arange(1, 60, dtype=np.uint64))
+    texts = [words[np.cumsum(rnd.integers(0, 4, n)) % 59] for n in rnd.integers(1, 400, 40)]
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    h = np.concatenate(texts)
+    mixing.Sequence.tally(h, first, table)
+    share = np.bincount((h >> np.uint64(56)).astype(int), minlength=256) + 0.1
+    model = mixing.Sequence(share / share.sum(), table)
+    for _ in range(20):
+        model.rate(h, first, learn=True)
+    return model.frozen(), texts
+
+
+def test_sequence_is_a_distribution():
+    model, texts = small_sequence()
+    for before in ([], texts[0][:2].tolist(), texts[1][:90].tolist(), [1, 2]):
+        # one text for each class that the next word may have
+        n = len(before) + 1
+        h = np.array([[*before, c << 56] for c in range(256)], np.uint64).ravel()
+        p = 10.0 ** model.rate(h, np.arange(257) * n)[n - 1 :: n] * model.share
+        assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
+
+
+def plain_sequence(model, h):
+    """One text, token by token, with plain numbers."""
+    own, out, pull, tokens, left = [0.0] * 3, [], [0.0] * 3, 0, mixing.FIRST
+    ctx = [c.tolist() for c in mixing.Sequence.contexts(h, np.array([0, len(h)]))]
+    size = left
+    for k, word in enumerate(h.tolist()):
+        node, total = 1, 0.0
+        slots = mixing.Slots([np.array([c[k]], np.uint64) for c in ctx], [mixing.CONTEXT_BITS] * 2)
+        for b in range(mixing.CLASS_BITS):
+            bit = word >> (63 - b) & 1
+            v = [int(t[s[0]]) for t, s in zip(model.table, slots.step(np.array([node], np.uint64)), strict=True)]
+            gate = (v[0] & 7) * 5 + (v[1] & 7)
+            x = [float(model.prior[node]), (v[0] >> 3) / 256, (v[1] >> 3) / 256]
+            z = min(12.0, max(-12.0, sum((float(model.weights[i][gate]) + own[i]) * x[i] for i in range(3))))
+            p = 1 / (1 + math.exp(-z))
+            total += math.log10(p if bit else 1 - p)
+            pull = [a + (bit - p) * y for a, y in zip(pull, x, strict=True)]
+            node = 2 * node + bit
+        out.append(total - math.log10(model.share[word >> 56]))
+        tokens, left = tokens + 1, left - 1
+        if not left:
+            own = [min(0.5, max(-0.5, a + mixing.ADAPT * g / (8 * tokens))) for a, g in zip(own, pull, strict=True)]
+            pull, tokens, size = [0.0] * 3, 0, size * 2
+            left = size
+    return sum(out)
+
+
+def test_sequence_adapts_along_each_text_alone():
+    model, texts = small_sequence()
+    long = np.concatenate(texts[:8])
+    some = [long, texts[9], np.zeros(0, np.uint64), texts[10], mixing.mix(np.arange(500, 900, dtype=np.uint64))]
+    first = np.concatenate(([0], np.cumsum([len(t) for t in some])))
+    got = model.rate(np.concatenate(some), first)
+    for t, a, b in zip(some, first[:-1], first[1:], strict=True):
+        assert got[a:b].sum() == pytest.approx(plain_sequence(model, t), rel=1e-3, abs=1e-2)
+        assert np.allclose(got[a:b], model.rate(t, np.array([0, len(t)])), atol=1e-5)
+
+
+def test_mixing_sums_tables_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SUMS", 3)
+    body = np.ones(mixing.BLOCK, np.float32).tobytes()
+    blocks = spark.createDataFrame([(b, bytearray(body)) for b in (0, 1, 0, 0, 1, 0)], "block int, body binary").repartition(6)
+    out = mixing._summed(blocks, [np.zeros((2, mixing.BLOCK), np.float32)])[0]
+    assert (out[0] == 4).all() and (out[1] == 2).all()
 
 
 def test_mixing_counts_every_word_in_every_order(spark):
