@@ -48,17 +48,17 @@ from pyspark.sql import types as T
 
 from tideline.llm.components import components
 from tideline.llm.substrings import buffers_binary
-from tideline.llm.words import MASK, Words, buffers, column, cut, mix, slices
+from tideline.llm.words import MASK, Words, buffers, column, cut, mix, release, slices
 from tideline.session import written
 
 #: Shingles in a tile at most, where one set isn't longer.
 TILE = 1_500_000
 #: Shingles or postings that a task holds before it passes them on.
-HELD = 1_500_000
-#: Shingles in a bucket, on average at most.
-BUCKET = 4_000_000
+HELD = 400_000
+#: Shingles in a bucket, which is one task's memory, and in a partition of buckets, on average at most.
+BUCKET, PARTITION = 750_000, 750_000
 #: Frequent shingles at most; nodes that have one at least; and how often a task must see it among HELD shingles.
-FREQUENT, FREQUENT_LEAST, SEEN_LEAST = 1 << 20, 256, 8
+FREQUENT, FREQUENT_LEAST, SEEN_LEAST = 1 << 20, 256, 6
 
 
 @dataclass(frozen=True)
@@ -223,6 +223,8 @@ def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int,
             held.append(b.slice(x, y - x))
     if held:
         yield now, pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def _joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -237,7 +239,8 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n = buckets = max(n, -(-total // BUCKET))
+    n = max(n, -(-total // PARTITION))
+    buckets = max(n, -(-total // BUCKET))
     shared = spark.sparkContext.broadcast((often, np.minimum(seen, (1 << 31) - 1)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,6 +545,7 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame,
                 held.append(b.slice(x, y - x))
         if held:
             yield from judged()
+        release()
 
     return sent.mapInArrow(meet, "a long, b long, n long")
 

@@ -41,7 +41,7 @@ from tideline.llm.words import column, slices
 
 SPACE = "▁"
 #: Entries of a worker's memo of encoded chunks before it starts afresh.
-MEMO = 300_000
+MEMO = 200_000
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,8 @@ uses an ASCII byte inside a longer character.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -153,6 +155,13 @@ def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, lowe
     return Words(data, offsets, start, end, first)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker idles, with what it holds, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about most bytes of text (one row at least), to bound a worker's arrays."""
     for batch in batches:
@@ -165,6 +174,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_
             stop = min(max(stop, at + 1), batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+        batch = None
+    release()
 
 
 def unused(columns: list[str], name: str) -> str:
