@@ -581,6 +581,31 @@ def test_substrings(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in rows)
 
 
+def test_substrings_with_a_very_common_phrase(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    rnd = random.Random(51)
+    words = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    phrase, passage = words(7), words(30)
+    # a phrase in many variants; a passage that many have, whole, cut short, or broken by one word
+    texts = [f"{words(rnd.randint(0, 30))} {phrase} {words(rnd.randint(0, 30))}" for _ in range(120)]
+    for _ in range(60):
+        p = passage.split()
+        p = rnd.choice([p, p[rnd.randint(0, 8) :], [*p[:15], words(1), *p[15:]]])
+        texts.append(f"{words(rnd.randint(0, 5))} {' '.join(p)} {phrase if rnd.random() < 0.3 else words(3)}")
+    texts += [texts[0], texts[130] + " " + texts[130]]
+    want = brute_windows(texts)
+    for least in (32, 10**9):
+        monkeypatch.setattr(substrings, "FREQUENT_LEAST", least)
+        src = table(spark, texts).selectExpr("doc_id AS __id", "text AS __text")
+        frequent = substrings._frequent(src)
+        assert (len(frequent) > 20) == (least == 32)
+        got = substrings._anchors(src, spark.sparkContext.broadcast(frequent)).groupBy("anchor").count()
+        if least == 32:  # the phrase is an anchor only where a window has nothing else
+            assert got.where("anchor >= 0").agg({"count": "max"}).first()[0] < 60
+        rows = substrings.dedup(table(spark, texts)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want
+
+
 @pytest.mark.parametrize("block", [10**6, 60])
 def test_repeated_windows_in_blocks(block):
     rnd = np.random.default_rng(16)

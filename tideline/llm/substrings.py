@@ -4,26 +4,34 @@ A window is WINDOW consecutive words of one document. A word goes if a window
 over it has a word sequence that also starts earlier (in a smaller doc_id, or
 in the same document at an earlier word).
 
-1. Every window has an anchor: its least GRAM-word hash, the leftmost of
-   equals. Equal windows have equal anchors at equal places, so only windows
-   at anchors that the corpus holds twice can repeat. Consecutive windows with
-   the same anchor form one snippet of at most 2 * WINDOW words.
-2. Anchors are counted with map-side sums; snippets at repeated anchors are
-   reduced to one first occurrence for each distinct snippet. A later
-   occurrence of the same snippet has an earlier start for each of its windows.
+1. Every window has an anchor: the first of its GRAM-word runs in one order of
+   all such runs, the leftmost of equals. Equal windows have equal anchors at
+   equal places, so only windows at anchors that the corpus holds twice can
+   repeat. Consecutive windows with the same anchor form one snippet of at most
+   2 * WINDOW words. The order is by hash, but runs that are very frequent in a
+   sample of the documents come last: a common phrase is no anchor where a
+   window has anything else. Any order gives the same results, so the sample
+   moves work only.
+2. Anchors are counted with map-side sums, and snippets at repeated anchors are
+   reduced to one first occurrence for each distinct snippet (an anchor and a
+   class, 127 bits of hash). A later occurrence of the same snippet has an
+   earlier start for each of its windows. Frequent anchors are known by a bit;
+   their snippets are summed where they are and never dealt by anchor.
 3. First occurrences go to shards by anchor. Each shard is indexed: suffix
    order, Burrows-Wheeler transform, wavelet matrix with ranked bit vectors.
-   All windows of the shard are streamed through it by backward search, and
-   each window's interval tells its occurrences, of which the earliest counts.
+   All windows of the shard are streamed through it by backward search, which
+   tells how many words match (up to the window's length); a whole window's
+   interval tells its occurrences, of which the earliest counts.
 4. The verdicts return to their documents, which drop the covered words.
 
 A shard's index takes blocks of at most BLOCK words; an anchor with more is
 indexed block by block and its windows pass all of them. The distinct snippets
-at one anchor, some 150 bytes each however often they occur, meet in one task.
+at one anchor, some 250 bytes each however often they occur, meet in one task.
 
-Null and empty texts have no words. Rows with a null id come after all
-others. Rows with the same id count as one document at the same places: none
-of them is earlier than the other. Other columns are not looked at.
+Null and empty texts have no words, and an empty table gives an empty one. Very
+long texts are read whole. Rows with a null id come after all others. Rows with
+the same id count as one document at the same places: none of them is earlier
+than the other. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,21 +42,27 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.words import Words, buffers, column, cut, mix, slices
+from tideline.llm.words import Words, buffers, column, cut, mix, release, slices
 from tideline.session import discard, written
 
 WINDOW, GRAM = 20, 6
 BLOCK = 400_000
 LAST_ID = (1 << 63) - 1
+#: Of one document in SAMPLED, runs seen as often as this are frequent, at most FREQUENT of them; a task counts HELD at once.
+SAMPLED, FREQUENT_LEAST, FREQUENT, HELD = 64, 32, 1 << 20, 1_000_000
 
 
 class Snippets:
-    """The snippets of the texts of w: word ranges [start, stop + window - 1), by anchor and class."""
+    """The snippets of the texts of w: word ranges [start, stop + window - 1), by anchor and class.
 
-    def __init__(self, w: Words, window: int = WINDOW, gram: int = GRAM):
+    frequent: sorted hashes of runs that come last in the order of anchors.
+    """
+
+    def __init__(self, w: Words, frequent: np.ndarray, window: int = WINDOW, gram: int = GRAM):
         self.window = window
         g, _ = w.grams(gram)
         full, fits = w.grams(window)
@@ -59,6 +73,13 @@ class Snippets:
             self.anchor = self.cls = np.zeros(0, np.uint64)
             self.fresh = np.zeros(0, bool)
             return
+        g = g >> np.uint64(1)
+        if len(frequent):
+            bits = np.zeros(1 << 20, bool)
+            bits[(frequent >> np.uint64(43)).astype(np.int64)] = True
+            maybe = np.flatnonzero(bits[(g >> np.uint64(43)).astype(np.int64)])
+            spot = np.minimum(np.searchsorted(frequent, g[maybe]), len(frequent) - 1)
+            g[maybe[frequent[spot] == g[maybe]]] |= np.uint64(1 << 63)
         at = s + np.lib.stride_tricks.sliding_window_view(g, span)[s].argmin(1)
         text = w.text[s]
         edge = np.ones(len(s), bool)
@@ -94,7 +115,7 @@ class BitVector:
 
 
 class FMIndex:
-    """FM-index of sequences of uint32 words, for patterns of up to 32 words."""
+    """FM-index of sequences of word hashes, for patterns of up to 32 words."""
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
         self.symbols, ids = np.unique(flat, return_inverse=True)
@@ -234,30 +255,57 @@ def _ids(b: pa.RecordBatch) -> np.ndarray:
     return column(b, "__id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """One row for each snippet that is the first of its class in its text."""
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the runs that are frequent in a sample of the documents; FREQUENT at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            run_, seen = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(run_[seen > 1].view(np.int64)), pa.array(seen[seen > 1])], names=["run", "seen"])
+
+        for b in slices(batches, "__text"):
+            g, fits = cut(*buffers(column(b, "__text"))).grams(GRAM)
+            held.append(g[fits] >> np.uint64(1))
+            if sum(map(len, held)) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    part = docs.where(F.pmod(F.xxhash64("__id", "__text"), F.lit(SAMPLED)) == 0).select("__text")
+    seen = written(part.mapInArrow(run, "run long, seen long").groupBy("run").agg(F.sum("seen").alias("seen")), "frequent")
+    total = seen.agg(F.sum("seen")).first()[0] or 0
+    got = seen.where(F.col("seen") >= max(FREQUENT_LEAST, -(-total // FREQUENT))).select("run").toPandas()
+    discard(seen)
+    return np.sort(got["run"].to_numpy(np.int64).view(np.uint64))
+
+
+def _anchors(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """One row for each snippet that is the first of its class in its text; frequent anchors are below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            s = Snippets(cut(*buffers(column(b, "__text"))))
+            s = Snippets(cut(*buffers(column(b, "__text"))), frequent.value)
             k = s.fresh
             yield pa.RecordBatch.from_arrays([pa.array(s.anchor[k].view(np.int64)), pa.array(s.cls[k].view(np.int64)), pa.array(_ids(b)[s.text[k]]), pa.array(s.pos[k].astype(np.int32))], names=["anchor", "cls", "doc", "pos"])
 
     return docs.mapInArrow(run, "anchor long, cls long, doc long, pos int")
 
 
-def _contents(docs: DataFrame) -> DataFrame:
-    """The words of the snippets named in column firsts, as 32-bit hashes."""
+def _contents(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """The words of the snippets named in column firsts, as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
             w = cut(*buffers(column(b, "__text")))
-            s = Snippets(w)
+            s = Snippets(w, frequent.value)
             wanted = column(b, "firsts").to_pylist()
             want = {(i, x["pos"], x["cls"]) for i, f in enumerate(wanted) for x in f or ()}
             cls = s.cls.view(np.int64)
             pick = [i for i, k in enumerate(zip(s.text.tolist(), s.pos.tolist(), cls.tolist(), strict=True)) if k in want]
-            h = (w.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            h = w.hash
             yield pa.RecordBatch.from_arrays([pa.array(s.anchor[pick].view(np.int64)), pa.array(cls[pick]), pa.array(_ids(b)[s.text[pick]]), pa.array(s.pos[pick].astype(np.int32)), pa.array([h[s.begin[i] : s.end[i]].tobytes() for i in pick], pa.binary())], names=["anchor", "cls", "doc", "pos", "body"])
 
     return docs.mapInArrow(run, "anchor long, cls long, doc long, pos int, body binary")
@@ -274,7 +322,7 @@ def _verdicts(snippets: DataFrame) -> DataFrame:
                 continue
             held.append(b)
             size += b.nbytes
-            if size > BLOCK * 4:
+            if size > BLOCK * 8:
                 # keep back the last anchor, which may go on in the next batch
                 t = pa.Table.from_batches(held).combine_chunks()
                 anchor = t["anchor"].to_numpy()
@@ -285,6 +333,7 @@ def _verdicts(snippets: DataFrame) -> DataFrame:
                     size = sum(x.nbytes for x in held)
         if held:
             yield from judged(pa.Table.from_batches(held).combine_chunks())
+        release()
 
     def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
@@ -292,9 +341,9 @@ def _verdicts(snippets: DataFrame) -> DataFrame:
         body = t["body"].combine_chunks()
         body = body if isinstance(body, pa.Array) else pa.concat_arrays(body.chunks)
         raw, offsets = buffers_binary(body)
-        sizes = np.diff(offsets) // 4
+        sizes = np.diff(offsets) // 8
         doc, pos = t["doc"].to_numpy(), t["pos"].to_numpy().astype(np.int64)
-        flat, offset = raw.view(np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+        flat, offset = raw.view(np.uint64), np.concatenate(([0], np.cumsum(sizes)))
         anchor = t["anchor"].to_numpy()
         group = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
         parts, begin = [], 0
@@ -342,18 +391,22 @@ def covered(s: Snippets, masks: list[dict[tuple[int, int], int]], n: int) -> np.
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", real: bool = False) -> DataFrame:
     """One row a document: key, n_words, n_removed, kept_sha256; with real=True also kept_text."""
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("__id"), F.col(key).alias("__key"), F.col(text).alias("__text"))
-    found = written(_anchors(src.select("__id", "__text")), "anchors")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    occurs = found.join(twice.hint("merge"), "anchor", "left_semi")
-    firsts = occurs.groupBy("anchor", "cls").agg(F.min(F.struct("doc", "pos")).alias("at")).select("at.doc", "at.pos", "cls", F.lit(True).alias("first"))
-    every = occurs.select("doc", "pos", "cls", F.lit(False).alias("first")).unionByName(firsts)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(src))
+    found = written(_anchors(src.select("__id", "__text"), frequent), "anchors")
+    often, seldom = found.where("anchor < 0"), found.where("anchor >= 0")
+    twice = seldom.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    occurs = seldom.join(twice.hint("merge"), "anchor", "left_semi")
+    every = occurs.unionByName(often).select("doc", "pos", "cls", F.lit(False).alias("first"))
+    for part in (occurs, often):
+        least = part.groupBy("anchor", "cls").agg(F.min(F.struct("doc", "pos")).alias("at"))
+        every = every.unionByName(least.select("at.doc", "at.pos", "cls", F.lit(True).alias("first")))
     lists = every.groupBy("doc").agg(
         F.collect_list(F.when(~F.col("first"), F.struct("pos", "cls"))).alias("occurs"),
         F.collect_list(F.when(F.col("first"), F.struct("pos", "cls"))).alias("firsts"),
     )
     lists = written(lists, "substrings")
     discard(found)
-    bodies = _contents(src.select("__id", "__text").join(lists.where(F.size("firsts") > 0).select(F.col("doc").alias("__id"), "firsts").hint("merge"), "__id"))
+    bodies = _contents(src.select("__id", "__text").join(lists.where(F.size("firsts") > 0).select(F.col("doc").alias("__id"), "firsts").hint("merge"), "__id"), frequent)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     masks = _verdicts(bodies.dropDuplicates(["anchor", "cls"]).repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "pos"))
     masks = written(masks.groupBy("doc").agg(F.collect_list(F.struct("pos", "cls", "mask")).alias("masks")), "substrings")
@@ -371,7 +424,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", real: bool =
                 at = {(x["pos"], x["cls"]): -1 for x in o or ()}
                 at.update({(x["pos"], x["cls"]): x["mask"] for x in m or ()})
                 table.append(at)
-            gone = covered(Snippets(w), table, len(w.start))
+            gone = covered(Snippets(w, frequent.value), table, len(w.start))
             raw = data.tobytes()
             kept = []
             for i in range(b.num_rows):
