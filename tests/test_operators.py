@@ -66,6 +66,48 @@ def test_template_of_each_subject(spark):
         assert got[s] == (own[names[0]], own[names[1]])
 
 
+def test_refill_computes_only_what_is_missing(spark):
+    rng = np.random.default_rng(3)
+    segs = spark.createDataFrame([(i, rng.standard_normal((2, 50)).tolist()) for i in range(4)], "seg long, eeg array<array<double>>")
+    config = Config(channels=("F3", "F4"))
+    whole = ex.extract(segs, ["mean_rms", "mean_channel_std", "mean_peak_to_peak"], config)
+    holes = whole.withColumn("mean_rms", F.when(F.col("seg") != 1, F.col("mean_rms"))).withColumn("mean_peak_to_peak", F.col("mean_peak_to_peak") + 100)
+    out = repair.refill(holes, segs, ["mean_rms", "mean_channel_std", "mean_peak_to_peak"], ["seg"], config)
+    want = {r.seg: (r.mean_rms, r.mean_peak_to_peak + 100) for r in whole.collect()}  # what was there stays
+    assert {r.seg: (r.mean_rms, r.mean_peak_to_peak) for r in out.collect()} == want
+    # what can't be had stays missing
+    gone = repair.refill(holes, segs.where("seg <> 1"), ["mean_rms"], ["seg"], config)
+    assert [r.seg for r in gone.where("mean_rms IS NULL").collect()] == [1]
+
+
+def test_time_limit(spark):
+    import time
+
+    @ex.register_group("slow", ("slow_one",))
+    def slow(s, want):
+        import time as clock
+
+        clock.sleep(3)
+        return {"slow_one": 1.0}
+
+    df = spark.createDataFrame([(1, [[0.0, 1.0, 0.0, 2.0] * 30] * 2)], "seg long, eeg array<array<double>>")
+    try:
+        began = time.perf_counter()
+        row = ex.extract(df, ["slow_one", "mean_rms"], Config(channels=("F3", "F4")), errors=True, limit=0.3).first()
+        assert row.slow_one is None and row.mean_rms > 0 and "TimeoutError" in row.error and time.perf_counter() - began < 3
+    finally:
+        ex._custom.pop("slow")
+
+
+def test_feature_rows_and_tree(spark, recording, tmp_path):
+    rows = spark.createDataFrame([(1, 1.5, None), (2, float("nan"), 4.0)], "seg long, x double, y double")
+    repair.write(rows, str(tmp_path / "csv"), fmt="csv")
+    got = signals.feature_rows(spark, str(tmp_path / "csv"))
+    assert dict(got.dtypes)["x"] == "double" and got.where(repair.is_missing("x")).count() == 1 and got.where(repair.is_missing("y")).count() == 1
+    shape = [tuple(r) for r in signals.tree(recording).collect()]
+    assert shape == [(t, s, 2, 3) for t in (1, 2) for s in range(5)]
+
+
 def test_extract_tells_what_failed(spark):
     @ex.register_group("broken", ("never",))
     def broken(s, want):
@@ -104,6 +146,8 @@ def test_repair_and_compare(spark):
     assert repair.ensure(a, ["z", "x"]).columns == ["z", "x", "seg", "y"]
     assert len(repair.required()) == 101
     assert [r.consistent for r in repair.column_counts({"a": a, "b": b, "c": b.drop("y")}, spark).collect()] == [True, True, False]
+    odd = repair.column_counts({"a": a, "c": b.drop("y").withColumn("z", F.lit(1))}, spark).collect()[1]
+    assert odd.more == ["z"] and odd.fewer == ["y"]
 
 
 def test_sinks(spark, tmp_path):

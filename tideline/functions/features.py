@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import signal
+import threading
 from functools import cached_property
 
 import numpy as np
@@ -206,16 +209,40 @@ def microstate(s: Segment, want: set[str]) -> dict:
 GROUPS = {g.__name__: g for g in (time_domain, frequency_domain, complexity, connectivity, network, composite, de_features, microstate)}
 
 
-def compute(x: np.ndarray, config: Config, names: list[str], template: np.ndarray | None = None, extra: dict | None = None, failed: list[str] | None = None) -> dict[str, float | None]:
-    """The named features of one segment; a group that fails gives missing values for its features only, and is told in failed."""
+@contextlib.contextmanager
+def time_limit(seconds: float | None):
+    """Raise TimeoutError when the block takes longer; only in a process's main thread, where an executor computes."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"longer than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def compute(x: np.ndarray, config: Config, names: list[str], template: np.ndarray | None = None, extra: dict | None = None, failed: list[str] | None = None, limit: float | None = None) -> dict[str, float | None]:
+    """The named features of one segment.
+
+    A group that fails, or takes longer than limit seconds, gives missing
+    values for its features only, and is told in failed.
+    """
     s, want, out = Segment(x, config, template), set(names), {}
     for group, f in {**GROUPS, **(extra or {})}.items():
         mine = [n for n in FEATURES.get(group, names) if n in want and n not in out]
         if not mine:
             continue
         try:
-            got = f(s, want)
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError, IndexError) as e:
+            with time_limit(limit):
+                got = f(s, want)
+        except (ValueError, FloatingPointError, np.linalg.LinAlgError, IndexError, TimeoutError) as e:
             got = {}
             if failed is not None:
                 failed.append(f"{group}: {type(e).__name__}: {e}")

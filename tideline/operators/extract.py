@@ -54,13 +54,14 @@ def _matrix(col: pa.Array, i: int, by_time: bool) -> np.ndarray | None:
     return np.ascontiguousarray(x.T if by_time else x) if np.isfinite(x).all() else None
 
 
-def extract(segments: DataFrame, selection: Selection | list[str], config: Config = Config(), keep: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, centroids: np.ndarray | None = None, errors: bool = False, templates: DataFrame | None = None, subject: str = "subject") -> DataFrame:
+def extract(segments: DataFrame, selection: Selection | list[str], config: Config = Config(), keep: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, centroids: np.ndarray | None = None, errors: bool = False, templates: DataFrame | None = None, subject: str = "subject", limit: float | None = None) -> DataFrame:
     """The selected features of each segment, computed where the segment is: no shuffle.
 
     by_time: the signal is stored as time steps of channels. Only the inputs
     that the selected features share are built, once a segment. Features that
     can't be computed are null; with errors=True column error tells of signals
-    that are no full matrix, and of each group that failed, with its exception.
+    that are no full matrix, and of each group that failed or took longer than
+    limit seconds for a segment, with its exception.
     Microstates use the given centroids, or those that templates (the rows of
     `fit_template`) has for the row's subject, or the segment's own.
     """
@@ -84,7 +85,7 @@ def extract(segments: DataFrame, selection: Selection | list[str], config: Confi
             for i in range(b.num_rows):
                 m, failed = _matrix(x, i, by_time), []
                 at = centroids if own is None else _matrix(own, i, False)
-                rows.append(compute(m, config, names, at, extra, failed) if m is not None else dict.fromkeys(names))
+                rows.append(compute(m, config, names, at, extra, failed, limit) if m is not None else dict.fromkeys(names))
                 bad.append("; ".join(failed) or None if m is not None else "the signal is no full matrix of finite numbers")
             cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array([r[n] for r in rows], pa.float64()) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(bad, pa.string())] if errors else cols, names=[f.name for f in fields])

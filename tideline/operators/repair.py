@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.model import GROUP_OF, META, OPTIONAL
+from tideline.model import GROUP_OF, META, OPTIONAL, Config
+from tideline.operators.extract import extract
+from tideline.session import written
 
 
 def required() -> list[str]:
@@ -40,6 +42,25 @@ def fill(rows: DataFrame, fresh: DataFrame, names: list[str], keys: list[str]) -
     return whole.unionByName(out)
 
 
+def refill(rows: DataFrame, segments: DataFrame, names: list[str], keys: list[str], config: Config = Config(), tries: int = 3, **how) -> DataFrame:
+    """Compute what is missing, and nothing else: only features that some row misses, only for rows that miss one.
+
+    Rows whose features are missing again are tried anew, up to `tries` times.
+    how goes to `extract` (eeg, by_time, templates, limit, ...).
+    """
+    for _ in range(tries):
+        lost = rows.agg(*[F.max(is_missing(n).cast("int")).alias(n) for n in names]).first()
+        wanted = [n for n in names if lost[n]]
+        if not wanted:
+            break
+        holes = rows.where(F.size(missing(rows, wanted)) > 0).select(*keys).distinct()
+        own = segments.join(holes.hint("merge"), keys, "left_semi")
+        before, rows = rows, written(fill(rows, extract(own, wanted, config, keep=tuple(keys), **how), wanted, keys), "refill")
+        if rows.where(F.size(missing(rows, wanted)) > 0).count() == before.where(F.size(missing(before, wanted)) > 0).count():
+            break  # nothing more can be had
+    return rows
+
+
 def compare(a: DataFrame, b: DataFrame, keys: list[str], names: list[str], tolerance: float = 1e-6) -> DataFrame:
     """Largest and mean difference of each feature between two runs, and whether all are within tolerance."""
     long = lambda d, v: d.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names])).alias("x")).select(*keys, "x.feature", F.col("x.v").alias(v))
@@ -49,9 +70,10 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], names: list[str], toler
 
 
 def column_counts(frames: dict[str, DataFrame], spark) -> DataFrame:
-    """Columns of each source and whether they are as many as in the first."""
-    first = len(next(iter(frames.values())).columns)
-    return spark.createDataFrame([(k, len(d.columns), len(d.columns) == first) for k, d in frames.items()], "source string, n_columns int, consistent boolean")
+    """Columns of each source, whether they are as many as in the first, and which it has more or fewer."""
+    first = next(iter(frames.values())).columns
+    rows = [(k, len(d.columns), len(d.columns) == len(first), [c for c in d.columns if c not in first], [c for c in first if c not in d.columns]) for k, d in frames.items()]
+    return spark.createDataFrame(rows, "source string, n_columns int, consistent boolean, more array<string>, fewer array<string>")
 
 
 def flat(df: DataFrame) -> DataFrame:

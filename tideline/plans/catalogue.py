@@ -243,8 +243,23 @@ def holed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def repair_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole, holes = holed(spark, sf_dir)
-    return repair.fill(holes, whole, ["mean_rms", "mean_channel_std"], ["seg"])
+    """Only missing features are computed, and only for the segments that miss one."""
+    _, holes = holed(spark, sf_dir)
+    return rounded(repair.refill(holes, signals.embedding_segments(spark, sf_dir), ["mean_rms", "mean_channel_std", "mean_abs_amplitude"], ["seg"], SHORT, eeg="steps", by_time=True))
+
+
+@ex.register_group("gamma_share", ("gamma_over_total",))
+def gamma_share(s: feature_groups.Segment, want: set[str]) -> dict:
+    """An added group that reads the spectrum shared by all groups."""
+    return {"gamma_over_total": s.power["gamma"].mean() / (s.total.mean() + 1e-10)}
+
+
+def channel_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat, NaN and infinite channels of each segment, and the range of the channels' deviations."""
+    v, bad = F.col("v"), F.lit(float("inf"))
+    one = signals.embedding_samples(spark, sf_dir).groupBy("seg", "ch").agg(F.stddev_pop("v").alias("sd"), F.max(F.isnan(v).cast("int")).alias("nan"), F.max((F.abs(v) == bad).cast("int")).alias("inf"))
+    flat = F.sum((F.col("sd") < 1e-8).cast("long"))
+    return rounded(one.groupBy("seg").agg(flat.alias("n_flat"), F.sum(F.col("nan").cast("long")).alias("n_nan"), F.sum(F.col("inf").cast("long")).alias("n_inf"), F.min("sd").alias("min_sd"), F.max("sd").alias("max_sd")))
 
 
 def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +274,12 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every feature of the full preset but microstates, one wide row a segment."""
-    names = [n for n in preset("full").computable() if not n.startswith("Microstate")]
-    return features(*names)(spark, sf_dir)
+    """Every feature of the full preset, one wide row a segment; microstates with the first four vectors as maps."""
+    from tideline.session import table
+
+    maps = table(spark, sf_dir, "embeddings").where("vec_id < 4").orderBy("vec_id").select(F.slice("embedding", 1, 62).cast("array<double>")).collect()
+    segs = signals.embedding_segments(spark, sf_dir)
+    return rounded(ex.extract(segs, preset("full").computable(), SHORT, eeg="steps", by_time=True, centroids=np.array([r[0] for r in maps])), digits=5)
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +341,8 @@ QUERIES: dict[str, Query] = {
     "ms_template": ms_template,
     "ms_features_fixed": ms_features_fixed,
     "custom_groups": features("share_above_2sd", "mean_skewness", "mean_kurtosis"),
+    "custom_gamma_share": features("gamma_over_total"),
+    "channel_health": channel_health,
     "repair_missing": repair_missing,
     "missing_report": missing_report,
     "compare_runs": compare_runs,

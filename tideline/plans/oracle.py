@@ -298,6 +298,9 @@ SELECT seg, count(*) AS n_peaks, min(t) AS first_t, max(t) AS last_t, {_r('avg(g
     "ms_features_fixed": _MICRO,
     "custom_groups": f"""WITH {_samples()}, a AS (SELECT *, stddev_pop(v) OVER (PARTITION BY seg) AS all_sd, (v - avg(v) OVER o) / stddev_pop(v) OVER o AS z FROM s WINDOW o AS (PARTITION BY seg, ch))
 SELECT seg, {_r('avg(CASE WHEN abs(v) > 2 * all_sd THEN 1.0 ELSE 0.0 END)')} AS share_above_2sd, {_r('avg(z * z * z)')} AS mean_skewness, {_r('avg(z * z * z * z) - 3')} AS mean_kurtosis FROM a GROUP BY seg""",
+    "custom_gamma_share": f"WITH {_MAIN} SELECT seg, {_r('avg(gamma) / (avg(total) + 1e-10)')} AS gamma_over_total FROM w GROUP BY seg",
+    "channel_health": f"""WITH {_samples()}, c AS (SELECT seg, ch, stddev_pop(v) AS sd, max(CAST(isnan(v) AS INT)) AS n, max(CAST(isinf(v) AS INT)) AS i FROM s GROUP BY seg, ch)
+SELECT seg, CAST(count(*) FILTER (sd < 1e-8) AS BIGINT) AS n_flat, CAST(sum(n) AS BIGINT) AS n_nan, CAST(sum(i) AS BIGINT) AS n_inf, {_r('min(sd)')} AS min_sd, {_r('max(sd)')} AS max_sd FROM c GROUP BY seg""",
     "repair_missing": f"WITH {_samples()} {_TD}",
     "missing_report": f"""WITH {_TD_BASE} SELECT seg, concat_ws(',', CASE WHEN seg % 2 <> 0 THEN 'mean_rms' END, CASE WHEN seg % 3 = 0 THEN 'mean_channel_std' END) AS missing FROM td""",
     "compare_runs": f"WITH {_TD_BASE} SELECT 'mean_rms' AS feature, CAST(0.5 AS DOUBLE) AS max_diff, {_r('0.5 / count(*)')} AS mean_diff, false AS close FROM td UNION ALL SELECT 'mean_channel_std', 0.0, 0.0, true",

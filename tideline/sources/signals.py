@@ -67,6 +67,20 @@ def subject_files(spark: SparkSession, path: str, fmt: str = "parquet", glob: st
     return spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).withColumn("source_file", F.input_file_name())
 
 
+def feature_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Feature rows of an earlier run: from CSV with a header, all but integers as doubles and empty cells as nulls."""
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    return spark.read.option("header", "true").option("inferSchema", "true").option("recursiveFileLookup", "true").option("nanValue", "nan").csv(path)
+
+
+def tree(segments: DataFrame, eeg: str = "eeg", subject: str = "subject") -> DataFrame:
+    """What a recording holds: one row a segment, in numeric order, with its channels and samples."""
+    who = [subject] if subject in segments.columns else []
+    size = F.coalesce(F.size(F.get(eeg, F.lit(0))), F.lit(0))
+    return segments.select(*who, "trial", "segment", F.greatest(F.size(eeg), F.lit(0)).alias("channels"), F.greatest(size, F.lit(0)).alias("samples")).orderBy(*who, "trial", "segment")
+
+
 def subjects(raw: DataFrame) -> DataFrame:
     """Subject attributes with their defaults."""
     have = set(raw.columns)
