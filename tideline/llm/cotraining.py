@@ -12,8 +12,11 @@ each weighted as its calibration found it informative.
 Learning takes about LABELLED and POOL documents at most, whole texts, chosen
 by a hash of their ids; scores are given to all documents in one map-only
 pass. Null and empty texts are scored by their zero measures, null metadata
-count as a value of their own. Without labels of both kinds every score is
-one half. Repeated rows get equal scores.
+count as a value of their own. Very long texts are measured whole. Without
+labels of both kinds every score is one half, and an empty table gives an empty
+one. A document with several labels counts with the largest. Repeated rows and
+documents with equal measures get equal scores; columns that aren't named are
+not looked at.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@
 
 Spans of one kind don't overlap and are taken leftmost first; a match that is
 too short is dropped but still uses up its characters. Null and empty texts
-have no spans. Offsets are code points, end exclusive. Every row of the input
-gives one row; columns that aren't named are not looked at.
+have no spans, and an empty table gives an empty one. Very long texts are
+scanned whole. Offsets are code points, end exclusive; spans of different kinds
+that start together are in the order of KINDS. Every row of the input gives one
+row; columns that aren't named are not looked at.
 """
 
 from __future__ import annotations
