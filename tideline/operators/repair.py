@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tideline.model import GROUP_OF, META, OPTIONAL, Config
@@ -48,15 +48,21 @@ def refill(rows: DataFrame, segments: DataFrame, names: list[str], keys: list[st
     Rows whose features are missing again are tried anew, up to `tries` times.
     how goes to `extract` (eeg, by_time, templates, limit, ...).
     """
+    def told(df: DataFrame) -> Row:
+        holes = F.sum((F.size(missing(df, names)) > 0).cast("long")).alias("__holes")
+        return df.agg(holes, *[F.max(is_missing(n).cast("int")).alias(n) for n in names]).first()
+
+    rows = written(rows, "refill")
+    state = told(rows)
     for _ in range(tries):
-        lost = rows.agg(*[F.max(is_missing(n).cast("int")).alias(n) for n in names]).first()
-        wanted = [n for n in names if lost[n]]
+        wanted = [n for n in names if state[n]]
         if not wanted:
             break
         holes = rows.where(F.size(missing(rows, wanted)) > 0).select(*keys).distinct()
         own = segments.join(holes.hint("merge"), keys, "left_semi")
-        before, rows = rows, written(fill(rows, extract(own, wanted, config, keep=tuple(keys), **how), wanted, keys), "refill")
-        if rows.where(F.size(missing(rows, wanted)) > 0).count() == before.where(F.size(missing(before, wanted)) > 0).count():
+        rows = written(fill(rows, extract(own, wanted, config, keep=tuple(keys), **how), wanted, keys), "refill")
+        before, state = state, told(rows)
+        if state["__holes"] == before["__holes"]:
             break  # nothing more can be had
     return rows
 
