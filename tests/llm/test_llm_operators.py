@@ -580,6 +580,15 @@ def test_language_equals_plain_parsing(spark, monkeypatch, group):
     assert [rows[i] for i in range(len(texts))] == brute_language(texts, samples)
 
 
+def test_language_ties_and_repeated_rows(spark):
+    texts = ["ka to mi ru shi"] * 4 + ["ka to", "ka to", None, None]
+    docs = table(spark, texts, ["bb", "aa", "bb", "aa", "bb", None, None, "aa"])
+    rows = [(r.lang_pred, r.score) for r in language.identify(docs, docs).orderBy("doc_id").collect()]
+    # both languages know the same text: the name that sorts first, with half of the evidence
+    assert {r[0] for r in rows[:6]} == {"aa"} and len(set(rows[:4])) == 1 and rows[4] == rows[5] and rows[0][1] == pytest.approx(0.5)
+    assert rows[6] == rows[7] == ("und", 0.0)
+
+
 def test_language_samples_hold_whole_texts():
     short, long = "abc " * 20, "xyz " * 5000
     got = bytes(language.chosen([long, short, short], 300))
