@@ -408,7 +408,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", real: bool =
     discard(found)
     bodies = _contents(src.select("__id", "__text").join(lists.where(F.size("firsts") > 0).select(F.col("doc").alias("__id"), "firsts").hint("merge"), "__id"), frequent)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    masks = _verdicts(bodies.dropDuplicates(["anchor", "cls"]).repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "pos"))
+    # dealt by anchor, equal snippets lie together too: rows with the same id are told apart without another exchange
+    masks = _verdicts(bodies.repartition(n, "anchor").dropDuplicates(["anchor", "cls"]).sortWithinPartitions("anchor", "doc", "pos"))
     masks = written(masks.groupBy("doc").agg(F.collect_list(F.struct("pos", "cls", "mask")).alias("masks")), "substrings")
     told = lists.select("doc", "occurs").join(masks, "doc", "left").withColumnRenamed("doc", "__id")
     rows = src.join(told.hint("merge"), "__id", "left")
