@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tideline.operators.selection import preset
 from tideline.plans import catalogue, oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -38,6 +39,21 @@ def test_query_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_wide_full_row_holds_the_rows_that_sql_proves(spark, duck):
+    got = {r.seg: r.asDict() for r in catalogue.QUERIES["wide_full_row"](spark, SF).collect()}
+    seen = set()
+    for name in ("wide_sql_row", "ms_features_fixed"):
+        want = duck.execute(oracle.ORACLE_SQL[name]).df()
+        seen |= set(want.columns)
+        assert sorted(got) == sorted(want.seg)
+        for row in want.to_dict("records"):
+            for k in set(row) & set(got[row["seg"]]):
+                mine, v = got[row["seg"]][k], row[k]
+                assert (mine is None and v != v) or mine == pytest.approx(v, abs=2e-5), (name, k)
+    whole = set(next(iter(got.values())))
+    assert whole == {"seg", *preset("full").computable()} and all(k.startswith(("plv", "rasm")) for k in whole - seen)
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 

@@ -351,5 +351,5 @@ QUERIES: dict[str, Query] = {
 }
 
 #: All features that SQL can express, in one wide row.
-_SHOWN = [f for f in (n for fs in FEATURES.values() for n in fs) if not f.startswith(("Microstate", "plv", "rasm", "wavelet"))]
+_SHOWN = [f for f in (n for fs in FEATURES.values() for n in fs) if not f.startswith(("Microstate", "plv", "rasm"))]
 QUERIES["wide_sql_row"] = features(*_SHOWN)

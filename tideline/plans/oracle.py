@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from tideline.functions.kernels import DB4
 from tideline.model import BANDS, CAUDAL_PAIRS, FAA_PAIRS, FEATURES, MONTAGE_62, MONTAGE_90, PAIR_BANDS, PRESETS, SYMMETRIC_PAIRS
 
 
@@ -19,6 +22,23 @@ def _r(expr: str, digits: int = 6) -> str:
     return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0"
 
 
+def _wavelet(length: int = 100, level: int = 5) -> str:
+    """Daubechies-4 details and last approximation, level by level: a join of samples with taps, edges mirrored."""
+    high = DB4[::-1] * (-1.0) ** np.arange(1, 9)
+    out = [f"taps AS (SELECT * FROM {_values([(k, float(DB4[k]), float(high[k])) for k in range(8)], 'k, lo, hi')})"]
+    n, before = length, "s"
+    for i in range(1, level + 1):
+        m = (n + 7) // 2
+        at = "2 * j + 1 - k"
+        out.append(f"""m{i} AS (SELECT j, lo, hi, CASE WHEN {at} < 0 THEN -1 - ({at}) WHEN {at} >= {n} THEN {2 * n - 1} - ({at}) ELSE {at} END AS t FROM (SELECT unnest(range(0, {m})) AS j), taps),
+  a{i} AS (SELECT seg, ch, j AS t, sum(lo * v) AS v, sum(hi * v) AS d FROM {before} JOIN m{i} USING (t) GROUP BY seg, ch, j)""")
+        n, before = m, f"a{i}"
+    parts = [f"SELECT seg, ch, sum(d * d) AS e FROM a{i} GROUP BY seg, ch" for i in range(1, level + 1)] + [f"SELECT seg, ch, sum(v * v) FROM {before} GROUP BY seg, ch"]
+    out.append(f"e AS ({' UNION ALL '.join(parts)}), q AS (SELECT seg, ch, e, sum(e) OVER (PARTITION BY seg, ch) AS total FROM e)")
+    out.append("h AS (SELECT seg, ch, -sum(e / total * ln(e / total)) AS h FROM q WHERE e > 0 AND total > 1e-10 GROUP BY seg, ch)")
+    return f"WITH {_samples(length)}, {', '.join(out)} SELECT seg, {_r('avg(h)')} AS wavelet_energy_entropy FROM h GROUP BY seg"
+
+
 #: Names of the 62 channels; side and area by name rules.
 _SIDE = """CASE WHEN regexp_matches(name, 'Z$') OR NOT regexp_matches(name, '[0-9]$') THEN 'midline'
       WHEN CAST(regexp_extract(name, '([0-9]+)$', 1) AS INTEGER) % 2 = 1 THEN 'left' ELSE 'right' END"""
@@ -279,6 +299,7 @@ FROM kz JOIN hf USING (seg, ch) GROUP BY seg""",
   h AS (SELECT seg, ch, regr_slope(ln(r), ln(n)) AS h FROM (SELECT seg, ch, n, avg(rs) AS r FROM rs GROUP BY seg, ch, n) GROUP BY seg, ch)
 SELECT seg, {_r('avg(CASE WHEN h > 0 THEN h END)')} AS hurst_exponent FROM h GROUP BY seg""",
     "cx_entropies": _entropies(),
+    "cx_wavelet": _wavelet(),
     "cn_correlation": f"""WITH {_samples()}, z AS (SELECT seg, t, ch, (v - avg(v) OVER o) / stddev_pop(v) OVER o AS z FROM s WINDOW o AS (PARTITION BY seg, ch)),
   q AS (SELECT a.seg, a.ch AS i, b.ch AS j, avg(a.z * b.z) AS r FROM z a JOIN z b ON a.seg = b.seg AND a.t = b.t AND a.ch < b.ch GROUP BY 1, 2, 3)
 SELECT seg, {_r('avg(r)')} AS mean_interchannel_correlation FROM q GROUP BY seg""",
@@ -310,6 +331,6 @@ SELECT seg, CAST(count(*) FILTER (sd < 1e-8) AS BIGINT) AS n_flat, CAST(sum(n) A
 
 _WIDE_PARTS = (
     "td_amplitude td_zero_crossing td_hjorth fd_absolute fd_relative fd_peaks fd_entropy_centroid fd_ratios fd_aperiodic composite_scores de_bands de_dasm "
-    "de_dcau de_faa cx_fractal cx_hurst cx_entropies cn_correlation cn_coherence cn_power_topography nw_all"
+    "de_dcau de_faa cx_fractal cx_hurst cx_entropies cx_wavelet cn_correlation cn_coherence cn_power_topography nw_all"
 ).split()
 ORACLE_SQL["wide_sql_row"] = "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[q]}) AS q{i}" + (" USING (seg)" if i else "") for i, q in enumerate(_WIDE_PARTS))
