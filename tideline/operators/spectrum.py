@@ -3,17 +3,18 @@
 Welch's estimate averages |X(k)|^2 over frames. |X(k)|^2 is the cosine
 transform of a frame's autocorrelation, and averaging commutes with it. So a
 channel is reduced, in its own row, to the mean autocorrelation of its frames
-(`lags`), and everything linear in the spectrum is a weighted sum of those few
-numbers:
+(`lags`), and what follows is a product of those few numbers with a table that
+depends on the frame length only:
 
-* the density at a bin: lags joined with a table of cosines (lag x bin);
-* a band's power: the range join of bins and bands, and the trapezoid rule,
-  are done once on the table of cosines, which leaves one weight a lag;
+* the density at a bin: a row of cosines (`cosines`);
+* a band's power, the trapezoid rule over the bins in its range: these rows
+  summed beforehand, which leaves one weight a lag;
 * the mean density of channels: lags are averaged first, and transformed once.
 
-Tables of cosines and weights depend on frame lengths only. They are made by
-Spark from ranges, have at most as many rows as a frame has samples times the
-bins (for the weights: a row a frame length) and are broadcast.
+Spark makes these tables from ranges, one row a frame length (`basis`) or one a
+bin and lag (`cosines`), and broadcasts them; a frame of 256 samples takes 0.6
+MB. Channels are joined with them where they lie, so a segment's features cost
+one shuffle of a few numbers a channel.
 
 A row whose signal isn't a full matrix of finite numbers keeps its keys and has
 null features. Keys may be null or repeated; each row is a segment of its own
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import series
-from tideline.model import BANDS, CAUDAL_PAIRS, FAA_PAIRS, PAIR_BANDS, SYMMETRIC_PAIRS, TOTAL_BAND, Config, hemisphere, region
+from tideline.model import BANDS, CAUDAL_PAIRS, FAA_PAIRS, FEATURES, PAIR_BANDS, SYMMETRIC_PAIRS, TOTAL_BAND, Config, hemisphere, region
 
 EPS = 1e-10
 #: Bands of every power table: the named ones, the whole, and the two of the low to high ratio.
@@ -82,60 +83,85 @@ def lags(rows: DataFrame, config: Config, entropy: bool = False) -> DataFrame:
     return framed.withColumn("r", F.when(f.isNotNull(), r)).drop("__f", "__step")
 
 
+def _cosine(k: Column, lag: Column, nfft: Column) -> Column:
+    """The weight of a lag in the one-sided density at bin k."""
+    sides = F.when((k == 0) | (k * 2 == nfft), 1.0).otherwise(2.0)
+    twice = F.when(lag == 0, 1.0).otherwise(2.0)
+    return sides * twice * F.cos(F.lit(2 * math.pi) * ((k.cast("long") * lag) % nfft) / nfft)
+
+
+def _bins(nfft: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor(nfft / 2).cast("int"))
+
+
 def cosines(sizes: DataFrame, fs: float) -> DataFrame:
     """(n, lag, k, hz, c) for each row (n, nfft): the density at bin k is the sum of r[lag] * c."""
-    bins = sizes.select("n", "nfft", F.explode(F.sequence(F.lit(0), F.floor(F.col("nfft") / 2).cast("int"))).alias("k"))
+    bins = sizes.select("n", "nfft", F.explode(_bins(F.col("nfft"))).alias("k"))
     both = bins.select("n", "nfft", "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("lag"))
-    sides = F.when((F.col("k") == 0) | (F.col("k") * 2 == F.col("nfft")), 1.0).otherwise(2.0)
-    twice = F.when(F.col("lag") == 0, 1.0).otherwise(2.0)
-    return both.select("n", "lag", "k", (F.col("k") * fs / F.col("nfft")).alias("hz"), (sides * twice * F.cos(F.lit(2 * math.pi) * ((F.col("k").cast("long") * F.col("lag")) % F.col("nfft")) / F.col("nfft"))).alias("c"))
+    return both.select("n", "lag", "k", (F.col("k") * fs / F.col("nfft")).alias("hz"), _cosine(F.col("k"), F.col("lag"), F.col("nfft")).alias("c"))
 
 
-def band_weights(sizes: DataFrame, fs: float, bands=POWER_BANDS, closed: bool = False) -> DataFrame:
-    """(n, and for each band w_<band>, an array with a weight a lag, and n_<band>, its bins): bins joined with bands by range.
+def basis(sizes: DataFrame, fs: float, bands=POWER_BANDS, closed: bool = False, full: bool = False) -> DataFrame:
+    """One row for each row (n, nfft): for each band w_<band>, a weight a lag, and n_<band>, its bins.
 
     A band's power is the trapezoid rule over its bins: their sum less half of
-    the first and the last; none for a single bin.
+    the first and the last; none for a single bin. With full=True also c, the
+    cosines of each bin, and hz.
     """
-    table = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for b, lo, hi in bands])
-    named = sizes.sparkSession.range(1).select(F.explode(table).alias("b")).select("b.*")
-    below = F.col("hz") <= F.col("hi") if closed else F.col("hz") < F.col("hi")
-    inside = cosines(sizes, fs).join(F.broadcast(named), (F.col("hz") >= F.col("lo")) & below)
-    first, last = F.min_by("c", "k"), F.max_by("c", "k")
-    width = F.when(F.count("k") > 1, (F.max("hz") - F.min("hz")) / (F.count("k") - 1)).otherwise(0.0)
-    per_lag = inside.groupBy("n", "lag", "band").agg(((F.sum("c") - (first + last) / 2) * width).alias("w"), F.count("k").alias("bins"))
-    listed = per_lag.groupBy("n", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "w"))), lambda s: s["w"]).alias("w"), F.max("bins").alias("bins"))
-    pick = lambda b, c: F.max(F.when(F.col("band") == b, F.col(c)))
-    return listed.groupBy("n").agg(*[e for b, _, _ in bands for e in (pick(b, "w").alias(f"w_{b}"), F.coalesce(pick(b, "bins"), F.lit(0)).alias(f"n_{b}"))])
+    nfft = F.col("nfft")
+    rows = sizes.withColumn("__k", _bins(nfft))
+    rows = rows.withColumns({"hz": F.transform("__k", lambda k: k * fs / nfft), "__lag": F.sequence(F.lit(0), F.col("n") - 1)})
+    rows = rows.withColumn("c", F.transform("__k", lambda k: F.transform("__lag", lambda lag: _cosine(k, lag, nfft))))
+
+    def inside(lo: float, hi: float) -> Column:
+        return F.filter("__k", lambda k: (k * fs / nfft >= lo) & ((k * fs / nfft <= hi) if closed else (k * fs / nfft < hi)))
+
+    rows = rows.withColumns({f"__k_{b}": inside(float(lo), float(hi)) for b, lo, hi in bands})
+
+    def weights(ks: Column) -> Column:
+        count, c = F.size(ks), F.col("c")
+        mine = F.slice(c, ks[0] + 1, count)
+        whole = lambda lag: F.aggregate(mine, F.lit(0.0), lambda a, row: a + row[lag]) - (c[ks[0]][lag] + c[ks[count - 1]][lag]) / 2
+        return F.when(count > 1, F.transform("__lag", lambda lag: whole(lag) * fs / nfft))
+
+    out = [e for b, _, _ in bands for e in (weights(F.col(f"__k_{b}")).alias(f"w_{b}"), F.size(f"__k_{b}").alias(f"n_{b}"))]
+    return rows.select("n", *out, *(["c", "hz"] if full else []))
 
 
 def sizes_of(rows: DataFrame, config: Config, entropy: bool = False, length: int | None = None) -> DataFrame:
     """The frame lengths (n, nfft) that occur, at most as many as a frame has samples; without a look at the data where all rows have one length."""
     if length is not None:
-        rows = rows.sparkSession.range(1).select(F.array_repeat(F.lit(0.0), length).alias("x"))
+        rows = rows.sparkSession.range(1, numPartitions=1).select(F.array_repeat(F.lit(0.0), length).alias("x"))
     n, _, nfft = shape(F.col("x"), config, entropy)
-    return rows.where(F.size("x") > 0).select(n.alias("n"), nfft.alias("nfft")).distinct()
+    found = rows.where(F.size("x") > 0).select(n.alias("n"), nfft.alias("nfft"))
+    return found.distinct() if length is None else found
 
 
-def band_powers(rows: DataFrame, config: Config, entropy: bool = False, length: int | None = None, bands=POWER_BANDS) -> DataFrame:
-    """Rows of channels (keys, ch, x) with a column for each band, its power, and n_<band>. Map-side but for the broadcast weights.
+def dot(a: Column, b: Column) -> Column:
+    return series.total(F.zip_with(a, b, lambda x, y: x * y))
 
-    length: the samples of every row, where they are known to be equal; rows of another length then have nulls.
+
+def band_powers(rows: DataFrame, config: Config, entropy: bool = False, length: int | None = None, bands=POWER_BANDS, full: bool = False, suffix: str = "") -> DataFrame:
+    """Rows of channels with a column for each band, its power, and n_<band>, its bins; with full=True also p, the density at each bin, and hz.
+
+    Nothing moves but the basis. length: the samples of every row, where they
+    are known to be equal; rows of another length then have nulls. suffix goes
+    to the names of all new columns.
     """
-    w = band_weights(sizes_of(rows, config, entropy, length), config.fs, bands, closed=entropy)
-    with_lags = lags(rows, config, entropy).drop("x", "nfft")
-    dot = lambda b: F.when(F.col("r").isNotNull() & F.col("n").isNotNull(), F.coalesce(series.total(F.zip_with(F.col("r"), F.col(f"w_{b}"), lambda a, c: a * c)), F.lit(0.0)))
-    keys = [c for c in with_lags.columns if c not in ("r", "n")]
-    return with_lags.join(F.broadcast(w), "n", "left").select(*keys, *[dot(b).alias(b) for b, _, _ in bands], *[F.col(f"n_{b}") for b, _, _ in bands])
+    b = basis(sizes_of(rows, config, entropy, length), config.fs, bands, entropy, full)
+    both = lags(rows, config, entropy).drop("nfft").join(F.broadcast(b), "n", "left")
+    r, known = F.col("r"), F.col("r").isNotNull() & F.col(f"n_{bands[0][0]}").isNotNull()
+    new = {f"{x}{suffix}": F.when(known, F.coalesce(dot(r, F.col(f"w_{x}")), F.lit(0.0))) for x, _, _ in bands}
+    if full:
+        new[f"p{suffix}"] = F.when(known, F.transform("c", lambda c: F.greatest(dot(r, c), F.lit(0.0))))
+    counts = [F.col(f"n_{x}").alias(f"n_{x}{suffix}") for x, _, _ in bands]
+    return both.select(*rows.columns, *[v.alias(k) for k, v in new.items()], *counts, *([F.col("hz").alias(f"hz{suffix}")] if full else []))
 
 
-def density(with_lags: DataFrame, by: tuple[str, ...], config: Config, sizes: DataFrame, mean: bool = False) -> DataFrame:
-    """(by, k, hz, p): the density in long form, or with mean=True that of the mean over all rows of by, transformed once."""
-    at = with_lags.select(*by, "n", F.posexplode("r").alias("lag", "r"))
-    if mean:
-        at = at.groupBy(*by, "n", "lag").agg(F.avg("r").alias("r"))
-    c = cosines(sizes, config.fs)
-    return at.join(F.broadcast(c), ["n", "lag"]).groupBy(*by, "k", "hz").agg(F.sum(F.col("r") * F.col("c")).alias("p"))
+def density(with_lags: DataFrame, by: tuple[str, ...], config: Config, sizes: DataFrame) -> DataFrame:
+    """(by, k, hz, p): the mean density of all rows of by in long form; their lags are averaged first, and transformed once."""
+    at = with_lags.select(*by, "n", F.posexplode("r").alias("lag", "r")).groupBy(*by, "n", "lag").agg(F.avg("r").alias("r"))
+    return at.join(F.broadcast(cosines(sizes, config.fs)), ["n", "lag"]).groupBy(*by, "k", "hz").agg(F.sum(F.col("r") * F.col("c")).alias("p"))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -151,21 +177,30 @@ def _only(places: list[int], value: Column) -> Column:
     return F.when(F.col("ch").isin(places) if places else F.lit(False), value)
 
 
-def shapes(psd: DataFrame, by: tuple[str, ...], normalize: bool = False) -> DataFrame:
-    """Peaks, entropy, centroid and slope of each density (by, k, hz, p)."""
-    p, hz = F.greatest(F.col("p"), F.lit(0.0)), F.col("hz")
-    top = lambda lo, hi: F.max_by(hz, F.when(hz.between(lo, hi), F.struct(p.alias("p"), (-F.col("k")).alias("k"))))
-    some = F.when(p > 0, p)
-    mass = F.sum(some)
-    entropy = F.log(mass) - F.sum(some * F.log(some)) / mass
+def shapes(rows: DataFrame, normalize: bool = False) -> DataFrame:
+    """Peak, entropy, centroid, alpha peak and slope of the density (p, hz) of each row, in place of p and hz."""
+    p, hz = F.col("p"), F.col("hz")
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("m"), zero.alias("h"), zero.alias("n"), zero.alias("c"))
+    sums = F.aggregate(F.zip_with(p, hz, lambda a, f: F.struct(a.alias("p"), f.alias("f"))), start, lambda a, v: F.struct(
+        (a["m"] + v["p"]).alias("m"), (a["h"] + F.when(v["p"] > 0, v["p"] * F.log(v["p"])).otherwise(0.0)).alias("h"), (a["n"] + (v["p"] > 0).cast("double")).alias("n"), (a["c"] + v["p"] * v["f"]).alias("c")))
+    inside = lambda lo, hi: F.filter(F.zip_with(p, hz, lambda a, f: F.struct(a.alias("p"), (-f).alias("f"))), lambda v: v["f"].between(-hi, -lo))
+    line = F.struct(*[zero.alias(c) for c in ("n", "x", "y", "xx", "xy")])
+    fit = F.aggregate(
+        F.transform(F.filter(inside(2.0, 40.0), lambda v: v["p"] > EPS), lambda v: F.struct(F.log10(-v["f"]).alias("x"), F.log10(v["p"]).alias("y"))), line,
+        lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["x"] + v["x"]).alias("x"), (a["y"] + v["y"]).alias("y"), (a["xx"] + v["x"] * v["x"]).alias("xx"), (a["xy"] + v["x"] * v["y"]).alias("xy")))
+    # the largest density, and of equal ones the lowest frequency
+    out = rows.withColumns({"__s": sums, "__fit": fit, "__top": F.array_max(inside(0.5, 100.0)), "__alpha": F.array_max(inside(8.0, 13.0)), "__any": F.array_max(F.zip_with(p, hz, lambda a, f: F.struct(a.alias("p"), (-f).alias("f"))))})
+    s, fit = F.col("__s"), F.col("__fit")
+    entropy = F.when(s["n"] > 0, F.log(s["m"]) - s["h"] / s["m"])
     if normalize:
-        entropy = F.when(F.count(some) > 1, entropy / F.log(F.count(some).cast("double"))).otherwise(entropy)
-    fit = hz.between(2.0, 40.0) & (p > EPS)
-    slope = F.when(F.count(F.when(fit, p)) >= 3, -F.regr_slope(F.when(fit, F.log10(p)), F.when(fit, F.log10(hz))))
-    return psd.groupBy(*by).agg(
-        F.coalesce(top(0.5, 100.0), F.max_by(hz, F.struct(p.alias("p"), (-F.col("k")).alias("k")))).alias("peak"), entropy.alias("entropy"),
-        F.when(F.sum(p) > EPS, F.sum(hz * p) / F.sum(p)).alias("centroid"), F.coalesce(top(8.0, 13.0), F.lit(10.0)).alias("alpha_peak"), slope.alias("slope"),
-    )
+        entropy = F.when(s["n"] > 1, entropy / F.log(s["n"])).otherwise(entropy)
+    slope = (fit["n"] * fit["xy"] - fit["x"] * fit["y"]) / (fit["n"] * fit["xx"] - fit["x"] * fit["x"])
+    have = p.isNotNull()
+    return out.withColumns({
+        "peak": -F.coalesce(F.col("__top")["f"], F.col("__any")["f"]), "entropy": F.when(have, entropy), "centroid": F.when(s["m"] > EPS, s["c"] / s["m"]),
+        "alpha_peak": F.when(have, F.coalesce(-F.col("__alpha")["f"], F.lit(10.0))), "slope": F.when(fit["n"] >= 3, -slope),
+    }).drop("p", "hz", "__s", "__fit", "__top", "__alpha", "__any")
 
 
 def numbered(segments: DataFrame) -> DataFrame:
@@ -174,28 +209,23 @@ def numbered(segments: DataFrame) -> DataFrame:
 
 
 def frequency_features(segments: DataFrame, config: Config, keys: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, length: int | None = None) -> DataFrame:
-    """All features of the frequency domain, the composites and the power topography, one row a segment.
-
-    Channels are reduced where they lie; one shuffle of a few numbers a
-    channel. The segments should end a stage (a table that was read or
-    written), since they are read once for the powers and once for the shapes.
-    """
+    """All features of the frequency domain, the composites and the power topography, one row a segment."""
     by = (*keys, "__segment")
-    rows = channels(numbered(segments), by, eeg, by_time)
-    power = band_powers(rows, config, length=length)
-    avg = lambda b: F.avg(b)
+    power = shapes(band_powers(channels(numbered(segments), by, eeg, by_time), config, length=length, full=True), config.normalize_entropy)
     left, right = _places(config, hemisphere, "left"), _places(config, hemisphere, "right")
     front, back = _places(config, region, "frontal"), _places(config, region, "occipital")
     col = F.col
-    part = {b: avg(b).alias(f"{b}_power") for b, _, _ in BANDS} | {f"r_{b}": F.avg(safe_ratio(col(b), col("total"))).alias(f"{b}_relative_power") for b, _, _ in BANDS}
+    part = {b: F.avg(b).alias(f"{b}_power") for b, _, _ in BANDS} | {f"r_{b}": F.avg(safe_ratio(col(b), col("total"))).alias(f"{b}_relative_power") for b, _, _ in BANDS}
     sums = {f"__{b}": F.sum(b).alias(f"__{b}") for b in ("theta", "alpha", "beta", "delta")}
     sided = {"__l": F.avg(_only(left, col("alpha"))), "__g": F.avg(_only(right, col("alpha"))), "__f": F.avg(_only(front, col("alpha"))), "__o": F.avg(_only(back, col("alpha"))), "__fb": F.avg(_only(front, col("beta"))), "__r": F.corr("alpha", "beta"), "__n": F.count("alpha")}
-    seg = power.groupBy(*by).agg(*part.values(), *sums.values(), F.avg("total").alias("mean_total_power"), F.avg(safe_ratio(col("low"), col("high"))).alias("low_high_power_ratio"), *[v.alias(k) for k, v in sided.items()])
+    zero = lambda v: F.when(F.count("alpha") > 0, F.coalesce(v, F.lit(0.0)))
+    formed = {"peak_frequency": F.avg("peak"), "spectral_entropy": zero(F.avg("entropy")), "spectral_centroid": zero(F.avg("centroid")), "individual_alpha_frequency": F.avg("alpha_peak"), "aperiodic_exponent": F.when(F.count("alpha") > 0, F.coalesce(F.avg("slope"), F.lit(1.0)))}
+    seg = power.groupBy(*by).agg(*part.values(), *sums.values(), *[v.alias(k) for k, v in formed.items()], F.avg("total").alias("mean_total_power"), F.avg(safe_ratio(col("low"), col("high"))).alias("low_high_power_ratio"), *[v.alias(k) for k, v in sided.items()])
     have = col("__n") > 0
     theta_alpha, frontal, alert = safe_ratio(col("__theta"), col("__alpha")), safe_ratio(col("__fb"), col("beta_power")), safe_ratio(col("__alpha"), col("__delta"))
     sigmoid = lambda z: 1 / (1 + F.exp(-z))
     both, sides = col("__alpha") + col("__beta"), col("__l") + col("__g")
-    zero = F.when(have, 0.0)
+    none = F.when(have, 0.0)
     out = {
         "theta_beta_ratio": safe_ratio(col("theta_power"), col("beta_power")),
         "delta_theta_ratio": safe_ratio(col("delta_power"), col("theta_power")),
@@ -204,18 +234,12 @@ def frequency_features(segments: DataFrame, config: Config, keys: tuple[str, ...
         "cognitive_load_estimate": sigmoid(2 * (0.6 * theta_alpha + 0.4 * frontal - 1)),
         "alertness_estimate": sigmoid(2 * (alert - 0.5)),
         "relaxation_index": F.when(both > 0, F.least(F.greatest(col("__alpha") / both, F.lit(0.0)), F.lit(1.0))),
-        "alpha_beta_band_power_correlation": F.when(F.isnan("__r"), zero).otherwise(F.coalesce("__r", zero)),
-        "hemispheric_alpha_asymmetry": F.when(sides > EPS, (col("__g") - col("__l")) / sides).otherwise(zero),
+        "alpha_beta_band_power_correlation": F.when(F.isnan("__r"), none).otherwise(F.coalesce("__r", none)),
+        "hemispheric_alpha_asymmetry": F.when(sides > EPS, (col("__g") - col("__l")) / sides).otherwise(none),
         "frontal_occipital_alpha_ratio": safe_ratio(col("__f"), col("__o")),
     }
-    psd = density(lags(rows, config), (*by, "ch"), config, sizes_of(rows, config, length=length))
-    per_ch = shapes(psd, (*by, "ch"), config.normalize_entropy)
-    formed = per_ch.groupBy("__segment").agg(
-        F.avg("peak").alias("peak_frequency"), F.coalesce(F.avg("entropy"), F.lit(0.0)).alias("spectral_entropy"), F.coalesce(F.avg("centroid"), F.lit(0.0)).alias("spectral_centroid"),
-        F.avg("alpha_peak").alias("individual_alpha_frequency"), F.coalesce(F.avg("slope"), F.lit(1.0)).alias("aperiodic_exponent"),
-    )
-    hidden = [c for c in seg.columns if c.startswith("__") and c != "__segment"]
-    return seg.withColumns(out).drop(*hidden).join(formed, "__segment", "left").drop("__segment")
+    hidden = [c for c in seg.columns if c.startswith("__")]
+    return seg.withColumns(out).drop(*hidden)
 
 
 def entropy_features(segments: DataFrame, config: Config, keys: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, length: int | None = None) -> DataFrame:
@@ -226,9 +250,11 @@ def entropy_features(segments: DataFrame, config: Config, keys: tuple[str, ...]
     """
     by = (*keys, "__segment")
     rows = channels(numbered(segments), by, eeg, by_time)
-    power = band_powers(rows, config, entropy=True, length=length, bands=BANDS)
+    power = band_powers(rows, config, length=length, bands=[b for b in BANDS if b[0] == "alpha"], suffix="_welch")
+    power = band_powers(power, config, entropy=True, length=length, bands=BANDS)
     half_log = lambda v: 0.5 * F.log(F.lit(2 * math.pi * math.e) * F.greatest(v, F.lit(1e-15)))
-    de = power.select(*by, "ch", *[F.when(F.col(b).isNotNull(), F.when(F.col(f"n_{b}") > 0, half_log(F.col(b))).otherwise(0.0)).alias(b) for b, _, _ in BANDS])
+    entropy = lambda b: F.when(F.col(b).isNotNull(), F.when(F.col(f"n_{b}") > 0, half_log(F.col(b))).otherwise(0.0))
+    de = power.select(*by, "ch", *[entropy(b).alias(b) for b, _, _ in BANDS], F.log(F.greatest("alpha_welch", F.lit(1e-15))).alias("__a"))
     at = {c.upper(): i for i, c in enumerate(config.channels)}
     known = lambda ps: [(at[a], at[b]) for a, b in ps if a in at and b in at]
     sym, caudal = known(SYMMETRIC_PAIRS), known(CAUDAL_PAIRS)
@@ -243,16 +269,15 @@ def entropy_features(segments: DataFrame, config: Config, keys: tuple[str, ...]
         one = F.coalesce(*[F.when(F.col("ch") == i, F.lit(v)) for i, v in sorted(w.items())], F.lit(0.0))
         return F.sum(F.col(b) * one)
 
+    of = lambda name: F.max(F.when(F.col("ch") == at.get(name, -1), F.col("__a")))
+    faa = {f"faa_{a}{b}".lower(): of(b) - of(a) for a, b in FAA_PAIRS}
     per_segment = F.map_from_entries(F.collect_list(F.when(F.col("ch").isNotNull(), F.struct("ch", F.struct(*PAIR_BANDS)))))
     seg = de.groupBy(*by).agg(
-        *[F.avg(b).alias(f"de_{b}") for b, _, _ in BANDS], *[weighted(sym, b).alias(f"dasm_{b}") for b in PAIR_BANDS], *[weighted(caudal, b).alias(f"dcau_{b}") for b in PAIR_BANDS], per_segment.alias("__de"),
+        *[F.avg(b).alias(f"de_{b}") for b, _, _ in BANDS], *[weighted(sym, b).alias(f"dasm_{b}") for b in PAIR_BANDS], *[weighted(caudal, b).alias(f"dcau_{b}") for b in PAIR_BANDS],
+        *[v.alias(k) for k, v in faa.items()], per_segment.alias("__de"),
     )
     pair = lambda i, j, b: (F.col("__de")[i][b], F.col("__de")[j][b])
     ratios = lambda b: F.array_compact(F.array(*[F.when((x > 0) & (y > 0), safe_ratio(x, y)) for i, j in sym for x, y in [pair(i, j, b)]]).cast("array<double>"))
-    seg = seg.withColumns({f"rasm_{b}": series.mean(ratios(b)) for b in PAIR_BANDS}).drop("__de")
-    alpha = band_powers(rows, config, length=length, bands=[b for b in BANDS if b[0] == "alpha"]).select("__segment", "ch", F.log(F.greatest("alpha", F.lit(1e-15))).alias("a"))
-    of = lambda name: F.max(F.when(F.col("ch") == at.get(name, -1), F.col("a")))
-    faa = alpha.groupBy("__segment").agg(*[(of(b) - of(a)).alias(f"faa_{a}{b}".lower()) for a, b in FAA_PAIRS])
-    names = [f"faa_{a}{b}".lower() for a, b in FAA_PAIRS]
-    faa = faa.withColumn("faa_mean", series.mean(F.array_compact(F.array(*names))))
-    return seg.join(faa.select("__segment", *names[:3], "faa_mean"), "__segment", "left").drop("__segment")
+    seg = seg.withColumns({f"__r_{b}": ratios(b) for b in PAIR_BANDS} | {"faa_mean": series.mean(F.array_compact(F.array(*faa)))})
+    hidden = [k for k in faa if k not in FEATURES["de_features"]]
+    return seg.withColumns({f"rasm_{b}": series.mean(F.col(f"__r_{b}")) for b in PAIR_BANDS}).drop("__de", "__segment", *hidden, *[f"__r_{b}" for b in PAIR_BANDS])

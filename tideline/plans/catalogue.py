@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions import features as feature_groups
 from tideline.functions import kernels
-from tideline.model import FEATURES, MONTAGE_62, MONTAGE_90, PRESETS, Config, hemisphere, region
+from tideline.model import BANDS, FEATURES, MONTAGE_62, MONTAGE_90, PRESETS, Config, hemisphere, region
 from tideline.operators import extract as ex
-from tideline.operators import repair, segments
+from tideline.operators import graphs, pairs, repair, segments, spectrum, timedomain
 from tideline.operators.selection import preset
 from tideline.sources import signals
 from tideline.streaming.windows import window_features
@@ -288,6 +288,69 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(window_features(table(spark, sf_dir, "events")).withColumn("window_start", F.unix_timestamp("window_start")), ("window_start", "channel"), 4)
 
 
+def td_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time-domain features from arrays of channels."""
+    return rounded(timedomain.features(signals.embedding_segments(spark, sf_dir), SHORT, names=FEATURES["time_domain"], eeg="steps", by_time=True))
+
+
+def cx_fractal_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timedomain.features(signals.embedding_segments(spark, sf_dir), SHORT, names=timedomain.FRACTAL, eeg="steps", by_time=True))
+
+
+def spectrum_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean density of channels for each bin: lags are averaged over channels and transformed once."""
+    rows = spectrum.channels(signals.embedding_segments(spark, sf_dir), ("seg",), "steps", by_time=True)
+    sizes = spectrum.sizes_of(rows, SHORT, length=100)
+    psd = spectrum.density(spectrum.lags(rows, SHORT), ("seg",), SHORT, sizes)
+    return rounded(psd.select("seg", F.col("k").cast("long").alias("k"), "hz", (F.col("p") * 1e6).alias("power")), ("seg", "k"))
+
+
+def spectrum_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins and least, largest and median channel power of each band."""
+    rows = spectrum.channels(signals.embedding_segments(spark, sf_dir), ("seg",), "steps", by_time=True)
+    power = spectrum.band_powers(rows, SHORT, length=100)
+    long = power.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"n_{b}").cast("long").alias("bins"), (F.col(b) * 1e6).alias("v")) for b, _, _ in BANDS])).alias("x")).select("x.*")
+    return rounded(long.groupBy("band").agg(F.max("bins").alias("bins"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.percentile("v", 0.5).alias("median_v")), ("band",), 4)
+
+
+def spectrum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powers, ratios, peaks, entropy, slope, composites and power topography in one row a segment."""
+    return rounded(spectrum.frequency_features(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True))
+
+
+def spectrum_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differential entropies, their differences over electrode pairs, and frontal asymmetry."""
+    rows = spectrum.entropy_features(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True)
+    return rounded(rows.drop(*[c for c in rows.columns if c.startswith("rasm")]))
+
+
+def spectrum_rasm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of entropies over electrode pairs; the signal is scaled so that entropies are positive."""
+    segs = signals.embedding_segments(spark, sf_dir).withColumn("steps", F.transform("steps", lambda x: F.transform(x, lambda v: v * 100.0)))
+    rows = spectrum.entropy_features(segs, SHORT, eeg="steps", by_time=True)
+    return rounded(rows.select("seg", *[c for c in rows.columns if c.startswith("rasm")]))
+
+
+def pairs_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.mean_correlation(signals.embedding_segments(spark, sf_dir), eeg="steps", by_time=True))
+
+
+def pairs_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.coherence_features(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True, length=100))
+
+
+def pairs_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of each segment's graph and their mean strength, from edges with six digits."""
+    edges = pairs.coherence_edges(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True, length=100).withColumn("w", F.round("w", 6))
+    g = graphs.thresholded(pairs.edge_lists(edges))
+    return rounded(g.select("seg", F.size("edges").cast("long").alias("n_edges"), (F.aggregate("edges", F.lit(0.0), lambda a, e: a + e["w"]) / F.size("edges")).alias("mean_w")), digits=4)
+
+
+def graph_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = pairs.coherence_edges(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True, length=100)
+    return rounded(graphs.measures(pairs.edge_lists(edges), len(SHORT.channels)))
+
+
 def all_of(group: str, **k) -> Query:
     return features(*FEATURES[group], **k)
 
@@ -346,6 +409,17 @@ QUERIES: dict[str, Query] = {
     "repair_missing": repair_missing,
     "missing_report": missing_report,
     "compare_runs": compare_runs,
+    "td_native": td_native,
+    "cx_fractal_native": cx_fractal_native,
+    "spectrum_psd": spectrum_psd,
+    "spectrum_coverage": spectrum_coverage,
+    "spectrum_features": spectrum_features,
+    "spectrum_entropy": spectrum_entropy,
+    "spectrum_rasm": spectrum_rasm,
+    "pairs_correlation": pairs_correlation,
+    "pairs_coherence": pairs_coherence,
+    "pairs_strongest": pairs_strongest,
+    "graph_measures": graph_measures,
     "wide_full_row": wide_full_row,
     "stream_windows": stream_windows,
 }

@@ -334,3 +334,22 @@ _WIDE_PARTS = (
     "de_dcau de_faa cx_fractal cx_hurst cx_entropies cx_wavelet cn_correlation cn_coherence cn_power_topography nw_all"
 ).split()
 ORACLE_SQL["wide_sql_row"] = "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[q]}) AS q{i}" + (" USING (seg)" if i else "") for i, q in enumerate(_WIDE_PARTS))
+
+
+def _side_by_side(*queries: str) -> str:
+    return "SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[q]}) AS q{i}" + (" USING (seg)" if i else "") for i, q in enumerate(queries))
+
+
+ORACLE_SQL |= {
+    "td_native": _side_by_side("td_amplitude", "td_zero_crossing", "td_hjorth"),
+    "cx_fractal_native": ORACLE_SQL["cx_fractal"],
+    "spectrum_psd": ORACLE_SQL["psd_welch"],
+    "spectrum_coverage": ORACLE_SQL["band_coverage"],
+    "spectrum_features": _side_by_side("fd_absolute", "fd_relative", "fd_peaks", "fd_entropy_centroid", "fd_ratios", "fd_aperiodic", "composite_scores", "cn_power_topography"),
+    "spectrum_entropy": _side_by_side("de_bands", "de_dasm", "de_dcau", "de_faa"),
+    "spectrum_rasm": ORACLE_SQL["de_rasm"],
+    "pairs_correlation": ORACLE_SQL["cn_correlation"],
+    "pairs_coherence": ORACLE_SQL["cn_coherence"],
+    "pairs_strongest": ORACLE_SQL["nw_threshold_graph"],
+    "graph_measures": ORACLE_SQL["nw_all"],
+}
