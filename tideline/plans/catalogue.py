@@ -12,7 +12,7 @@ from tideline.functions import features as feature_groups
 from tideline.functions import kernels
 from tideline.model import BANDS, FEATURES, MONTAGE_62, MONTAGE_90, PRESETS, Config, hemisphere, region
 from tideline.operators import extract as ex
-from tideline.operators import graphs, pairs, repair, segments, spectrum, timedomain
+from tideline.operators import entropies, graphs, pairs, repair, segments, spectrum, states, timedomain
 from tideline.operators.selection import preset
 from tideline.sources import signals
 from tideline.streaming.windows import window_features
@@ -351,6 +351,24 @@ def graph_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.measures(pairs.edge_lists(edges), len(SHORT.channels)))
 
 
+def entropy_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(entropies.features(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True))
+
+
+def states_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Microstate maps of all segments as one subject, in long form."""
+    t = states.fit_template(signals.embedding_segments(spark, sf_dir), eeg="steps", by_time=True)
+    return rounded(t.select("subject", "state", F.posexplode("map").alias("ch", "v")), ("subject", "state", "ch"))
+
+
+def states_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Microstate features with the first four vectors as maps."""
+    from tideline.session import table
+
+    maps = table(spark, sf_dir, "embeddings").where("vec_id < 4").select(F.lit(0).cast("long").alias("subject"), F.col("vec_id").cast("int").alias("state"), F.slice("embedding", 1, 62).cast("array<double>").alias("map"))
+    return rounded(states.features(signals.embedding_segments(spark, sf_dir), maps, SHORT.fs, eeg="steps", by_time=True), digits=5)
+
+
 def all_of(group: str, **k) -> Query:
     return features(*FEATURES[group], **k)
 
@@ -420,6 +438,9 @@ QUERIES: dict[str, Query] = {
     "pairs_coherence": pairs_coherence,
     "pairs_strongest": pairs_strongest,
     "graph_measures": graph_measures,
+    "entropy_range_join": entropy_range_join,
+    "states_template": states_template,
+    "states_features": states_features,
     "wide_full_row": wide_full_row,
     "stream_windows": stream_windows,
 }

@@ -352,4 +352,6 @@ ORACLE_SQL |= {
     "pairs_coherence": ORACLE_SQL["cn_coherence"],
     "pairs_strongest": ORACLE_SQL["nw_threshold_graph"],
     "graph_measures": ORACLE_SQL["nw_all"],
+    "entropy_range_join": ORACLE_SQL["cx_entropies"],
+    "states_features": ORACLE_SQL["ms_features_fixed"],
 }
