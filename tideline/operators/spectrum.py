@@ -131,7 +131,7 @@ def basis(sizes: DataFrame, fs: float, bands=POWER_BANDS, closed: bool = False,
 def sizes_of(rows: DataFrame, config: Config, entropy: bool = False, length: int | None = None) -> DataFrame:
     """The frame lengths (n, nfft) that occur, at most as many as a frame has samples; without a look at the data where all rows have one length."""
     if length is not None:
-        rows = rows.sparkSession.range(1, numPartitions=1).select(F.array_repeat(F.lit(0.0), length).alias("x"))
+        rows = rows.sparkSession.range(length, length + 1, numPartitions=1).select(F.array_repeat(F.lit(0.0), F.col("id").cast("int")).alias("x"))
     n, _, nfft = shape(F.col("x"), config, entropy)
     found = rows.where(F.size("x") > 0).select(n.alias("n"), nfft.alias("nfft"))
     return found.distinct() if length is None else found
@@ -165,8 +165,8 @@ def density(with_lags: DataFrame, by: tuple[str, ...], config: Config, sizes: Da
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
-    """Null for a denominator that isn't positive; otherwise clipped to 0.01 .. 100."""
-    return F.when(b > 0, F.least(F.greatest(a / b, F.lit(0.01)), F.lit(100.0)))
+    """Null without a numerator or for a denominator that isn't positive; otherwise clipped to 0.01 .. 100."""
+    return F.when(a.isNotNull() & (b > 0), F.least(F.greatest(a / b, F.lit(0.01)), F.lit(100.0)))
 
 
 def _places(config: Config, kind, what: str) -> list[int]:

@@ -362,11 +362,12 @@ def states_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Microstate features with the first four vectors as maps."""
+    """Microstate features of three subjects, the first twelve vectors being their maps."""
     from tideline.session import table
 
-    maps = table(spark, sf_dir, "embeddings").where("vec_id < 4").select(F.lit(0).cast("long").alias("subject"), F.col("vec_id").cast("int").alias("state"), F.slice("embedding", 1, 62).cast("array<double>").alias("map"))
-    return rounded(states.features(signals.embedding_segments(spark, sf_dir), maps, SHORT.fs, eeg="steps", by_time=True), digits=5)
+    maps = table(spark, sf_dir, "embeddings").where("vec_id < 12").select(F.expr("vec_id div 4").alias("subject"), F.expr("CAST(vec_id % 4 AS INT)").alias("state"), F.slice("embedding", 1, 62).cast("array<double>").alias("map"))
+    segs = signals.embedding_segments(spark, sf_dir).withColumn("subject", F.col("seg") % 3)
+    return rounded(states.features(segs, maps, SHORT.fs, subject="subject", eeg="steps", by_time=True), digits=5)
 
 
 def all_of(group: str, **k) -> Query:

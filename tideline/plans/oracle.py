@@ -353,5 +353,5 @@ ORACLE_SQL |= {
     "pairs_strongest": ORACLE_SQL["nw_threshold_graph"],
     "graph_measures": ORACLE_SQL["nw_all"],
     "entropy_range_join": ORACLE_SQL["cx_entropies"],
-    "states_features": ORACLE_SQL["ms_features_fixed"],
+    "states_features": _MICRO.replace("vec_id AS k,", "vec_id // 4 AS subject, vec_id % 4 AS k,").replace("vec_id < 4", "vec_id < 12").replace("SELECT k, ch, m - avg(m) OVER (PARTITION BY k)", "SELECT subject, k, ch, m - avg(m) OVER (PARTITION BY subject, k)").replace("FROM x JOIN mc USING (ch)", "FROM x JOIN mc ON mc.ch = x.ch AND subject = seg % 3"),
 }
