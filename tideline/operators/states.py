@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import series
@@ -110,32 +110,41 @@ def fit_template(segments: DataFrame, keys: tuple[str, ...] = ("seg",), subject:
     numbered = placed.join(first, "subject").select("subject", (F.col("__at") - F.col("__first")).alias("place"), "map", unit(F.col("map")).alias("unit"))
     maps = written(numbered, "maps")
     counts = written(first, "subjects")
-    centres = written(_drawn(counts, k, seed).join(maps, ["subject", "place"]).select("subject", "state", "map"), "centres")
-    before, active = None, counts.where(F.col("n") >= k).select("subject")
-    units = lambda c, name: _lists(c).select("subject", F.transform("centres", unit).alias(name))
+    width = maps.agg(F.max(F.size("map"))).first()[0]
+    drawn = _drawn(counts, k, seed).join(maps, ["subject", "place"]).join(counts.select("subject", "n"), "subject")
+    centres = written(drawn.select("subject", "state", F.lit(None).cast("array<double>").alias("map"), F.col("map").alias("fresh"), (F.col("n") >= k).cast("int").alias("moved")), "centres")
     for _ in range(rounds):
-        rows = maps.join(active, "subject", "left_semi").join(units(centres, "now"), "subject")
-        rows = rows.withColumn("new", nearest(F.col("unit"), F.col("now")))
-        old = F.lit(0)
-        if before is not None:
-            rows = rows.join(units(before, "then"), "subject").withColumn("old", nearest(F.col("unit"), F.col("then")))
-            old = F.col("old.k")
-        signed = F.transform("map", lambda v: F.when(F.col("new.r") < 0, -v).otherwise(v))
-        state = rows.select("subject", F.col("new.k").alias("state"), (F.col("new.k") != old).cast("int").alias("moved"), F.posexplode(signed).alias("ch", "v"))
-        sums = state.groupBy("subject", "state", "ch").agg(F.avg("v").alias("v"), F.max("moved").alias("moved"))
-        after = sums.groupBy("subject", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "v"))), lambda s: s["v"]).alias("fresh"), F.max("moved").alias("moved"))
-        told = written(after, "round")
-        changed = told.groupBy("subject").agg(F.max("moved").alias("moved")).where("moved = 1").select("subject")
-        active = written(changed, "active")
-        if active.isEmpty():
+        if centres.where("moved = 1").isEmpty():
             break
-        fresh = told.join(active, "subject", "left_semi").select("subject", "state", "fresh")
-        before, centres = centres, written(centres.join(fresh, ["subject", "state"], "left").select("subject", "state", F.coalesce("fresh", "map").alias("map")), "centres")
-    scaled = written(_final(centres, counts, k), "templates")
-    discard(maps)
+        old, centres = centres, written(_round(maps, centres, width), "centres")
+        discard(old)
+    moved = F.max("moved").over(Window.partitionBy("subject"))  # a row a state
+    ended = centres.select("subject", "state", F.when(moved == 1, F.coalesce("fresh", "map")).otherwise(F.coalesce("map", "fresh")).alias("map"))
+    scaled = written(_final(ended, counts, k), "templates")
+    for t in (maps, counts, centres):
+        discard(t)
     return scaled
 
 
+def _round(maps: DataFrame, centres: DataFrame, width: int) -> DataFrame:
+    """The next round of (subject, state, map, fresh, moved): the centres compared with, the means of the maps that took them, and whether a map came new.
+
+    fresh becomes map only where a map of the subject has moved.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("state", F.coalesce("fresh", "map").alias("now"), F.col("map").alias("then"))))
+    known = centres.groupBy("subject").agg(ordered.alias("c"), F.max("moved").alias("moved")).where("moved = 1")
+    known = known.select("subject", F.transform("c", lambda s: unit(s["now"])).alias("now"), F.when(F.col("c")[0]["then"].isNotNull(), F.transform("c", lambda s: unit(s["then"]))).alias("then"))
+    rows = maps.join(known, "subject").withColumns({"new": nearest(F.col("unit"), F.col("now")), "old": F.when(F.col("then").isNotNull(), nearest(F.col("unit"), F.col("then"))["k"]).otherwise(0)})
+    sign = F.when(F.col("new.r") < 0, -1.0).otherwise(1.0)
+    each = rows.select("subject", F.col("new.k").alias("state"), (F.col("new.k") != F.col("old")).cast("int").alias("m"), sign.alias("sign"), "map")
+    means = F.array(*[F.avg(F.col("sign") * F.get("map", F.lit(i))) for i in range(width)])  # null past the end of a subject's maps
+    sums = each.groupBy("subject", "state").agg(F.array_compact(means).alias("mean"), F.max("m").alias("m"))
+    active = known.select("subject", F.lit(1).alias("active"))
+    both = centres.select("subject", "state", "map", "fresh").join(active, "subject", "left").join(sums, ["subject", "state"], "left")
+    compared = F.when(F.col("active") == 1, F.coalesce("fresh", "map")).otherwise(F.coalesce("map", "fresh"))
+    return both.select("subject", "state", compared.alias("map"), F.col("mean").alias("fresh"), F.coalesce("m", F.lit(0)).alias("moved"))
+
+
 def _final(centres: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """Centres of length one; subjects with fewer maps than states get zeros for the rest, and keep their maps as they are."""
     norm = F.sqrt(dot(F.col("map"), F.col("map")))
