@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from jobs import queries as jobs
 from tideline.operators.selection import preset
 from tideline.plans import catalogue, oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+QUERIES, ORACLE_SQL = catalogue.QUERIES | jobs.QUERIES, oracle.ORACLE_SQL | jobs.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -26,17 +28,17 @@ def tidy(rows):
     return sorted((tuple((k, cell(r[k])) for k in sorted(r)) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF).toPandas()
-    want = duck.execute(oracle.ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert tidy(got.to_dict("records")) == tidy(want.to_dict("records"))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(oracle.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_gives_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_wide_full_row_holds_the_rows_that_sql_proves(spark, duck):
@@ -67,7 +69,7 @@ def test_entry_works_without_llm(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "tideline.llm.queries", None)  # its import raises ImportError
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
-    assert set(entry_module.queries()) == set(catalogue.QUERIES) and set(entry_module.oracle_sql()) == set(oracle.ORACLE_SQL)
+    assert set(entry_module.queries()) == set(QUERIES) and set(entry_module.oracle_sql()) == set(ORACLE_SQL)
 
 
 def test_clusters_must_name_a_shared_folder():

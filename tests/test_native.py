@@ -1,6 +1,7 @@
 """The DataFrame operators of signals against the kernels, their edge cases, and their plans."""
 
 import math
+import warnings
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions import kernels as K
 from tideline.functions.features import compute
-from tideline.model import FEATURES, MONTAGE_62, Config
-from tideline.operators import entropies, graphs, pairs, spectrum, states, timedomain
+from tideline.model import BANDS, FEATURES, MONTAGE_62, Config
+from tideline.operators import complexity, entropies, graphs, pairs, segments, spectrum, states, timedomain
 from tideline.plans import catalogue
 
 NAMES = "FP1 FP2 F7 F8 F3 F4 FZ C3 C4 O1 O2 PZ FC5 CP5".split()
@@ -82,6 +83,63 @@ def test_time_domain_equals_kernels(spark):
         assert {k for k, v in want.items() if not same(got[i][k], v)} == set(), i
 
 
+def test_wavelet_and_hurst_equal_kernels(spark):
+    """Also series shorter than the taps, of constant values, and just long enough."""
+    rnd = np.random.RandomState(12)
+    ms = [signal(1), signal(2, samples=100), rnd.randn(2, 19), rnd.randn(2, 32), np.cumsum(rnd.randn(3, 256), 1), np.ones((2, 64)), rnd.randn(2, 3), np.vstack([rnd.randn(64), np.zeros(64)]), np.r_[np.zeros(40), rnd.randn(24)][None, :]]
+    for levels in (5, 2):
+        config = Config(wavelet_level=levels)
+        got = {r["seg"]: r for r in complexity.features(table(spark, ms), config).collect()}
+        for i, m in enumerate(ms):
+            want = compute(m, config, list(complexity.NAMES))
+            assert {k for k, v in want.items() if not same(got[i][k], v)} == set(), (i, levels)
+
+
+def test_peak_frequencies_equal_kernels(spark):
+    config = Config(channels=tuple(NAMES))
+    ms = [signal(3), None]
+    got = {(r["seg"], r["ch"], r["band"]): r["hz"] for r in spectrum.peak_frequencies(table(spark, ms), config, (*BANDS, ("nowhere", 0.1, 0.2))).collect()}
+    f, p = K.welch(ms[0], 200.0, 256, 128, 512)
+    for b, lo, hi in BANDS:
+        inside = (f >= lo) & (f <= hi)
+        assert [got[0, c, b] for c in range(len(NAMES))] == f[inside][p[:, inside].argmax(1)].tolist()
+    assert got[0, 0, "nowhere"] is None and got[1, None, "alpha"] is None
+
+
+def test_fitted_features_by_trial_and_segment(spark):
+    """A template a segment is what extraction does without one; other ways than by subject warn."""
+    rows = [(1, k // 2, k, signal(k, samples=80).tolist()) for k in range(4)]
+    df = spark.createDataFrame(rows, "subject long, trial long, seg long, eeg array<array<double>>")
+    with pytest.warns(UserWarning, match="unstable"):
+        own = {r["seg"]: r for r in states.fitted_features(df, 200.0, ("seg",)).collect()}
+    for _, _, k, m in rows:
+        want = compute(np.array(m), Config(), list(FEATURES["microstate"]))
+        assert all(same(own[k][n], v) for n, v in want.items())
+    for by in (("subject", "trial"), ("subject",)):
+        with warnings.catch_warnings():
+            warnings.simplefilter("error" if by == ("subject",) else "ignore")
+            got = {r["seg"]: r for r in states.fitted_features(df, 200.0, by).collect()}
+        for group in {(r[0], r[1])[: len(by)] for r in rows}:
+            mine = [(k, np.array(m)) for s, t, k, m in rows if (s, t)[: len(by)] == group]
+            maps = K.template(np.array([m[:, t] for _, m in mine for t in sorted(K.gfp_peaks(m.std(0)))]))
+            assert all(same(got[k][n], v) for k, m in mine for n, v in K.microstates(m, maps, 200.0).items())
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_draws_equal_the_drivers(spark, shared):
+    rnd = np.random.RandomState(4)
+    trials = {s: {t: sorted(rnd.choice(50, rnd.randint(1, 9), replace=False).tolist()) for t in range(1, 6)} for s in (1, 2)}
+    rows = [(s, t, g, "x", 7) for s, ts in trials.items() for t, gs in ts.items() for g in gs]
+    df = spark.createDataFrame(rows, "subject long, trial long, segment long, drawn_by string, __n int").repartition(4)
+    for n in (-1, 1, 3):
+        got = sorted((r["subject"], r["trial"], r["segment"], r["drawn"]) for r in segments.draw(df, n, shared).collect())
+        plain = segments.sample_exact if shared else segments.sample_sorted
+        assert got == sorted((s, *r) for s, ts in trials.items() for r in plain(spark, ts, n).collect())
+    one = segments.draw(df.where("subject = 1").drop("subject"), 2, shared).select("trial", "segment", "drawn")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, plain(spark, trials[1], 2).collect()))
+    assert segments.draw(df.limit(0), 2, shared).count() == 0
+
+
 def test_broken_repeated_and_unnamed_segments(spark):
     m = signal(6)
     ms, keys = [*BROKEN, m, m, m], [*range(len(BROKEN)), None, 100, 100]
@@ -122,6 +180,26 @@ def test_pairs_equal_kernels(spark, by_time):
         assert same(means[s], want["mean_interchannel_correlation"]) and all(same(both[s][k], want[k]) for k in list(want)[1:])
 
 
+@pytest.mark.parametrize("samples", [250, 41])
+def test_phase_locking_equals_kernels(spark, samples):
+    """Segments of another length, and broken ones, have no pairs."""
+    config = Config(channels=tuple(NAMES))
+    ms = [signal(7, samples=samples), signal(8, samples=samples), signal(9, samples=60), None, np.zeros((3, samples))]
+    df = table(spark, ms)
+    edges = {(r["seg"], r["band"], r["i"], r["j"]): r["w"] for r in pairs.locking_edges(df, config, samples).collect()}
+    got = {r["seg"]: r for r in pairs.locking_features(df, config, samples).collect()}
+    assert set(got) == {0, 1, 4}
+    for s in (0, 1):
+        for b, lo, hi in pairs.LOCKING:
+            want = K.plv_matrix(ms[s], 200.0, (lo, hi))
+            assert all(same(w, want[i, j], 1e-6) for (seg, band, i, j), w in edges.items() if (seg, band) == (s, b))
+        names = [n for n in FEATURES["connectivity"] if n.startswith("plv")]
+        assert all(same(got[s][n], v, 1e-6) for n, v in compute(ms[s], config, names).items())
+    assert len(edges) == 4 * (2 * 91 + 3)
+    high = Config(fs=20.0, channels=tuple(NAMES))  # no room for the upper bands
+    assert {r["band"] for r in pairs.locking_edges(df, high, samples).collect()} == {b for b, lo, hi in pairs.LOCKING if K.bandpass(ms[0], 20.0, (lo, hi)) is not None}
+
+
 def test_graphs_equal_kernels(spark):
     """Also graphs in parts, graphs of equal weights and of two nodes."""
     rnd = np.random.RandomState(3)
@@ -218,7 +296,7 @@ def test_state_features_equal_kernels(spark):
 
 # -- plans
 
-NATIVE = "td_native cx_fractal_native spectrum_psd spectrum_coverage spectrum_features spectrum_entropy spectrum_rasm pairs_correlation pairs_coherence pairs_strongest graph_measures entropy_range_join states_features".split()
+NATIVE = "pairs_locking complexity_native spectrum_peaks td_native cx_fractal_native spectrum_psd spectrum_coverage spectrum_features spectrum_entropy spectrum_rasm pairs_correlation pairs_coherence pairs_strongest graph_measures entropy_range_join states_features".split()
 
 
 @pytest.mark.parametrize("name", NATIVE)

@@ -234,6 +234,14 @@ def test_api_and_command_line(spark, tmp_path):
     api.main([str(tmp_path / "two" / "*"), str(tmp_path / "csv"), "--groups", "time_domain", "--merge", "2", "--subject-files", "--sink", "csv", "--channels", "F3,F4,O1,O2"])
     got = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).collect()
     assert len(got) == 4 and len({r.subject for r in got}) == 2 and {r.segment_ids for r in got} == {"[0,1]", "[2,3]"}
+    # a subject's attributes reach its feature rows
+    told = [(s, t, g, e, f"set{s}", 100.0 + s) for s in (1, 2) for t, g, e in rows]
+    kinds = "subject long, trial long, segment long, eeg array<array<double>>, dataset_name string, sampling_rate double"
+    for k, (subjects, df) in enumerate((({1, 2}, spark.createDataFrame(told, kinds)), ({None}, spark.createDataFrame(told[:4], kinds).drop("subject")))):
+        df.write.parquet(str(tmp_path / f"told{k}"))
+        api.main([str(tmp_path / f"told{k}"), str(tmp_path / f"rows{k}"), "--groups", "time_domain", "--merge", "2", "--channels", "F3,F4,O1,O2"])
+        got = spark.read.parquet(str(tmp_path / f"rows{k}")).collect()
+        assert len(got) == 2 * len(subjects) and all((r.dataset_name, r.sampling_rate) == (f"set{s}", 100.0 + s) for r in got for s in [getattr(r, "subject", 1)])
 
 
 def test_listing(capsys):

@@ -30,6 +30,23 @@ def selection_of(args: argparse.Namespace) -> Selection:
     return out if out.names() else preset("standard")
 
 
+def described(merged: DataFrame, rows: DataFrame) -> DataFrame:
+    """Merged rows with the attributes of their subject that the input has: dataset_name, task_type and sampling_rate.
+
+    They go by subject; rows without a subject column are one subject's. Where
+    a subject's rows differ, the largest value counts.
+    """
+    names = [c for c in ("dataset_name", "task_type", "sampling_rate") if c in rows.columns]
+    if not names:
+        return merged
+    most = [F.max(c).alias(c) for c in names]
+    if "subject" not in rows.columns:
+        one = rows.agg(*most).first()
+        return merged.withColumns({c: F.lit(one[c]).cast(rows.schema[c].dataType) for c in names})
+    own = rows.groupBy(F.col("subject").alias("__subject")).agg(*most)
+    return merged.join(own, F.col("subject").eqNullSafe(F.col("__subject")), "left").drop("__subject")
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Read segments (trial, segment, eeg and, if there, subject, times and labels), merge, extract, write.
 
@@ -41,7 +58,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         rows = rows.withColumn("subject", F.col("source_file"))
     chosen = selection_of(args).computable()
     within = () if args.cross_trial else ("trial",)
-    merged = segments.merge(rows, args.merge, within=within, eeg="eeg")
+    merged = described(segments.merge(rows, args.merge, within=within, eeg="eeg"), rows)
     keep = tuple(c for c in merged.columns if c != "eeg")
     names = tuple(args.channels.split(",")) if args.channels else Config().channels
     config = Config(fs=args.fs, channels=names)

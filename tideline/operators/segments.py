@@ -111,6 +111,48 @@ def sample_sorted(spark, trials: dict[int, list[int]], n: int | None, seed: int
     return spark.createDataFrame(rows, "trial long, segment long, drawn int")
 
 
+def draw(segments: DataFrame, n: int, shared: bool, by: str = "trial", key: str = "segment", seed: int = 42, first: int = 1, subject: str | None = "subject") -> DataFrame:
+    """The rows that seeded generators draw, n of each trial, with their place in the draw (column drawn).
+
+    shared=True: one generator a subject goes on from trial to trial, and a
+    trial's rows are in the order drawn (`sample_exact` for each subject).
+    shared=False: each trial has its own generator, of seed, first and the
+    subject's trials before it, and its rows are in their own order
+    (`sample_sorted`). A trial with n rows or fewer, or any for n < 0, gives all
+    in order. Trials are ordered by `by` and rows by key, the first of equal
+    keys first in any order.
+
+    Only numbers of rows visit the generators, one row a trial; a subject's
+    meet in one task. Segments themselves are numbered trial by trial.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    who = _of(segments, subject)
+    group = F.struct(*who) if who else F.struct(F.lit(0))
+    numbered = segments.withColumns({"__who": group, "__place": F.row_number().over(Window.partitionBy(*who, by).orderBy(key)) - 1})
+    counts = numbered.groupBy("__who", by).agg(F.count(F.lit(1)).alias("__n"))
+    schema = counts.select("__who", by).withColumn("__place", F.lit(0)).withColumn("drawn", F.lit(0)).schema
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(by)
+        state, rows = np.random.RandomState(seed), []
+        for i, size in enumerate(t["__n"].to_pylist()):
+            if n < 0 or size <= n:
+                got = range(size)
+            elif shared:
+                got = state.choice(size, n, replace=False).tolist()
+            else:
+                got = sorted(np.random.default_rng(seed + first + i).choice(size, n, replace=False).tolist())
+            rows += [(i, p, d) for d, p in enumerate(got)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.table([t["__who"].take(at), t[by].take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=schema.names)
+
+    drawn = counts.groupBy("__who").applyInArrow(run, schema)
+    on = F.col("a.__who").eqNullSafe(F.col("b.__who")) & F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}")) & (F.col("a.__place") == F.col("b.__place"))
+    return numbered.alias("a").join(drawn.alias("b"), on).select(*[F.col(f"a.{c}") for c in segments.columns], "b.drawn")
+
+
 def statistics(segments: DataFrame, by: str = "label", subject: str | None = "subject") -> DataFrame:
     """Trials and segments of each subject and label; a trial counts with the label of its first segment.
 

@@ -159,8 +159,13 @@ def band_powers(rows: DataFrame, config: Config, entropy: bool = False, length:
 
 
 def density(with_lags: DataFrame, by: tuple[str, ...], config: Config, sizes: DataFrame) -> DataFrame:
-    """(by, k, hz, p): the mean density of all rows of by in long form; their lags are averaged first, and transformed once."""
-    at = with_lags.select(*by, "n", F.posexplode("r").alias("lag", "r")).groupBy(*by, "n", "lag").agg(F.avg("r").alias("r"))
+    """(by, k, hz, p): the mean density of all rows of by in long form; their lags are averaged first, and transformed once.
+
+    The outer generator keeps rows without lags, which go again: of an inner
+    one the optimiser makes a filter that computes all lags once more.
+    """
+    at = with_lags.select(*by, "n", F.posexplode_outer("r").alias("lag", "r")).where(F.col("lag").isNotNull())
+    at = at.groupBy(*by, "n", "lag").agg(F.avg("r").alias("r"))
     return at.join(F.broadcast(cosines(sizes, config.fs)), ["n", "lag"]).groupBy(*by, "k", "hz").agg(F.sum(F.col("r") * F.col("c")).alias("p"))
 
 
@@ -203,6 +208,16 @@ def shapes(rows: DataFrame, normalize: bool = False) -> DataFrame:
     }).drop("p", "hz", "__s", "__fit", "__top", "__alpha", "__any")
 
 
+def peak_frequencies(segments: DataFrame, config: Config, bands=BANDS, keys: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False, length: int | None = None) -> DataFrame:
+    """(keys, ch, band, hz): where each channel's density is largest in each closed band, the lowest of equals; null for a band without bins."""
+    rows = band_powers(channels(segments, keys, eeg, by_time), config, length=length, bands=bands, full=True)
+    pairs = F.zip_with("p", "hz", lambda a, f: F.struct(a.alias("p"), (-f).alias("f")))
+    top = lambda lo, hi: F.array_max(F.filter("__p", lambda v: v["f"].between(-hi, -lo)))
+    found = rows.withColumn("__p", pairs).select(*keys, "ch", *[top(float(lo), float(hi)).alias(b) for b, lo, hi in bands])
+    long = F.array(*[F.struct(F.lit(b).alias("band"), (-F.col(b)["f"]).alias("hz")) for b, _, _ in bands])
+    return found.select(*keys, "ch", F.explode(long).alias("x")).select(*keys, "ch", "x.*")
+
+
 def numbered(segments: DataFrame) -> DataFrame:
     """Rows with a number of their own, so that equal keys stay apart."""
     return segments.withColumn("__segment", F.monotonically_increasing_id())

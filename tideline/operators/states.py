@@ -15,6 +15,7 @@ that order comes from one ordering over all maps dealt by range.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,6 +156,19 @@ def _final(centres: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     return own.unionByName(rest)
 
 
+def fitted_features(segments: DataFrame, fs: float, by: tuple[str, ...] = ("subject",), keys: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False) -> DataFrame:
+    """Microstate features with maps fitted on the segments themselves, one template for all that agree in the columns `by`.
+
+    By subject is the way to stable results. By trial, or by the segment's own
+    keys, templates rest on few maps; a warning says so. All templates are
+    fitted at once.
+    """
+    if tuple(by) != ("subject",):
+        warnings.warn(f"microstate templates by {', '.join(by)} rest on few maps and may be unstable; fit them by subject", stacklevel=2)
+    rows = segments.withColumn("__by", F.struct(*by))
+    return features(rows, fit_template(rows, keys, "__by", eeg, by_time), fs, keys, "__by", eeg, by_time)
+
+
 def features(segments: DataFrame, templates: DataFrame, fs: float, keys: tuple[str, ...] = ("seg",), subject: str | None = None, eeg: str = "eeg", by_time: bool = False, k: int = STATES) -> DataFrame:
     """Each state's mean duration, occurrence, time, mean correlation and explained variance, one row a segment.
 

@@ -12,7 +12,7 @@ from tideline.functions import features as feature_groups
 from tideline.functions import kernels
 from tideline.model import BANDS, FEATURES, MONTAGE_62, MONTAGE_90, PRESETS, Config, hemisphere, region
 from tideline.operators import extract as ex
-from tideline.operators import entropies, graphs, pairs, repair, segments, spectrum, states, timedomain
+from tideline.operators import complexity, entropies, graphs, pairs, repair, segments, spectrum, states, timedomain
 from tideline.operators.selection import preset
 from tideline.sources import signals
 from tideline.streaming.windows import window_features
@@ -370,6 +370,32 @@ def states_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(states.features(segs, maps, SHORT.fs, subject="subject", eeg="steps", by_time=True), digits=5)
 
 
+def pairs_locking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase locking of all pairs of channels, in segments of 250 samples."""
+    return rounded(pairs.locking_features(signals.embedding_segments(spark, sf_dir, 250).where("n = 250"), SHORT, 250, eeg="steps", by_time=True))
+
+
+def complexity_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wavelet entropy and Hurst's exponent from arrays of channels."""
+    return rounded(complexity.features(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True))
+
+
+def spectrum_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peak frequency of each band and channel."""
+    rows = spectrum.peak_frequencies(signals.embedding_segments(spark, sf_dir), SHORT, eeg="steps", by_time=True, length=100)
+    return rounded(rows.withColumn("ch", F.col("ch").cast("long")), ("seg", "ch", "band"))
+
+
+def seg_draw_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segments of each trial, as one generator a subject draws them."""
+    return segments.draw(subjects(spark, sf_dir), 2, shared=True).select("subject", "trial", "segment", "drawn")
+
+
+def seg_draw_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segments of each trial, drawn by a generator of the trial's own."""
+    return segments.draw(subjects(spark, sf_dir), 3, shared=False).select("subject", "trial", "segment", "drawn")
+
+
 def all_of(group: str, **k) -> Query:
     return features(*FEATURES[group], **k)
 
@@ -441,6 +467,11 @@ QUERIES: dict[str, Query] = {
     "graph_measures": graph_measures,
     "entropy_range_join": entropy_range_join,
     "states_template": states_template,
+    "pairs_locking": pairs_locking,
+    "complexity_native": complexity_native,
+    "spectrum_peaks": spectrum_peaks,
+    "seg_draw_shared": seg_draw_shared,
+    "seg_draw_own": seg_draw_own,
     "states_features": states_features,
     "wide_full_row": wide_full_row,
     "stream_windows": stream_windows,

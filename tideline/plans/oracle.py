@@ -353,5 +353,7 @@ ORACLE_SQL |= {
     "pairs_strongest": ORACLE_SQL["nw_threshold_graph"],
     "graph_measures": ORACLE_SQL["nw_all"],
     "entropy_range_join": ORACLE_SQL["cx_entropies"],
+    "complexity_native": _side_by_side("cx_wavelet", "cx_hurst"),
+    "spectrum_peaks": f"WITH {_spectrum()}, {_BANDS} SELECT seg, CAST(ch AS BIGINT) AS ch, band, {_r('arg_min(hz, row(-p, k))')} AS hz FROM p JOIN bands ON hz BETWEEN lo AND hi WHERE band NOT IN ('total', 'low', 'high') GROUP BY seg, ch, band",
     "states_features": _MICRO.replace("vec_id AS k,", "vec_id // 4 AS subject, vec_id % 4 AS k,").replace("vec_id < 4", "vec_id < 12").replace("SELECT k, ch, m - avg(m) OVER (PARTITION BY k)", "SELECT subject, k, ch, m - avg(m) OVER (PARTITION BY subject, k)").replace("FROM x JOIN mc USING (ch)", "FROM x JOIN mc ON mc.ch = x.ch AND subject = seg % 3"),
 }

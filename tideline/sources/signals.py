@@ -111,10 +111,15 @@ def numbered(df: DataFrame, name: str, prefix: str) -> DataFrame:
 
 
 def register_hdf5(spark: SparkSession) -> bool:
-    """Register the format `eegh5` (subject files in HDF5) where h5py is installed."""
+    """Register the format `eegh5` (subject files in HDF5) where h5py is installed.
+
+    Its reader takes filters, which Spark passes on to Python sources only
+    where the session says so.
+    """
     if importlib.util.find_spec("h5py") is None:
         return False
     from tideline.sources.hdf5 import SubjectSource
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SubjectSource)
     return True
