@@ -133,6 +133,57 @@ def test_jaccard_frequent_shingles_and_tight_windows(spark, monkeypatch, setting
     assert got == brute_components(texts, setting.k, setting.percent)
 
 
+@pytest.mark.parametrize("setting", [jaccard.STRICT, jaccard.NEAR])
+def test_jaccard_groups_by_equal_parts(spark, monkeypatch, setting):
+    monkeypatch.setattr(jaccard, "LOOSE", 1)  # every group is grouped anew
+    monkeypatch.setattr(jaccard, "HELD", 500)
+    texts = corpus(23, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classified(table(spark, texts), setting).collect()}
+    assert got == brute_components(texts, setting.k, setting.percent)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_similar_sets_have_an_equal_part(percent):
+    rng = np.random.default_rng(5)
+    for trial in range(3000):
+        n = int(rng.integers(1, 400)) if trial % 3 else int(rng.integers(1, 30))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        most = n * (100 - percent) // percent  # added to a, these make the similarity least
+        new = rng.integers(0, 1 << 63, int(rng.integers(0, most + 1)) if trial % 2 else most, dtype=np.uint64)
+        swap = len(new) // 2 if trial % 5 == 0 else 0
+        b = np.concatenate((a[swap:], new))
+        same = n - swap
+        if 100 * same < percent * (n + len(b) - same):
+            continue
+        sets = [np.unique(a), np.unique(b)]
+        flat, size = np.concatenate(sets), np.array([len(x) for x in sets])
+        key, at = jaccard.part_keys(flat, size, np.zeros(2, np.uint64), percent)
+        assert set(key[at == 0].tolist()) & set(key[at == 1].tolist())
+
+
+def test_jaccard_shingles_shared_by_chance(spark):
+    """Texts over few words, all of them in one loose group: few pairs meet, and rows grow with the texts."""
+    rnd = random.Random(24)
+    for n in (1000, 2000):
+        texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(80, 120))) for _ in range(n - 3)]
+        for i in range(3):
+            w = texts[100 * i].split()
+            w[7] = "changed"
+            texts.append(" ".join(w))
+        rows = jaccard.classified(table(spark, texts), jaccard.STRICT).collect()
+        want = {n - 3 + i: 100 * i for i in range(3)}
+        assert {r.doc_id: r.component_id for r in rows if r.component_id != r.doc_id} == want
+        assert sum(r.n_links for r in rows) == 6
+    docs = table(spark, texts)
+    often, seen, total = jaccard.frequent(jaccard.sized(docs, jaccard.STRICT, "doc_id", "text"))
+    groups = components(jaccard.loose_links(docs, jaccard.STRICT, "text", often, seen, total), "loose")
+    assert groups.groupBy("component").count().agg({"count": "max"}).first()[0] > 1000
+    sets = jaccard.sized(docs, jaccard.STRICT, "doc_id", "text").where("node is not null")
+    wanted = sets.selectExpr("__key as id", "node", "1L as component")
+    links = jaccard.part_links(docs.selectExpr("doc_id as id", "text as __text"), wanted, jaccard.STRICT)
+    assert 3 <= links.count() <= 100
+
+
 def test_jaccard_pairs_at_the_threshold(spark):
     texts, want = [], {}
     for percent, setting in ((90, jaccard.STRICT), (80, jaccard.NEAR)):

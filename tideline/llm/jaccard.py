@@ -11,16 +11,24 @@
    bucket's counts return to the nodes, which post the rest of their prefix.
    Shingles that are very frequent (at most FREQUENT of them by construction)
    are told to all tasks beforehand and never meet in a bucket.
-3. Nodes that share a posted shingle form loose groups. A group's nodes go to
-   tiles: by size band (neighbours in the ratio of the threshold) and, in large
-   bands, by hash. Only tiles of the same or neighbouring bands meet, since
-   sets whose sizes differ by more than the threshold can't be similar.
-4. In a tile, bitmaps of the hashed shingles bound the overlap from above by
+3. Nodes that share a posted shingle form loose groups. Where shingles are
+   shared by chance (few words, logs, tables) such groups run together, so the
+   nodes of a group of more than LOOSE are grouped anew by equal parts: hashes
+   deal a set's shingles to one part more than the shingles in which it may
+   differ from a similar set, so similar sets have an equal part that isn't
+   empty. A part is some nine shingles at 90 %, some four at 80 %, which
+   hardly agree by chance.
+4. A group's nodes go to tiles: by size band (neighbours in the ratio of the
+   threshold) and, in large bands, by hash. Only tiles of the same or
+   neighbouring bands meet, since sets whose sizes differ by more than the
+   threshold can't be similar. Texts without a group don't move: a bitmap of
+   fixed size of the grouped rows' hashed keys holds them back.
+5. In a tile, bitmaps of the hashed shingles bound the overlap from above by
    bit counts; every pair that passes is decided by exact intersection. Each
    pair of nodes meets in one tile. A tile sends the number of links of each
    node, weighted by the rows of the other node, and a spanning forest: a
    group's pairs, which grow with the square of its size, are counted there.
-5. Connected components of those links, by distributed star contraction.
+6. Connected components of those links, by distributed star contraction.
 
 Nothing is missed but for what 64-bit hashes of shingles and sets risk. In the
 order, a shingle goes by its bucket and 32 bits: where two shingles share
@@ -49,7 +57,7 @@ from pyspark.sql import types as T
 from tideline.llm.components import components
 from tideline.llm.substrings import buffers_binary
 from tideline.llm.words import MASK, Words, buffers, column, cut, mix, release, slices
-from tideline.session import written
+from tideline.session import discard, written
 
 #: Shingles in a tile at most, where one set isn't longer.
 TILE = 1_500_000
@@ -59,6 +67,10 @@ HELD = 400_000
 BUCKET, PARTITION = 750_000, 750_000
 #: Frequent shingles at most; nodes that have one at least; and how often a task must see it among HELD shingles.
 FREQUENT, FREQUENT_LEAST, SEEN_LEAST = 1 << 20, 256, 6
+#: Nodes of a loose group at most that isn't grouped anew by equal parts.
+LOOSE = 256
+#: Bits of the bitmap of hashed keys (8 MB).
+KEY_BITS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -359,8 +371,8 @@ def _linked(keys_: np.ndarray, nodes_: np.ndarray) -> tuple[np.ndarray, ...]:
     return k[new], v[new], pair[:, 0], pair[:, 1]
 
 
-def loose_links(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a posted shingle, as stars."""
+def star_links(posted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key, as stars, from the rows that `_stars` sends."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = None
@@ -387,11 +399,106 @@ def loose_links(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen:
                 pair = np.unique(np.column_stack((lead[other], v[other])), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    posted = postings(docs, s, text, often, seen, total).repartition(n, "a").sortWithinPartitions("link", "a")
+    n = max(1, int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    posted = posted.repartition(n, "a").sortWithinPartitions("link", "a")
     return posted.mapInArrow(join, "a long, b long").distinct()
 
 
+def loose_links(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a posted shingle, as stars."""
+    return star_links(postings(docs, s, text, often, seen, total))
+
+
+def levels(percent: int) -> np.ndarray:
+    """First sizes of bands: a set and a larger similar one are of the same or of neighbouring bands."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out, np.int64)
+
+
+def part_keys(flat: np.ndarray, size: np.ndarray, salt: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of each set, and the sets' positions: similar sets of equal salt share a key.
+
+    Sets a and b differ in (100 - percent) / (100 + percent) * (a + b)
+    shingles at most. They meet at the level of the larger one, where hashes
+    deal shingles to more parts than that. A set that leaves too many parts
+    empty, so that its filled ones could all differ, names its empty ones too.
+    """
+    start = levels(percent)
+    band = np.searchsorted(start, size, side="right") - 1
+    owner = np.repeat(np.arange(len(size)), size)
+    h = mix(flat ^ np.uint64(0x2545F4914F6CDD1D))
+    body = mix(flat ^ np.uint64(0x9FB21C651E98DF25))
+    keys, at = [], []
+    for up in (0, 1):  # as the larger set, and as the smaller one of a set in the next band
+        level = band + up
+        top = start[level + 1] - 1
+        most = (100 - percent) * 2 * top // (100 + percent)
+        parts = most + most // 32 + 3
+        other = size if not up else np.minimum(top, size * 100 // percent)
+        differ = (100 - percent) * (size + other) // (100 + percent)
+        base = np.cumsum(parts) - parts
+        place = base[owner] + ((h >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        n = int(parts.sum())
+        filled = np.bincount(place, minlength=n) > 0
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, place, body)
+        whose = np.repeat(np.arange(len(size)), parts)
+        short = np.bincount(whose[filled], minlength=len(size)) <= differ
+        take = np.flatnonzero(filled | short[whose])
+        who = whose[take]
+        where = (level[who].astype(np.uint64) << np.uint64(40)) + (take - base[who]).astype(np.uint64)
+        keys.append(mix(mix(total[take] + mix(where)) ^ salt[who]))
+        at.append(who)
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def wanted_only(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """src (id, __text) without most rows whose id isn't in wanted: those with another bit in a bitmap of fixed size."""
+    h = (F.pmod(F.xxhash64("id"), F.lit(KEY_BITS)) + 1).alias("h")
+    rows = wanted.select(h).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("v")).collect()
+    bits = np.zeros(KEY_BITS // 8, np.uint8)
+    for k, v in rows:  # KEY_BITS / 32,768 rows at most
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(v), np.uint8)
+    shared = src.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            at = column(b, "h").to_numpy() - 1
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            if hit.any():
+                yield b.select(["id", "__text"]).filter(pa.array(hit.astype(bool)))
+
+    return src.where(F.col("id").isNotNull()).select("id", "__text", h).mapInArrow(run, src.schema)
+
+
+def part_links(src: DataFrame, wanted: DataFrame, s: Setting) -> DataFrame:
+    """Pairs (a, b) of nodes of one component that have an equal part, as stars. wanted: id, node, component."""
+    picked = wanted_only(src, wanted).join(wanted.hint("merge"), "id")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        most = 0
+        for b in slices(batches, "__text"):
+            flat, offsets, node = _sets(b, s)
+            ok = node.view(np.int64) == column(b, "node").to_numpy()  # another row may have the id
+            size = np.diff(offsets)
+            salt = mix(column(b, "component").to_numpy().view(np.uint64))
+            key, at = part_keys(flat[np.repeat(ok, size)], size[ok], salt[ok], s.percent)
+            held.append((key, node[ok][at]))
+            most += len(key)
+            if most > HELD:
+                yield from _stars(held)
+                held, most = [], 0
+        if held:
+            yield from _stars(held)
+        release()
+
+    return star_links(picked.select("__text", "node", "component").mapInArrow(post, "link boolean, a long, b long"))
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -467,10 +574,20 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame,
 
     classes: node, n, id, rows (one row a node).
     """
+    src = docs.select(F.col(key).alias("id"), F.col(text).alias("__text"))
     groups = components(loose_links(docs, s, text, often, seen, total), "loose")
     ratio = float(np.log(100 / s.percent)) * (1 + 1e-9)  # sizes in that very ratio stay neighbours
     member = classes.join(groups.hint("merge"), "node").withColumn("band", F.floor(F.log("n") / ratio).cast("int"))
     member = written(member, "members")
+    large = member.groupBy("component").count().where(F.col("count") > LOOSE).select("component")
+    if large.limit(1).count():
+        flagged = written(member.join(large.withColumn("large", F.lit(True)).hint("merge"), "component", "left"), "members")
+        again = flagged.where("large")
+        tight = components(part_links(src, again.select("id", "node", "component"), s), "tight")
+        anew = again.drop("component").join(tight.hint("merge"), "node")
+        discard(member)
+        member = written(flagged.where("large is null").unionByName(anew).drop("large"), "members")
+        discard(flagged)
     total = member.groupBy("component", "band").agg(F.sum("n").alias("m"))
     whole = total.groupBy("component").agg(F.sum("m").alias("all"))
     parts = total.join(whole.hint("merge"), "component").select("component", "band", "all", F.ceil(2 * F.col("m") / TILE).cast("int").alias("parts"))
@@ -491,8 +608,7 @@ def links(docs: DataFrame, s: Setting, key: str, text: str, classes: DataFrame,
         )
     )
     wanted = dealt.select("id", "node", "component", "rows", tiles.alias("tiles"))
-    src = docs.select(F.col(key).alias("id"), F.col(text).alias("__text"))
-    picked = src.join(wanted.hint("merge"), "id")
+    picked = wanted_only(src, member.select("id")).join(wanted.hint("merge"), "id")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):

@@ -25,8 +25,7 @@ def tokenizer_path() -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jaccard.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.STRICT)
-    return rows.drop("n_links")  # the SQL's columns
+    return jaccard.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.STRICT)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +162,8 @@ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * k >= 90 * (na.n + nb.n - k)),
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, CAST(coalesce(nl.k, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM l GROUP BY a) nl USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}
