@@ -176,8 +176,11 @@ def chosen(texts: list[str], share: int) -> np.ndarray:
 
 
 def sampled(labelled: DataFrame, text: str, lang: str, key: str) -> Iterator[dict[str, np.ndarray]]:
-    """The samples of each group of languages, from the texts whose id hashes below a cutoff that gives about SAMPLE_DOCS."""
-    named = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+    """The samples of each group of languages, from the texts whose id hashes below a cutoff that gives about SAMPLE_DOCS.
+
+    Rows without an id teach nothing: they would be drawn all or none.
+    """
+    named = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0))
     sizes = sorted((r[0], r[1]) for r in named.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect())
     h = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32))
     for at in range(0, len(sizes), GROUP):

@@ -14,10 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def remainder(mod: int):
-    """crc32 of the id's decimal text, modulo mod."""
+    """crc32 of the id's decimal text, modulo mod; null where there is no id."""
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def held_out(mod: int, rest: int):
+    """Whether the remainder is that one; false where there is no id."""
+    return F.coalesce(remainder(mod) == rest, F.lit(False))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -40,7 +45,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
-    rows = toxicity.score(docs.withColumn("held_out", remainder(3) == 1), model)
+    rows = toxicity.score(docs.withColumn("held_out", held_out(3, 1)), model)
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -54,8 +59,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(4) == 2)
-    labelled = docs.where(~F.col("held_out") & F.col("lang").isNotNull())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(4, 2))
+    labelled = docs.where((remainder(4) != 2) & F.col("lang").isNotNull())
     return language.identify(docs, labelled, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -64,15 +69,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(5) == 3)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 3))
     model = cotraining.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 3))
     rows = cotraining.score(docs, model, keep=("doc_id", "held_out"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(7) == 2)
-    rows = mixing.score(docs, ~F.col("held_out"), keep=("held_out",))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(7, 2))
+    rows = mixing.score(docs, remainder(7) != 2, keep=("held_out",))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
