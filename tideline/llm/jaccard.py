@@ -206,7 +206,7 @@ def _sent(place: np.ndarray, node: np.ndarray, size: np.ndarray, count: np.ndarr
     none = np.zeros(len(run), np.int64)
     fixed = [pa.array(np.full(len(lead), x, np.int32)) for x in (kind, part)]
     cols = [pa.array(place[lead].astype(np.int32)), *fixed, _packed(node, run), _packed(size, run if len(size) else none)]
-    cols += [_packed(count.astype(np.uint32), run), _packed(body, edge), _packed(rank, edge if len(rank) else none)]
+    cols += [_packed(count.astype(np.uint8 if int(count.max()) < 256 else np.uint32), run), _packed(body, edge), _packed(rank, edge if len(rank) else none)]
     yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
 
@@ -244,6 +244,17 @@ def _joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([buffers_binary(c)[0] for c in t[name].chunks if len(c)] or [np.zeros(0, np.uint8)]).view(kind)
 
 
+def _counts(t: pa.Table) -> np.ndarray:
+    """Entries of each run: a byte each, or four in rows of slices with a longer run."""
+    raw = _joined(t, "counts", np.uint8)
+    each, wide = (np.concatenate([np.diff(buffers_binary(c)[1]) for c in t[x].chunks if len(c)] or [np.zeros(0, np.int64)]) for x in ("nodes", "counts"))
+    each = each // 8
+    if (wide == each).all():
+        return raw.astype(np.int64)
+    end = np.cumsum(wide)
+    return np.concatenate([raw[e - w : e].view(np.uint8 if w == n else np.uint32).astype(np.int64) for e, w, n in zip(end.tolist(), wide.tolist(), each.tolist(), strict=True)])
+
+
 def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
     """Rows (a, b): the nodes b that have the shingle a, shared by other nodes, in their prefix; stars in a task as links.
 
@@ -288,7 +299,7 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
             if kind.any():
                 yield from t.filter(pa.array(kind == 1)).to_batches()
                 t = t.filter(pa.array(kind == 0))
-            node, counts, tail = _joined(t, "nodes", np.uint64), _joined(t, "counts", np.uint32).astype(np.int64), _joined(t, "body", np.uint32)
+            node, counts, tail = _joined(t, "nodes", np.uint64), _counts(t), _joined(t, "body", np.uint32)
             if not len(node):
                 continue
             node, run = np.unique(node, return_index=True)  # a node's copies sent the same run
@@ -315,7 +326,7 @@ def postings(docs: DataFrame, s: Setting, text: str, often: np.ndarray, seen: np
             order = np.argsort(kind, kind="stable")
             t, kind, part = t.take(pa.array(order)), kind[order], part[order].astype(np.uint64)
             plain = t.slice(0, int((kind == 0).sum()))
-            node, counts = _joined(t, "nodes", np.uint64), _joined(t, "counts", np.uint32).astype(np.int64)
+            node, counts = _joined(t, "nodes", np.uint64), _counts(t)
             width = np.concatenate([np.diff(buffers_binary(c)[1]) for c in t["ranks"].chunks if len(c)]) // 4  # entries of each row
             key = np.concatenate((_joined(plain, "body", np.uint32).astype(np.uint64), mix(_joined(t.slice(len(plain)), "body", np.uint64))))
             key[: int(width[: len(plain)].sum())] |= np.repeat(part[: len(plain)], width[: len(plain)]) << np.uint64(32)
