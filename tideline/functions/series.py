@@ -19,6 +19,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def filled(x: Column, n: Column) -> Column:
+    """x up to n values, the missing ones zero."""
+    return F.when(F.size(x) < n, F.concat(x, F.array_repeat(F.lit(0.0), n - F.size(x)))).otherwise(x)
+
+
 def mean(x: Column) -> Column:
     return F.when(F.size(x) > 0, total(x) / F.size(x))
 
@@ -107,23 +112,31 @@ def petrosian(n: Column, turns: Column) -> Column:
     return F.when(turns > 0, F.log10(n) / (F.log10(n) + F.log10(n / (n + 0.4 * turns))))
 
 
-def curve_lengths(x: Column, kmax: int = 8) -> Column:
-    """Higuchi's mean curve lengths at steps 1 to kmax; null for fewer than 4 kmax values."""
+def curve_lengths(x: Column, kmax: int = 8, least: int | None = None) -> Column:
+    """Higuchi's mean curve lengths at steps 1 to kmax; null for fewer than 4 kmax values, or than `least`.
+
+    Steps without a jump have null.
+    """
     n = F.size(x)
 
     def at(k: int) -> Column:
         jumps = F.zip_with(F.slice(x, k + 1, n - k), F.slice(x, 1, n - k), lambda b, a: F.abs(b - a))
         # start m has floor((n - 1 - m) / k) jumps, and its own scale
         scaled = F.transform(jumps, lambda v, i: v * (n - 1) / (F.floor((n - 1 - i % k) / k) * k * k))
-        return total(scaled) / k
+        return F.when(n > k, total(scaled) / F.least(n - k, F.lit(k)))  # the starts that have a jump
 
-    return F.when(n >= 4 * kmax, F.array(*[at(k) for k in range(1, kmax + 1)]))
+    return F.when(n >= (4 * kmax if least is None else least), F.array(*[at(k) for k in range(1, kmax + 1)]))
 
 
 def higuchi(lengths: Column, kmax: int = 8) -> Column:
     """Higuchi's dimension from the curve lengths: the slope of a line through their logarithms; null outside 1 .. 2."""
-    xs = [math.log(k) for k in range(1, kmax + 1)]
-    centre = sum(xs) / kmax
-    spread = sum((v - centre) ** 2 for v in xs)
-    d = sum((F.log(lengths[k] + 1e-15) * (-(v - centre) / spread) for k, v in enumerate(xs)), F.lit(0.0))
+
+    def slope(last: int) -> Column:
+        xs = [math.log(k) for k in range(1, last + 1)]
+        centre = sum(xs) / last
+        spread = sum((v - centre) ** 2 for v in xs)
+        return sum((F.log(lengths[k] + 1e-15) * (-(v - centre) / spread) for k, v in enumerate(xs)), F.lit(0.0))
+
+    # the steps with a length are the first ones; fewer than two make no line
+    d = F.coalesce(*[slope(last) for last in range(kmax, 1, -1)])
     return F.when(d.between(1.0, 2.0), d)

@@ -108,6 +108,9 @@ class Config:
     wavelet_level: int = 5
     keep: float = 0.3
     normalize_entropy: bool = False
+    #: Samples of a whole segment, where segments are cut from a recording by a fixed grid. One that ends early then keeps
+    #: the frames, parts and counts of a whole one: what a frame lacks counts as the frame's mean, a wavelet reads zeros.
+    whole: int | None = None
 
 
 def hemisphere(name: str) -> str:

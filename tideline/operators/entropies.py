@@ -58,14 +58,18 @@ def neighbours(t: DataFrame, m: int) -> DataFrame:
     return both.groupBy("id", "row").agg(*[F.first(c).alias(c) for c in ("n", "r", "after", "w")], F.sum("weight").alias("near"), longer.alias("longer"))
 
 
-def entropies_of(rows: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
-    """(id, sample_entropy, approx_entropy) of each series (id, x) that varies and has more than m samples."""
+def entropies_of(rows: DataFrame, m: int = 2, r: float = 0.2, whole: int | None = None) -> DataFrame:
+    """(id, sample_entropy, approx_entropy) of each series (id, x) that varies and has more than m samples.
+
+    whole: approximate entropy takes shares of the templates of so many samples.
+    """
     c = neighbours(templates(rows, m, r), m)
     short, long = F.col("n") - m + 1, F.col("n") - m
+    every = F.greatest(F.col("n"), F.lit(whole or 0))
     has_next = F.col("after").isNotNull()
     sums = c.groupBy("id", "n").agg(
         ((F.sum(F.col("w") * F.col("near")) - F.first(short)) / 2).alias("b"), ((F.sum(F.when(has_next, F.col("w") * F.col("longer"))) - F.first(long)) / 2).alias("a"),
-        (F.sum(F.col("w") * F.log(F.col("near") / short)) / F.first(short)).alias("phi"), (F.sum(F.when(has_next, F.col("w") * F.log(F.col("longer") / long))) / F.first(long)).alias("phi1"),
+        (F.sum(F.col("w") * F.log(F.col("near") / (every - m + 1))) / F.first(short)).alias("phi"), (F.sum(F.when(has_next, F.col("w") * F.log(F.col("longer") / (every - m)))) / F.first(long)).alias("phi1"),
     )
     a, b = F.col("a"), F.col("b")
     return sums.select("id", F.when((a > 0) & (b > 0), -F.log(a / b)).otherwise(0.0).alias("sample_entropy"), (F.col("phi") - F.col("phi1")).alias("approx_entropy"))
@@ -75,6 +79,6 @@ def features(segments: DataFrame, config: Config = Config(), keys: tuple[str, ..
     """sample_entropy and approx_entropy of each segment: means over the channels that vary."""
     by = (*keys, "__segment")
     rows = written(channels(numbered(segments), by, eeg, by_time).withColumn("id", F.monotonically_increasing_id()), "series")
-    e = entropies_of(rows.where(F.col("x").isNotNull()).select("id", "x"), config.m, config.r)
+    e = entropies_of(rows.where(F.col("x").isNotNull()).select("id", "x"), config.m, config.r, config.whole)
     both = rows.select(*by, "id").join(e, "id", "left")
     return both.groupBy(*by).agg(F.avg("sample_entropy").alias("sample_entropy"), F.avg("approx_entropy").alias("approx_entropy")).drop("__segment")

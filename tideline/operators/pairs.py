@@ -55,7 +55,7 @@ def coefficients(segments: DataFrame, config: Config, band: tuple[float, float]
     rows = rows.withColumns({"n": n, "__step": step}).join(F.broadcast(table), "n", "left")
     parts = lambda f: F.transform("waves", lambda w: F.struct(F.transform(f, lambda y: dot(y, w["c"])).alias("re"), F.transform(f, lambda y: -dot(y, w["s"])).alias("im")))
     powered = lambda p: F.struct(p["re"].alias("re"), p["im"].alias("im"), (dot(p["re"], p["re"]) + dot(p["im"], p["im"])).alias("power"))
-    framed = F.transform("__m", lambda x: F.struct(frames(x, F.col("n"), F.col("__step")).alias("f")))
+    framed = F.transform("__m", lambda x: F.struct(frames(x, F.col("n"), F.col("__step"), config.whole).alias("f")))
     z = F.transform(F.transform(framed, lambda f: parts(f["f"])), lambda ps: F.transform(ps, powered))
     return rows.withColumn("z", z).drop("__m", "n", "__step", "waves")
 
