@@ -45,3 +45,16 @@ def test_short_parts_and_short_series(spark):
     assert all(r["hurst_exponent"] is None for r in complexity.features(rows, config, ("hurst_exponent",)).collect())
     flat = {r["seg"]: r for r in spectrum.frequency_features(rows, config).collect()}[1]
     assert flat["alpha_beta_band_power_correlation"] == 0.0 and flat["mean_total_power"] == pytest.approx(0.0)
+
+
+def test_a_round_of_means_compares_each_map_once(spark, monkeypatch):
+    """One comparison of maps with centres and one written table a round."""
+    from tideline.operators import states
+
+    compared, tables = [], []
+    nearest, written = states.nearest, states.written
+    monkeypatch.setattr(states, "nearest", lambda *a: compared.append(1) or nearest(*a))
+    monkeypatch.setattr(states, "written", lambda df, label: tables.append(label) or written(df, label))
+    rows = spark.createDataFrame([(s, [[float((s + 3 * c + t * (c + 2)) % 11) for t in range(30)] for c in range(5)]) for s in range(3)], "seg long, eeg array<array<double>>")
+    assert states.fit_template(rows, rounds=6).count() == states.STATES
+    assert 1 <= len(compared) == tables.count("centres") - 1

@@ -1,9 +1,11 @@
 """Microstates as DataFrame operations: peaks, polarity-invariant k-means over all maps, and features from runs.
 
 No group holds a subject's maps. Maps are written once; a round of k-means
-compares each map, where it lies, with its subject's few centres, and sums the
-signed maps by (subject, state, channel), mostly before they move. Only centres
-are joined with maps; Spark broadcasts them while they are small. A subject
+compares each map, where it lies, with its subject's few centres, one row a
+subject, and sums the signed maps by (subject, state, channel), mostly before
+they move. Only centres are joined with maps; Spark broadcasts them while they
+are small. Whether a map has changed its state is seen from a hash of all
+states, so a map is compared once a round. A subject
 whose states no longer change keeps its centres. Rounds end when no subject
 changes, or after `rounds`; each writes its centres, so lost executors cost a
 round at most.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tideline.functions import series
@@ -113,37 +115,44 @@ def fit_template(segments: DataFrame, keys: tuple[str, ...] = ("seg",), subject:
     counts = written(first, "subjects")
     width = maps.agg(F.max(F.size("map"))).first()[0]
     drawn = _drawn(counts, k, seed).join(maps, ["subject", "place"]).join(counts.select("subject", "n"), "subject")
-    centres = written(drawn.select("subject", "state", F.lit(None).cast("array<double>").alias("map"), F.col("map").alias("fresh"), (F.col("n") >= k).cast("int").alias("moved")), "centres")
-    for _ in range(rounds):
-        if centres.where("moved = 1").isEmpty():
-            break
-        old, centres = centres, written(_round(maps, centres, width), "centres")
+    # round 0 takes every map for state 0
+    start = maps.groupBy("subject").agg(F.bit_xor(F.xxhash64("place", F.lit(0))).alias("print"))
+    firsts = drawn.groupBy("subject", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "map"))), lambda s: s["map"]).alias("fresh"))
+    centres = written(firsts.join(start, "subject").select("subject", F.col("fresh").alias("map"), "fresh", "print", (F.col("n") >= k).alias("moved")), "centres")
+    means = F.array(*[F.avg(F.col("sign") * F.get("map", F.lit(i))) for i in range(width or 0)])  # null past the end of a subject's maps
+    going = not centres.where("moved").isEmpty()
+    for _ in range(rounds if going else 0):
+        seen = Observation()
+        old, centres = centres, written(_round(maps, centres, means).observe(seen, F.count(F.when(F.col("moved"), 1)).alias("moved")), "centres")
         discard(old)
-    moved = F.max("moved").over(Window.partitionBy("subject"))  # a row a state
-    ended = centres.select("subject", "state", F.when(moved == 1, F.coalesce("fresh", "map")).otherwise(F.coalesce("map", "fresh")).alias("map"))
+        if not seen.get["moved"]:
+            break
+    ended = centres.select("subject", F.posexplode(F.when(F.col("moved"), F.col("fresh")).otherwise(F.col("map"))).alias("state", "map"))
     scaled = written(_final(ended, counts, k), "templates")
     for t in (maps, counts, centres):
         discard(t)
     return scaled
 
 
-def _round(maps: DataFrame, centres: DataFrame, width: int) -> DataFrame:
-    """The next round of (subject, state, map, fresh, moved): the centres compared with, the means of the maps that took them, and whether a map came new.
+def _round(maps: DataFrame, centres: DataFrame, means: Column) -> DataFrame:
+    """The next round of (subject, map, fresh, print, moved), one row a subject.
 
-    fresh becomes map only where a map of the subject has moved.
+    map: the centres that the maps were compared with; fresh: the means of the
+    maps that took each, or the centre where none did; print: the states that
+    the maps took, as one number that doesn't depend on their order (an xor of
+    64-bit hashes); moved: whether it is another one than the round before.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("state", F.coalesce("fresh", "map").alias("now"), F.col("map").alias("then"))))
-    known = centres.groupBy("subject").agg(ordered.alias("c"), F.max("moved").alias("moved")).where("moved = 1")
-    known = known.select("subject", F.transform("c", lambda s: unit(s["now"])).alias("now"), F.when(F.col("c")[0]["then"].isNotNull(), F.transform("c", lambda s: unit(s["then"]))).alias("then"))
-    rows = maps.join(known, "subject").withColumns({"new": nearest(F.col("unit"), F.col("now")), "old": F.when(F.col("then").isNotNull(), nearest(F.col("unit"), F.col("then"))["k"]).otherwise(0)})
-    sign = F.when(F.col("new.r") < 0, -1.0).otherwise(1.0)
-    each = rows.select("subject", F.col("new.k").alias("state"), (F.col("new.k") != F.col("old")).cast("int").alias("m"), sign.alias("sign"), "map")
-    means = F.array(*[F.avg(F.col("sign") * F.get("map", F.lit(i))) for i in range(width)])  # null past the end of a subject's maps
-    sums = each.groupBy("subject", "state").agg(F.array_compact(means).alias("mean"), F.max("m").alias("m"))
-    active = known.select("subject", F.lit(1).alias("active"))
-    both = centres.select("subject", "state", "map", "fresh").join(active, "subject", "left").join(sums, ["subject", "state"], "left")
-    compared = F.when(F.col("active") == 1, F.coalesce("fresh", "map")).otherwise(F.coalesce("map", "fresh"))
-    return both.select("subject", "state", compared.alias("map"), F.col("mean").alias("fresh"), F.coalesce("m", F.lit(0)).alias("moved"))
+    known = centres.where("moved").select("subject", F.transform("fresh", unit).alias("now"))
+    rows = maps.join(known, "subject").withColumn("new", nearest(F.col("unit"), F.col("now")))
+    each = rows.select("subject", F.col("new.k").alias("state"), F.xxhash64("place", F.col("new.k")).alias("h"), F.when(F.col("new.r") < 0, -1.0).otherwise(1.0).alias("sign"), "map")
+    sums = each.groupBy("subject", "state").agg(F.array_compact(means).alias("mean"), F.bit_xor("h").alias("h"))
+    sums = sums.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("state", "mean"))).alias("means"), F.bit_xor("h").alias("h"))
+    now = F.transform("fresh", lambda c, i: F.coalesce(F.col("means")[i], c))
+    taken = F.col("h").isNotNull()
+    return centres.join(sums, "subject", "left").select(
+        "subject", F.when(taken, F.col("fresh")).otherwise(F.col("map")).alias("map"), F.when(taken, now).otherwise(F.col("fresh")).alias("fresh"),
+        F.coalesce("h", "print").alias("print"), (taken & (F.col("h") != F.col("print"))).alias("moved"),
+    )
 
 
 def _final(centres: DataFrame, counts: DataFrame, k: int) -> DataFrame:
