@@ -58,3 +58,11 @@ def test_a_round_of_means_compares_each_map_once(spark, monkeypatch):
     rows = spark.createDataFrame([(s, [[float((s + 3 * c + t * (c + 2)) % 11) for t in range(30)] for c in range(5)]) for s in range(3)], "seg long, eeg array<array<double>>")
     assert states.fit_template(rows, rounds=6).count() == states.STATES
     assert 1 <= len(compared) == tables.count("centres") - 1
+
+
+def test_locking_joins_a_sample_with_one_row_for_all_bands(spark):
+    from tideline.model import Config
+    from tideline.operators import pairs
+
+    table, names = pairs.analytic_table(spark, 40, Config().fs, pairs.LOCKING)
+    assert names == [b for b, _, _ in pairs.LOCKING] and table.count() == 40 * 40

@@ -123,42 +123,48 @@ def coherence_features(segments: DataFrame, config: Config, keys: tuple[str, ...
     return edges.groupBy(*keys).agg(F.avg("w").alias("mean_alpha_coherence"), F.coalesce(F.avg(F.when(across(config), F.col("w"))), F.lit(0.0)).alias("interhemispheric_alpha_coherence"))
 
 
-def analytic_table(spark: SparkSession, samples: int, fs: float, bands: tuple[tuple[str, float, float], ...]) -> DataFrame:
-    """(t, band, u, re, im): what a unit at sample t adds to the filtered analytic signal at u.
+def analytic_table(spark: SparkSession, samples: int, fs: float, bands: tuple[tuple[str, float, float], ...]) -> tuple[DataFrame, list[str]]:
+    """(t, u, re0, im0, re1, ...): what a unit at sample t adds to the filtered analytic signal at u in each band; and the bands.
 
     Zero-phase filtering with mirrored edges and the analytic signal are both
-    linear, so a table of samples squared rows a band stands for them. It
-    depends on the length only, and is made on the driver; bands without room
-    below half the rate are left out.
+    linear, so a table of samples squared rows stands for them. It depends on
+    the length only, and is made on the driver; bands without room below half
+    the rate are left out.
     """
-    parts = []
+    t, u = np.divmod(np.arange(samples * samples), samples)
+    cols, names = {"t": pa.array(t, pa.int32()), "u": pa.array(u, pa.int32())}, []
     for name, lo, hi in bands:
         y = bandpass(np.eye(samples), fs, (lo, hi))
         if y is not None:
             z = analytic(y)
-            t, u = np.divmod(np.arange(samples * samples), samples)
-            parts.append(pa.table({"t": pa.array(t, pa.int32()), "band": pa.array([name] * len(t)), "u": pa.array(u, pa.int32()), "re": z.real.ravel(), "im": z.imag.ravel()}))
-    if not parts:
-        return spark.createDataFrame([], "t int, band string, u int, re double, im double")
-    return spark.createDataFrame(pa.concat_tables(parts))
+            cols |= {f"re{len(names)}": z.real.ravel(), f"im{len(names)}": z.imag.ravel()}
+            names.append(name)
+    return spark.createDataFrame(pa.table(cols)), names
 
 
 def locking_edges(segments: DataFrame, config: Config, samples: int, bands=LOCKING, keys: tuple[str, ...] = ("seg",), eeg: str = "eeg", by_time: bool = False) -> DataFrame:
     """(keys, band, i, j, w): the phase-locking value (Lachaux et al. 1999) of every pair of channels in segments of `samples` samples.
 
     A join of samples with the table of the filter and the analytic signal,
-    which is broadcast; samples are dealt by keys beforehand, so that the sums
-    over it, and the pairs, move nothing. Meant for segments of up to some
-    1,000 samples, whose table takes 24 MB a band; `extract` has no bound.
+    which is broadcast and has all bands in a row; samples are dealt by keys
+    beforehand, so that the sums over it, and the pairs, move nothing. Meant for
+    segments of up to some 1,000 samples, whose table takes 24 MB a band;
+    `extract` has no bound.
     """
-    table = analytic_table(segments.sparkSession, samples, config.fs, bands)
-    rows = channels(segments.select(*keys, eeg).repartition(*keys), keys, eeg, by_time)
+    table, names = analytic_table(segments.sparkSession, samples, config.fs, bands)
+    # by a number of its own, so that adaptive execution doesn't merge the tasks, nor takes the shuffle before for this one:
+    # the rows are few and the work on each is long
+    tasks = 2 * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = channels(segments.select(*keys, eeg).repartition(tasks, *keys), keys, eeg, by_time)
     at = rows.select(*keys, "ch", F.posexplode_outer(F.when(F.size("x") == samples, F.col("x"))).alias("t", "v"))
-    z = at.join(F.broadcast(table), "t").groupBy(*keys, "ch", "band", "u").agg(F.sum(F.col("v") * F.col("re")).alias("re"), F.sum(F.col("v") * F.col("im")).alias("im"))
-    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    phase = z.select(*keys, "ch", "band", "u", *[F.when(size > 0, F.col(c) / size).otherwise(rest).alias(c) for c, rest in (("re", 1.0), ("im", 0.0))])
+    parts = [f"{c}{i}" for i in range(len(names)) for c in ("re", "im")]
+    z = at.join(F.broadcast(table), "t").groupBy(*keys, "ch", "u").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v") * F.col(c)).alias(c) for c in parts])
+    size = lambda i: F.sqrt(F.col(f"re{i}") * F.col(f"re{i}") + F.col(f"im{i}") * F.col(f"im{i}"))
+    phase = z.select(*keys, "ch", "u", *[F.when(size(c[2:]) > 0, F.col(c) / size(c[2:])).otherwise(1.0 if c.startswith("re") else 0.0).alias(c) for c in parts])
     listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    one = phase.groupBy(*keys, "band", "ch").agg(listed("u", "re", "im").alias("p")).select(*keys, "band", "ch", F.transform("p", lambda s: s["re"]).alias("re"), F.transform("p", lambda s: s["im"]).alias("im"))
+    series_of = lambda i: F.struct(F.lit(names[i]).alias("band"), F.col(f"p.re{i}").alias("re"), F.col(f"p.im{i}").alias("im"))
+    each = F.array(*[series_of(i) for i in range(len(names))]).cast("array<struct<band:string,re:array<double>,im:array<double>>>")
+    one = phase.groupBy(*keys, "ch").agg(listed("u", *parts).alias("p")).select(*keys, "ch", F.explode_outer(each).alias("b")).where(F.col("b").isNotNull()).select(*keys, "ch", "b.*")
     every = one.groupBy(*keys, "band").agg(listed("ch", "re", "im").alias("z"))
 
     def locking(a: Column, b: Column) -> Column:
