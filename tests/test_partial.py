@@ -35,6 +35,25 @@ def test_segments_that_end_early_equal_sql(spark, partial, name):
     assert len(got) and tidy(got.to_dict("records")) == tidy(want[list(got.columns)].to_dict("records"))
 
 
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """Segments of one and of three samples, one of zeros, one of four, a whole one."""
+    at = str(tmp_path_factory.mktemp("tiny"))
+    size = F.element_at(F.array(*[F.lit(n) for n in (1, 3, 100, 4, 100)]), F.expr("CAST(vec_id div 100 AS INT) + 1"))
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id") % 100 < size)
+    rows.withColumn("embedding", F.when(F.expr("vec_id div 100 = 2"), F.transform("embedding", lambda v: v * 0)).otherwise(F.col("embedding"))).write.parquet(f"{at}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet/*.parquet'")
+    return at, con
+
+
+@pytest.mark.parametrize("name", "fd_entropy_centroid psd_welch spectrum_coverage".split())
+def test_segments_of_a_few_samples_or_of_zeros_equal_sql(spark, tiny, name):
+    at, con = tiny
+    got, want = catalogue.QUERIES[name](spark, at).toPandas(), con.execute(oracle.ORACLE_SQL[name]).df()
+    assert len(got) and tidy(got.to_dict("records")) == tidy(want[list(got.columns)].to_dict("records"))
+
+
 def test_short_parts_and_short_series(spark):
     """Hurst's exponent of a series within one part is missing, not a rounding error above 0; powers that don't vary have correlation 0."""
     from tideline.model import Config
