@@ -204,6 +204,13 @@ def test_jaccard_pairs_at_the_threshold(spark):
         assert got == want
 
 
+def test_jaccard_buckets_hold_millions_of_shingles(spark):
+    """A text's shingles of a bucket share nine bytes, so buckets are as few as a task's memory allows."""
+    none = np.zeros(0, np.uint64)
+    posted = jaccard.postings(table(spark, corpus()), jaccard.STRICT, "text", none, none.astype(np.int64), 15_000_000)
+    assert posted.rdd.getNumPartitions() == 5
+
+
 def test_jaccard_empty(spark):
     assert jaccard.classified(table(spark, ["x"]).where("false")).count() == 0
 

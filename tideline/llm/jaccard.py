@@ -63,8 +63,9 @@ from tideline.session import discard, written
 TILE = 1_500_000
 #: Shingles or postings that a task holds before it passes them on.
 HELD = 400_000
-#: Shingles in a bucket, which is one task's memory, and in a partition of buckets, on average at most.
-BUCKET, PARTITION = 750_000, 750_000
+#: Shingles in a bucket, which is one task's memory (some 60 bytes each), and in a partition of buckets, on average at most.
+#: A shingle travels in four bytes, and a text's shingles of a bucket share nine more: fewer buckets move less.
+BUCKET, PARTITION = 3_000_000, 3_000_000
 #: Frequent shingles at most; nodes that have one at least; and how often a task must see it among HELD shingles.
 FREQUENT, FREQUENT_LEAST, SEEN_LEAST = 1 << 20, 256, 6
 #: Nodes of a loose group at most that isn't grouped anew by equal parts.
