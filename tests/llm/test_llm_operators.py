@@ -962,6 +962,99 @@ def test_mixing_scores_depend_on_the_order_of_words(spark):
     assert all(got[300 + i].base_score == pytest.approx(got[320 + i].base_score) and got[300 + i].score > got[320 + i].score for i in range(20))
 
 
+def test_mixing_learns_from_all_words(spark):
+    # far more words than a sample would hold: weights and map are the means of what all groups of words learn
+    rnd = random.Random(3)
+    texts = sorted({"".join(rnd.choice("aeioubdgklmnrst") for _ in range(rnd.randrange(2, 9))) for _ in range(130_000)})
+    rows = [(bytearray(w.encode()), i * 7919 % 1_000_003, 1 + (i % 50 == 0) * 9) for i, w in enumerate(texts)]
+    words = spark.createDataFrame(rows, "word binary, h long, c long")
+    model = mixing.train(words)
+    groups = len(texts) // mixing.GROUP + 1
+    assert groups > 1
+    dealt = {r.h: r.g for r in words.selectExpr("h", f"pmod(xxhash64(h, 3), {groups}) AS g").collect()}
+    gates, cells, weights, chances = 0, 0, 0, 0
+    for g in range(groups):
+        mine = sorted((h, bytes(w), c) for w, h, c in rows if dealt[h] == g)
+        m = mixing.Mixer(model.table)
+        a, b = m.learn(mixing.of_strings(pa.array([w.decode() for _, w, _ in mine])), np.sqrt([c for _, _, c in mine]), 1)
+        gates, cells, weights, chances = gates + a[:, None], cells + b, weights + a[:, None] * m.weights, chances + b * m.map
+    assert gates.sum() == pytest.approx(sum(8 * (len(w) + 1) * math.sqrt(c) for w, _, c in rows))
+    assert np.allclose(model.weights, np.where(gates > 0, weights / np.maximum(gates, 1e-9), 0.3), atol=1e-9)
+    assert np.allclose(np.where(cells > 0, model.map * cells - chances, 0), 0, atol=1e-6)
+
+
+def test_mixing_share_of_known_words(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([1, 1, 2, 5, 400]), -rnd.uniform(1, 6)) for i in range(500)]
+    total = sum(c for _, c, _ in rows)
+    share = 0.5
+    for _ in range(40):
+        post = [share * (c - 1) / (total - 1) / (share * (c - 1) / (total - 1) + (1 - share) * 10**b) for _, c, b in rows]
+        share = sum(p * c for p, (_, c, _) in zip(post, rows, strict=True)) / total
+    rated = spark.createDataFrame(rows, "h long, c long, less double")
+    assert mixing._share(rated, total) == pytest.approx(share, abs=2e-3)
+    assert mixing._share(rated.where("c = 1"), 7) == 0
+
+
+def test_sequence_learns_from_all_texts(spark):
+    rnd = np.random.default_rng(12)
+    names = np.array([f"w{i}" for i in range(300)])
+    texts = [" ".join(names[np.cumsum(rnd.integers(0, 3, 1000)) % 300]) for _ in range(400)]
+    w = cut(*buffers(pa.array(texts)), lower=True)
+    rated = spark.createDataFrame([(int(h), math.log10(1 / 301)) for h in np.unique(w.hash).view(np.int64)], "h long, lp double")
+    docs = spark.createDataFrame([(t,) for t in texts], "__text string").repartition(3)
+    model = mixing._sequence(docs, rated, len(w.start))
+    counts = np.zeros((2, 1 << mixing.CONTEXT_BITS, 2), np.float32)
+    mixing.Sequence.tally(w.hash, w.first, counts)
+    local = mixing.Sequence(model.share, counts)
+    local.rate(w.hash, w.first, learn=True)
+    assert np.allclose(model.weights, local.weights, atol=1e-5)
+    assert mixing._seen(docs, local).sum() == 8 * len(w.start)
+
+
+def test_sequence_fits_counts_that_leave_a_token_out():
+    rnd = np.random.default_rng(6)
+    words = mixing.mix(np.arange(1, 30, dtype=np.uint64))
+    h = words[np.cumsum(rnd.integers(0, 3, 400)) % 29]
+    first = np.array([0, 250, 250, 400])
+    counts = np.zeros((2, 1 << mixing.CONTEXT_BITS, 2), np.float32)
+    mixing.Sequence.tally(h, first, counts)
+    share = np.bincount((h >> np.uint64(56)).astype(int), minlength=256) + 0.1
+    model = mixing.Sequence(share / share.sum(), counts)
+    value = np.concatenate(model._values())
+    seen, plain = model.left().seen(h, first), Counter()
+    for node, bit, at in model.bits(h, model.contexts(h, first)):
+        for k in range(len(h)):
+            cell = int(np.clip(np.rint(model.prior[node[k]] * 4 + 16), 0, 31))
+            for c, s in zip(counts, at, strict=True):
+                n = [float(x) for x in c[s[k]]]
+                n[bit[k]] -= 1
+                low = [0, 1, 3, 10, 31, 64][sum(sum(n) > x for x in model.LEVELS) :][:2]
+                logit = min(12.0, max(-12.0, math.log((n[1] + 0.1) / (n[0] + 0.1))))
+                cell = cell * 64 + min(range(*low), key=lambda i: abs(value[i] - logit))
+            plain[cell * 2 + int(bit[k])] += 1
+    assert {int(i): int(seen[i]) for i in np.flatnonzero(seen)} == plain
+
+    def cost(weights):
+        total = 0.0
+        for i, n in plain.items():
+            a, b = i // 128 % 64, i // 2 % 64
+            gate = sum(a >= x for x in (1, 3, 10, 31)) * 5 + sum(b >= x for x in (1, 3, 10, 31))
+            z = weights[0][gate] * (i // 8192 - 16) / 4 + weights[1][gate] * value[a] + weights[2][gate] * value[b]
+            total += n * math.log1p(math.exp(-z if i % 2 else z))
+        return total + ((weights - start) ** 2).sum() / 2
+
+    start = model.weights.astype(float)
+    model.fit(seen)
+    best = model.weights.astype(float)
+    for i in range(3):
+        for step in (-0.05, 0.05):
+            other = best.copy()
+            other[i] = np.clip(other[i] + step, 0, 1.5)
+            assert cost(best) <= cost(other) + 1e-4
+    assert cost(best) < cost(start)
+
+
 def test_mixing_no_training(spark):
     from pyspark.sql import functions as F
 

@@ -9,12 +9,14 @@ WIDE grow with the number of distinct training words (`widths`), so that their
 contexts don't crowd each other.
 Their logits are combined with a weight set that is gated by the place in the
 word and by how much the longest known context has seen; an adaptive map then
-refines the mixed probability by the gate. Weights and map are learned online,
-batch after batch, on about SAMPLE words, each predicted from counts that
-leave it out; the tables hold all training documents' words. Beside the bits
-stands a predictor of known words by their counts, with a share that is
-refined on the same words. What depends on a word only is the same wherever it
-stands, so it is computed once for each distinct word of the corpus.
+refines the mixed probability by the gate. Weights and map are learned from all
+training words, each predicted from the counts of all with one occurrence left
+out: groups of about GROUP distinct words, dealt by a hash, learn online, batch
+after batch, with the root of a word's count as its weight, and the model has
+the groups' means. Beside the bits stands a predictor of known words by their
+counts, with a share that is refined on all training words, too. What depends
+on a word only is the same wherever it stands, so it is computed once for each
+distinct word of the corpus.
 
 Words also depend on the words before them (`Sequence`). A word's class is
 CLASS_BITS bits of its hash. In a text's order, bit predictors with hashed
@@ -23,8 +25,9 @@ far) and the class's own frequency are mixed by logistic weights, gated by how
 much the contexts have seen, into P(class | words before). The word then has
 P(class | words before) * P(word) / P(class): a distribution again, as P(class)
 is the sum of P(word) over the class. Every token of the training texts is
-counted in these tables; the gated weights are learned online on a sample of
-training texts, each token left out of its own counts. They go on adapting
+counted in these tables; a second pass, with each token left out of its own
+counts, counts how often which inputs (in CODES and PRIORS bins) meet which
+bit, and the gated weights are fitted to these counts. They go on adapting
 while a text is scored: after its first FIRST tokens, and after blocks of twice
 the length from then on, a text's own corrections of the weights follow the
 errors of the block just scored. Every text starts from the learned weights, so
@@ -65,14 +68,19 @@ BLOCK = 1 << 17
 SUMS = 32
 #: Bits of a word's class, and of a slot's number in the tables of words before.
 CLASS_BITS, CONTEXT_BITS = 8, 20
-#: Bytes of training texts on which the weights of the words before are learned.
-SEQUENCE_BYTES = 2_000_000
+#: Bins of a predictor's logit, and of the class's own frequency, in the counts from which weights are fitted.
+CODES, PRIORS = 64, 32
 GATES = 8 * 4
-SAMPLE = 60_000
+#: Distinct training words, about, of a group that learns on its own.
+GROUP = 50_000
+#: Bytes of words taken at once, so that a step's arrays stay in the processor's cache.
+BATCH = 8_000
+#: Steps of one in a logit for which a frozen model keeps a bit's cost.
+FINE = 64
 HOT = 1 << 17
 #: Tokens after which a text's weights adapt for the first time, and how fast they do.
 FIRST, ADAPT = 64, 2.0
-RATE, ROUNDS = 0.02, 3
+RATE, ROUNDS, FIT = 0.02, 3, 40
 _SEED = _splitmix(71, 16)
 _BUCKETS = 33
 
@@ -145,12 +153,14 @@ def widths(distinct: int) -> list[int]:
 
 def tally(words: Bytes, weight: np.ndarray, table: np.ndarray | list[np.ndarray], sign: int = 1) -> None:
     """Add words with their counts to table[order][bit, slot] (sign 1), or take them out (-1)."""
-    w = weight[words.owner].astype(np.float64) * sign
     sizes = [t.shape[-1] for t in table]
-    at = Slots([words.contexts(o) for o in ORDERS], [n.bit_length() - 1 for n in sizes])
-    for node, bit in words.bits():
-        for i, slot in enumerate(at.step(node)):
-            np.add.at(table[i].reshape(-1), slot + bit.astype(np.int64) * sizes[i], w.astype(table[i].dtype))
+    for begin, stop in words.runs():
+        part = words.part(begin, stop)
+        w = weight[begin:stop][part.owner].astype(np.float64) * sign
+        at = Slots([part.contexts(o) for o in ORDERS], [n.bit_length() - 1 for n in sizes])
+        for node, bit in part.bits():
+            for i, slot in enumerate(at.step(node)):
+                np.add.at(table[i].reshape(-1), slot + bit.astype(np.int64) * sizes[i], w.astype(table[i].dtype))
 
 
 def _packed(n0: np.ndarray, n1: np.ndarray, floor: float, levels: list[float], scale: int) -> np.ndarray:
@@ -159,11 +169,18 @@ def _packed(n0: np.ndarray, n1: np.ndarray, floor: float, levels: list[float], s
     return (np.rint(logit * scale).astype(np.int16) << 3) | np.searchsorted(levels, n0 + n1).astype(np.int16)
 
 
+def _left(n0: np.ndarray, n1: np.ndarray, floor: float, levels: list[float], scale: int) -> np.ndarray:
+    """The same for each bit, 0 or 1, with one occurrence of that bit left out."""
+    return np.stack([_packed(np.maximum(n0 - 1, 0), n1, floor, levels, scale), _packed(n0, np.maximum(n1 - 1, 0), floor, levels, scale)])
+
+
 class Sequence:
     """Probability of each word's class given the words before it in its text."""
 
     LEVELS = [0.5, 1.5, 3.5, 8.5]
     SCALE = 256
+    #: Codes of each level: what has been seen seldom has few logits, which get a code each.
+    SPREAD = [1, 2, 7, 21, 33]
 
     def __init__(self, share: np.ndarray, counts: np.ndarray):
         self.share, self.counts = share, counts  # P(class), and for each context slots x 2
@@ -213,24 +230,83 @@ class Sequence:
             for i in range(2):
                 np.add.at(table[i].reshape(-1), 2 * at[i] + bit, table.dtype.type(1))
 
-    def inputs(self, node: np.ndarray, bit: np.ndarray, at: list[np.ndarray], out: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictors' logits and the gate; out: leave the bit itself out of the counts."""
+    def inputs(self, node: np.ndarray, at: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictors' logits and the gate."""
         x, gate = [self.prior[node]], np.zeros(len(node), np.int64)
         for i in range(2):
-            if out:
-                n0, n1 = self.counts[i][at[i]].T
-                v = _packed(np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0), 0.1, self.LEVELS, self.SCALE)
-            else:
-                v = self.table[i][at[i]]
+            v = self.table[i][at[i]]
             gate = gate * (len(self.LEVELS) + 1) + (v & 7)
             x.append((v >> 3).astype(np.float32) * np.float32(1 / self.SCALE))
         return x, gate
 
+    def left(self) -> Sequence:
+        """What counting needs: codes of each slot's predictor, for each bit with one occurrence of it left out."""
+        out = object.__new__(Sequence)
+        codes = []
+        for c in self.counts:
+            v = _left(c[:, 0], c[:, 1], 0.1, self.LEVELS, self.SCALE)
+            code = np.zeros(v.shape, np.uint8)
+            for level, (bins, values) in enumerate(zip(self._bins(), self._values(), strict=True)):
+                here = (v & 7) == level
+                near = np.searchsorted((values[1:] + values[:-1]) / 2, (v[here] >> 3) / self.SCALE)
+                code[here] = bins + near
+            codes.append(code)
+        out.codes = codes
+        out.near = np.clip(np.rint(self.prior * 4 + PRIORS // 2), 0, PRIORS - 1).astype(np.int64)
+        return out
+
+    @classmethod
+    def _bins(cls) -> list[int]:
+        return np.concatenate(([0], np.cumsum(cls.SPREAD)[:-1])).tolist()
+
+    @classmethod
+    def _values(cls) -> list[np.ndarray]:
+        """The logits that stand for the codes of each level: all that its counts can have, or even steps."""
+        exact = [sorted({float(np.log((k + 0.1) / (m - k + 0.1))) for m in seen for k in range(m + 1)}) for seen in ([0], [1], [2, 3])]
+        edges = [float(np.log(8.1 / 0.1)), 12.0]
+        return [np.array(x) for x in exact] + [np.linspace(-e, e, n) for e, n in zip(edges, cls.SPREAD[3:], strict=True)]
+
+    def seen(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How often each frequency bin, pair of codes and bit occur together in texts; of left()."""
+        cells, ctx = [np.zeros(0, np.int64)], self.contexts(h, first)
+        for a in range(0, len(h), BATCH):
+            for node, bit, at in self.bits(h[a : a + BATCH], [c[a : a + BATCH] for c in ctx]):
+                cell = self.near[node]
+                for i in range(2):
+                    cell = cell * CODES + self.codes[i].reshape(-1)[at[i] + (bit << CONTEXT_BITS)]
+                cells.append(cell * 2 + bit)
+        return np.bincount(np.concatenate(cells), minlength=PRIORS * CODES * CODES * 2)
+
+    def fit(self, seen: np.ndarray) -> None:
+        """The gated weights from 0 to 1.5 of least cost over counted cells, by Newton steps of one weight after another."""
+        k = len(self.LEVELS) + 1
+        level = np.repeat(np.arange(k), self.SPREAD)
+        value = np.concatenate(self._values())
+        n0, n1 = seen.reshape(-1, 2).T
+        cell = np.flatnonzero(n0 + n1)
+        n0, n1 = n0[cell].astype(np.float64), n1[cell].astype(np.float64)
+        one, two = cell // CODES % CODES, cell % CODES
+        x = [(cell // CODES**2 - PRIORS // 2) / 4, value[one], value[two]]
+        gate = level[one] * k + level[two]
+        w = self.weights.astype(np.float64)
+        start = w.copy()
+        for _ in range(FIT):
+            for i in range(3):
+                z = np.clip(sum(w[j][gate] * x[j] for j in range(3)), -12, 12)
+                p = 1 / (1 + np.exp(-z))
+                # what a gate never saw stays as it was
+                slope = np.bincount(gate, (n1 - (n0 + n1) * p) * x[i], k * k) - (w[i] - start[i])
+                bend = np.bincount(gate, (n0 + n1) * p * (1 - p) * x[i] ** 2, k * k) + 1
+                w[i] = np.clip(w[i] + np.clip(slope / bend, -0.2, 0.2), 0.0, 1.5)
+        self.weights = w.astype(np.float32)
+
     def rate(self, h: np.ndarray, first: np.ndarray, learn: bool = False) -> np.ndarray:
         """log10 of P(class | words before) / P(class) of each word of texts.
 
-        learn: adapt the gated weights too, each token left out of the counts.
+        learn: fit the gated weights to these texts before, each token left out of the counts.
         """
+        if learn:
+            self.fit(self.left().seen(h, first))
         size = np.diff(first)
         text = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(h)) - np.repeat(first[:-1], size)
@@ -248,21 +324,14 @@ class Sequence:
             pull = np.zeros((3, len(lead)), np.float32)
             bits = np.zeros(len(at), np.float32)
             for node, bit, slot in self.bits(h[at], [c[at] for c in ctx]):
-                x, gate = self.inputs(node, bit, slot, learn)
+                x, gate = self.inputs(node, slot)
                 z = sum((self.weights[i][gate] + mine[i]) * x[i] for i in range(3))
-                z = np.clip(z, -12, 12)
-                odds = np.exp(-z)
-                bits -= np.log1p(np.where(bit == 1, odds, 1 / odds))
-                miss = bit.astype(np.float32) - 1 / (1 + odds)
-                if learn:
-                    n = np.bincount(gate, minlength=self.weights.shape[1]) + 1e-9
+                sign = (1 - 2 * bit).astype(np.float32)
+                odds = np.exp(np.clip(z, -12, 12) * sign)
+                bits -= np.log1p(odds)
+                miss = -sign * odds / (1 + odds)
                 for i in range(3):
-                    step = miss * x[i]
-                    pull[i] += np.add.reduceat(step, lead)
-                    if learn:
-                        self.weights[i] += (RATE * np.bincount(gate, step, self.weights.shape[1]) / n).astype(np.float32)
-                if learn:
-                    np.clip(self.weights, 0.0, 1.5, out=self.weights)
+                    pull[i] += np.add.reduceat(miss * x[i], lead)
             total[at] = bits
             own[:, doc[lead]] = np.clip(own[:, doc[lead]] + ADAPT * pull / (CLASS_BITS * np.diff(np.append(lead, len(at)))), -0.5, 0.5)
         share = self.share[(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
@@ -277,44 +346,67 @@ class Mixer:
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
         centre = np.linspace(-12, 12, _BUCKETS)
         self.map = np.tile(1 / (1 + np.exp(-centre)), (GATES, 1))
-        self.known, self.total = 0.0, 1  # share of the word predictor, and all occurrences
+        self.total = 1  # all occurrences
+        self.widths = [t.shape[-1].bit_length() - 1 for t in table]
         self.packed: list[np.ndarray] | None = None
+        self.less: list[np.ndarray] | None = None
+        self.cost: np.ndarray | None = None
 
     LEVELS = [0.5, 4.5, 100.5]
     SCALE = 256
 
-    def frozen(self) -> Mixer:
-        """The model with its counts as logits, which is all that scoring needs."""
-        out = object.__new__(Mixer)
+    def frozen(self, less: bool = False) -> Mixer:
+        """The model with its counts as logits, which is all that scoring needs; less: those with a bit left out too."""
+        out = self.learner() if less else object.__new__(Mixer)
         packed = [_packed(t[0], t[1], 0.02, self.LEVELS, self.SCALE) for t in self.table]
-        out.__dict__ |= self.__dict__ | {"table": None, "packed": packed}
+        z = np.arange(24 * FINE + 1) / FINE - 12
+        z, gate = np.tile(z, GATES), np.repeat(np.arange(GATES), len(z))
+        p = self.refined(z, 1 / (1 + np.exp(-z)), gate)
+        cost = np.log10(np.concatenate((1 - p, p))).astype(np.float32)
+        out.__dict__ |= self.__dict__ | {"table": None, "packed": packed, "less": out.__dict__.get("less"), "cost": cost}
+        return out
+
+    def learner(self) -> Mixer:
+        """The model with the logits of its counts without one occurrence of a bit, which is all that learning needs."""
+        out = object.__new__(Mixer)
+        less = [_left(t[0], t[1], 0.02, self.LEVELS, self.SCALE) for t in self.table]
+        out.__dict__ |= self.__dict__ | {"table": None, "less": less}
+        return out
+
+    def copied(self) -> Mixer:
+        """The model with weights and map of its own."""
+        out = object.__new__(Mixer)
+        out.__dict__ |= self.__dict__ | {"weights": self.weights.copy(), "map": self.map.copy()}
         return out
 
     def at(self, words: Bytes) -> Slots:
-        sizes = [t.shape[-1] for t in (self.packed if self.packed is not None else self.table)]
-        return Slots([words.contexts(o) for o in ORDERS], [n.bit_length() - 1 for n in sizes])
+        return Slots([words.contexts(o) for o in ORDERS], self.widths)
 
     def inputs(self, slot: list[np.ndarray], bit: np.ndarray, place: np.ndarray, out: int) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors and the gate; out: occurrences of the bit itself to leave out."""
+        """Logits of the predictors and the gate; out: 1 leaves an occurrence of the bit itself out."""
         logits = np.empty((len(ORDERS), len(bit)), np.float32)
-        level = np.zeros(len(bit), np.int16)
+        bit = bit.astype(np.int64)
         for i, s in enumerate(slot):
-            if self.packed is not None:
+            if out:
+                v = self.less[i].reshape(-1)[s + (bit << self.widths[i])]
+            elif self.packed is not None:
                 v = self.packed[i][s]
             else:
-                n0, n1 = self.table[i][0][s], self.table[i][1][s]
-                if out:
-                    n1 = np.maximum(n1 - out * (bit == 1), 0)
-                    n0 = np.maximum(n0 - out * (bit == 0), 0)
-                v = _packed(n0, n1, 0.02, self.LEVELS, self.SCALE)
-            logits[i] = (v >> 3) * np.float32(1 / self.SCALE)
-            level = v & 7
-        return logits, np.minimum(place, 7) * 4 + level
+                v = _packed(self.table[i][0][s], self.table[i][1][s], 0.02, self.LEVELS, self.SCALE)
+            np.multiply(v >> 3, np.float32(1 / self.SCALE), out=logits[i])
+        return logits, np.minimum(place, 7) * 4 + (v & 7)
 
     def mixed(self, logits: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = np.clip((self.weights[gate].T * logits).sum(0), -12, 12)
+        z = self.logit(logits, gate, np.ascontiguousarray(self.weights.T, np.float32)).astype(np.float64)
         return z, 1 / (1 + np.exp(-z))
 
+    @staticmethod
+    def logit(logits: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        z = weights[0][gate] * logits[0]
+        for i in range(1, len(ORDERS)):
+            z += weights[i][gate] * logits[i]
+        return np.clip(z, -12, 12, out=z)
+
     def refined(self, z: np.ndarray, p: np.ndarray, gate: np.ndarray) -> np.ndarray:
         at = (z + 12) * ((_BUCKETS - 1) / 24)
         low = np.minimum(at.astype(np.int64), _BUCKETS - 2)
@@ -322,11 +414,16 @@ class Mixer:
         q = self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part
         return np.clip((p + 3 * q) / 4, 1e-6, 1 - 1e-6)
 
-    def learn(self, words: Bytes, weight: np.ndarray, batch: int = 4000) -> None:
-        """Online: bits of one batch of words after another, each with a step of weights and map."""
-        for _ in range(ROUNDS):
-            for begin in range(0, len(words.size), batch):
-                stop = min(begin + batch, len(words.size))
+    def learn(self, words: Bytes, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Online: bits of one batch of words after another, each with a step of weights and map.
+
+        Returns how much each gate and each cell of the map has seen.
+        """
+        if self.less is None:
+            self.less = self.learner().less
+        gates, cells = np.zeros(GATES), np.zeros((GATES, _BUCKETS))
+        for _ in range(rounds):
+            for begin, stop in words.runs():
                 part = words.part(begin, stop)
                 w = weight[begin:stop][part.owner]
                 at = self.at(part)
@@ -334,40 +431,34 @@ class Mixer:
                     logits, gate = self.inputs(at.step(node), bit, part.place, 1)
                     z, p = self.mixed(logits, gate)
                     miss = (bit - p) * w
-                    total = np.bincount(gate, w, GATES) + 1e-9
+                    n = np.bincount(gate, w, GATES)
+                    gates += n
                     for i in range(len(ORDERS)):
-                        self.weights[:, i] += RATE * np.bincount(gate, miss * logits[i], GATES) / total
+                        self.weights[:, i] += RATE * np.bincount(gate, miss * logits[i], GATES) / (n + 1e-9)
                     np.clip(self.weights, -0.5, 2.0, out=self.weights)
                     near = np.rint((z + 12) * ((_BUCKETS - 1) / 24)).astype(np.int64)
                     cell = gate * _BUCKETS + near
                     n = np.bincount(cell, w, GATES * _BUCKETS).reshape(GATES, -1)
+                    cells += n
                     ones = np.bincount(cell, w * bit, GATES * _BUCKETS).reshape(GATES, -1)
                     pull = 1 - np.exp(-0.02 * n)
                     self.map += pull * (ones / np.maximum(n, 1e-9) - self.map) * (n > 0)
-
-    def weigh(self, words: Bytes, c: np.ndarray, weight: np.ndarray) -> None:
-        """The share of the word predictor (its count left out) beside the bits', refined by repeated posterior means."""
-        parts = [self.bits(words.part(at, min(at + 4000, len(c))), 1) for at in range(0, len(c), 4000)]
-        bits, own = 10.0 ** np.concatenate(parts), (c - 1) / max(self.total - 1, 1)
-        share = 0.5
-        for _ in range(40):
-            post = share * own / np.maximum(share * own + (1 - share) * bits, 1e-300)
-            share = float(np.average(post, weights=weight))
-        self.known = min(max(share, 0.0), 0.999)
-
-    def score(self, words: Bytes, c: np.ndarray) -> np.ndarray:
-        """log10 probability of each word, c times seen in training."""
-        return np.log10(np.maximum(self.known * c / max(self.total, 1) + (1 - self.known) * 10.0 ** np.maximum(self.bits(words, 0), -290), 1e-290))
+        return gates, cells
 
     def bits(self, words: Bytes, out: int) -> np.ndarray:
-        """log10 probability of each word by its bits; out: occurrences of the word itself to leave out."""
-        total = np.zeros(len(words.byte))
-        at = self.at(words)
-        for node, bit in words.bits():
-            logits, gate = self.inputs(at.step(node), bit, words.place, out)
-            p = self.refined(*self.mixed(logits, gate), gate)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.bincount(words.owner, total, len(words.size))
+        """log10 probability of each word by its bits, of a frozen model; out: 1 leaves an occurrence of the word out."""
+        weights = np.ascontiguousarray(self.weights.T, np.float32)
+        total = [np.zeros(0)]
+        for begin, stop in words.runs():
+            part = words.part(begin, stop)
+            at, sums = self.at(part), np.zeros(len(part.byte), np.float32)
+            for node, bit in part.bits():
+                logits, gate = self.inputs(at.step(node), bit, part.place, out)
+                z = self.logit(logits, gate, weights)
+                near = np.rint((z + np.float32(12)) * np.float32(FINE)).astype(np.int64)
+                sums += self.cost[(bit.astype(np.int64) * GATES + gate) * (24 * FINE + 1) + near]
+            total.append(np.bincount(part.owner, sums, len(part.size)))
+        return np.concatenate(total)
 
 
 def _part(self: Bytes, begin: int, stop: int) -> Bytes:
@@ -378,7 +469,16 @@ def _part(self: Bytes, begin: int, stop: int) -> Bytes:
     return out
 
 
-Bytes.part = _part
+def _runs(self: Bytes, most: int = BATCH) -> Iterator[tuple[int, int]]:
+    """Runs of words with about most bytes, one word at least."""
+    begin, ends = 0, self.base + self.size
+    while begin < len(self.size):
+        stop = max(begin + 1, int(np.searchsorted(ends, self.base[begin] + most, side="right")))
+        yield begin, stop
+        begin = stop
+
+
+Bytes.part, Bytes.runs = _part, _runs
 
 
 def of_strings(col: pa.Array) -> Bytes:
@@ -441,15 +541,22 @@ def _summed(blocks: DataFrame, out: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Bytes, pa.RecordBatch]]:
+    """Runs of rows with a bounded number of bytes of words."""
+    for b in batches:
+        text = column(b, "word").cast(pa.string(), safe=False)
+        b = b.set_column(b.schema.get_field_index("word"), "word", text)
+        for part in slices(iter([b]), "word", 500_000):
+            yield of_strings(column(part, "word")), part
+
+
 def _tables(words: DataFrame, bits: list[int]) -> list[np.ndarray]:
     """Counts of all training words in the predictors' tables, summed over a bounded number of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [np.zeros((2, 1 << n)) for n in bits]
-        for b in batches:
-            for at in range(0, b.num_rows, 50_000):
-                part = b.slice(at, 50_000)
-                tally(of_strings(column(part, "word").cast(pa.string(), safe=False)), column(part, "c").to_numpy(), table)
+        for words, part in _pieces(batches):
+            tally(words, column(part, "c").to_numpy(), table)
         yield from _blocks(table)
 
     # each task sends its tables on, so they are an eighth as many as elsewhere
@@ -475,44 +582,87 @@ def _sequence_tables(texts: DataFrame) -> np.ndarray:
 
 
 def _sequence(texts: DataFrame, rated: DataFrame, total: int) -> Sequence:
-    """The model of the words before, from all training texts; its weights from about SEQUENCE_BYTES of them."""
+    """The model of the words before: counts, and the weights fitted to them, of all tokens of the training texts."""
     of = F.shiftrightunsigned("h", 64 - CLASS_BITS)
     share = np.zeros(1 << CLASS_BITS)
     for r in rated.groupBy(of.alias("k")).agg(F.sum(F.pow(F.lit(10.0), F.col("lp"))).alias("p")).collect():
         share[r.k] = r.p
     share += max(1e-9, 1 - share.sum()) / len(share)  # words not in the corpus: evenly
     model = Sequence(share / share.sum(), _sequence_tables(texts))
-    part = min(1.0, SEQUENCE_BYTES / (8.0 * total))
-    h = F.xxhash64("__text", F.lit(9))
-    rows = texts.where(F.pmod(h, F.lit(1 << 30)) <= int(part * (1 << 30))).orderBy(h).collect()
-    for _ in range(ROUNDS):
-        for at in range(0, len(rows), 20):
-            w = cut(*buffers(pa.array([r[0] for r in rows[at : at + 20]], pa.string())), lower=True)
-            if len(w.start):
-                model.rate(w.hash, w.first, learn=True)
+    model.fit(_seen(texts, model))
     return model.frozen()
 
 
+def _seen(texts: DataFrame, model: Sequence) -> np.ndarray:
+    """Sequence.seen of all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(model.left())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, total = shared.value, np.zeros(PRIORS * CODES * CODES * 2, np.int64)
+        for b in slices(batches, "__text"):
+            w = cut(*buffers(column(b, "__text")), lower=True)
+            if len(w.start):
+                total += left.seen(w.hash, w.first)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = texts.coalesce(min(2000, max(12, parts // 8)))
+    cells = few.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(PRIORS * CODES * CODES * 2, np.int64)
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    shared.destroy()
+    return out
+
+
 def train(words: DataFrame) -> Mixer:
-    """The model of a table of word counts."""
+    """The model of a table of word counts.
+
+    Groups of about GROUP distinct words, dealt and ordered by hashes, learn weights and map each on its own, from the
+    counts of all words; the model has their means, weighted by what each has seen.
+    """
     known = words.where("c > 0")
     total, n = known.agg(F.sum("c"), F.count(F.lit(1))).first()
     mixer = Mixer(_tables(words, widths(n)))
     if not n:
         return mixer
     mixer.total = total
-    # words are drawn about as often as they occur, rare and new ones included: by count and by a hash
-    chance = F.lit(float(SAMPLE)) * (0.5 * F.col("c") / F.lit(float(total)) + F.lit(0.5 / n))
-    draw = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.where(draw < chance).select("word", "c", F.least(F.lit(1.0), chance).alias("chance")).orderBy(F.xxhash64("h", F.lit(5)), "word").collect()
-    if rows:
-        weight = np.array([r.c / r.chance for r in rows])
-        sample = of_strings(pa.array([bytes(r.word) for r in rows], pa.binary()).cast(pa.string(), safe=False))
-        mixer.learn(sample, np.minimum(weight / weight.mean(), 50.0))
-        mixer.weigh(sample, np.array([r.c for r in rows]), weight)
+    shared = words.sparkSession.sparkContext.broadcast(mixer.learner())
+
+    def learn(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("word", "ascending")]).select(["word", "c"]).combine_chunks()
+        model = shared.value.copied()
+        gates, cells = np.zeros((GATES, 1)), np.zeros((GATES, _BUCKETS))
+        for _ in range(min(ROUNDS, -(-GROUP // (2 * t.num_rows)))):  # the few groups of a small table learn more than once
+            for x, part in _pieces(iter(t.to_batches())):
+                g, c = model.learn(x, np.sqrt(column(part, "c").to_numpy()), 1)
+                gates, cells = gates + g[:, None], cells + c
+        v = np.concatenate([a.ravel() for a in (gates, cells, gates * model.weights, cells * model.map)])
+        return pa.table({"k": pa.array(np.arange(len(v), dtype=np.int32)), "v": pa.array(v)})
+
+    group = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(n // GROUP + 1))
+    sums = known.select(group.alias("group"), "word", "h", "c").groupBy("group").applyInArrow(learn, "k int, v double")
+    got = sums.groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+    shared.destroy()
+    at = np.cumsum([GATES, GATES * _BUCKETS, GATES * len(ORDERS)])
+    gates, cells, weights, chances = (a.reshape(GATES, -1) for a in np.split(got, at))
+    mixer.weights = np.where(gates > 0, weights / np.maximum(gates, 1e-9), mixer.weights)
+    mixer.map = np.where(cells > 0, chances / np.maximum(cells, 1e-9), mixer.map)
     return mixer
 
 
+def _share(rated: DataFrame, total: int) -> float:
+    """The share of the word predictor (its count left out) beside the bits', refined by repeated posterior means of all words."""
+    ratio = F.log10((F.col("c") - 1) / F.lit(float(max(total - 1, 1)))) - F.col("less")
+    bins = F.floor(F.least(F.greatest(ratio, F.lit(-300.0)), F.lit(300.0)) * 32).cast("int")
+    rows = rated.where("c > 1").groupBy(bins.alias("k")).agg(F.sum("c").alias("n")).orderBy("k").collect()
+    odds, n = 10.0 ** ((np.array([r.k for r in rows]) + 0.5) / 32), np.array([r.n for r in rows], np.float64)
+    share = 0.5
+    for _ in range(40):
+        share = float((n * share * odds / (share * odds + 1 - share)).sum() / total)
+    return min(max(share, 0.0), 0.999)
+
+
 def _often(counted: DataFrame, total: int) -> int:
     """The least number of occurrences that at most HOT words have (total // HOT + 1 is one such)."""
     last = total // HOT + 1
@@ -530,17 +680,20 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     n_docs = docs.where(F.coalesce(training, F.lit(False))).count()
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = total + n_docs, distinct + (1 if n_docs else 0)
-    model = spark.sparkContext.broadcast(train(counted).frozen())
+    model = spark.sparkContext.broadcast(train(counted).frozen(less=True))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
-            for at in range(0, b.num_rows, 30_000):
-                part = b.slice(at, 30_000)
-                lp = m.score(of_strings(column(part, "word").cast(pa.string(), safe=False)), column(part, "c").to_numpy())
-                yield pa.RecordBatch.from_arrays([column(part, "h"), column(part, "c"), pa.array(lp)], names=["h", "c", "lp"])
-
-    rated = written(counted.mapInArrow(rate, "h long, c long, lp double"), "rated")
+        for words, part in _pieces(batches):
+            c = column(part, "c").to_numpy()
+            less, again = np.zeros(len(c), np.float32), np.flatnonzero(c > 1)
+            less[again] = m.bits(of_strings(column(part, "word").take(pa.array(again))), 1)
+            yield pa.RecordBatch.from_arrays([column(part, "h"), column(part, "c"), pa.array(m.bits(words, 0)), pa.array(less)], names=["h", "c", "bits", "less"])
+
+    by_bits = written(counted.mapInArrow(rate, "h long, c long, bits double, less float"), "rated")
+    known = _share(by_bits, total) if total else 0.0
+    chance = F.lit(known / max(total, 1)) * F.col("c") + F.lit(1 - known) * F.pow(F.lit(10.0), F.greatest("bits", F.lit(-290.0)))
+    rated = by_bits.select("h", "c", F.log10(F.greatest(chance, F.lit(1e-290))).alias("lp"))
     texts = docs.where(F.coalesce(training, F.lit(False))).select(F.coalesce(F.col(text), F.lit("")).alias("__text"))
     sequence = spark.sparkContext.broadcast(_sequence(texts, rated, total) if total else None)
     often = _often(counted, total)
@@ -575,15 +728,17 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             size = np.bincount(doc, w.end - w.start + 1, rows).astype(np.int64)
             # a document's own row, under a key that no word has, and one for each of its other words
             rest = np.flatnonzero(~is_hot)
-            pair = np.unique(np.column_stack((doc[rest], h[rest])), axis=0, return_counts=True) if len(rest) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            k, whose = len(pair[1]), pair[0][:, 0]
+            rest = rest[np.lexsort((h[rest], doc[rest]))]
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(doc[rest]) != 0) | (np.diff(h[rest]) != 0)))) if len(rest) else rest
+            times, rest = np.diff(np.append(new, len(rest))), rest[new]
+            k, whose = len(rest), doc[rest]
             zero, none = np.zeros(k), np.zeros(k, np.int64)
             cols = [np.concatenate((one, one[whose])), np.concatenate((two, two[whose]))]
             cols += [pa.concat_arrays([column(b, c), pa.nulls(k, column(b, c).type)]) for c in names]
             cols += [
-                np.concatenate((mix(one.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64), pair[0][:, 1])),
+                np.concatenate((mix(one.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64), h[rest])),
                 np.concatenate((np.ones(rows, bool), np.zeros(k, bool))),
-                np.concatenate((w.n, pair[1])),
+                np.concatenate((w.n, times)),
                 np.concatenate((size, none)),
                 np.concatenate((np.bincount(hd, minlength=rows), none)),
                 np.concatenate((base, zero)),
