@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tideline.llm import cotraining, decontaminate, jaccard, language, mixing, pieces, quality_rules, secrets, substrings, toxicity
+from tideline.llm import words as words_module
 from tideline.llm.components import components
 from tideline.llm.words import buffers, cut
 
@@ -1055,6 +1056,67 @@ def test_sequence_fits_counts_that_leave_a_token_out():
     assert cost(best) < cost(start)
 
 
+def test_sequence_counts_leave_a_task_as_blocks(spark, monkeypatch):
+    # rows out of a task don't depend on its texts: two blocks, however many kinds of cells they meet
+    rnd = np.random.default_rng(3)
+    kinds = {"many": [" ".join(f"w{i}" for i in rnd.zipf(1.3, 2000) % 5000) for _ in range(60)], "copies": ["a b c a b d a c"] * 60}
+    cells, rows = mixing.PRIORS * mixing.CODES**2 * 2, {}
+    plain_sum = mixing._summed
+
+    def counted(blocks, out):
+        rows[name] = (blocks.count(), blocks.rdd.getNumPartitions())
+        return plain_sum(blocks, out)
+
+    monkeypatch.setattr(mixing, "_summed", counted)
+    for name, texts in kinds.items():
+        w = cut(*buffers(pa.array(texts)), lower=True)
+        counts = np.zeros((2, 1 << mixing.CONTEXT_BITS, 2), np.float32)
+        mixing.Sequence.tally(w.hash, w.first, counts)
+        model = mixing.Sequence(np.full(256, 1 / 256), counts)
+        got = mixing._seen(spark.createDataFrame([(t,) for t in texts], "__text string").repartition(7), model)
+        assert got.dtype == np.int64 and np.array_equal(got, model.left().seen(w.hash, w.first))
+        assert rows[name][0] <= rows[name][1] * -(-cells // mixing.BLOCK)
+    # counts beyond what float32 tells apart stay whole
+    whole = np.full(mixing.BLOCK, 2.0**24 + 1)
+    blocks = spark.createDataFrame([(0, bytearray(whole.tobytes()))] * 3, "block int, body binary").repartition(3)
+    assert (plain_sum(blocks, [np.zeros(mixing.BLOCK)])[0] == 3 * (2**24 + 1)).all()
+
+
+def test_mixing_computes_a_shared_beginning_once():
+    rnd = random.Random(8)
+    texts = sorted({"".join(rnd.choice("abé") for _ in range(rnd.choice([1, 2, 5, 9]))) for _ in range(400)} | {"a" * 40 + "b" * k for k in range(5)}, key=str.encode)
+    words = mixing.of_strings(pa.array(texts))
+    own, same = words.beginnings()
+    begins = [t.encode()[:k] if k <= len(t.encode()) else t.encode() + b" " for t in texts for k in range(1, len(t.encode()) + 2)]
+    assert all(begins[own[j]] == b for j, b in zip(same, begins, strict=True))
+    assert len(own) == len({b if len(b) <= mixing.SHARED else i for i, b in enumerate(begins)}) < 0.6 * len(begins)
+    weight = np.arange(1, len(texts) + 1)
+    got, want = (np.zeros((len(mixing.ORDERS), 2, 1 << mixing.SLOT_BITS), np.float32) for _ in range(2))
+    mixing.tally(words, weight, got)
+    for k, t in enumerate(texts):  # bit by bit
+        one = mixing.of_strings(pa.array([t]))
+        at = mixing.Slots([one.contexts(o) for o in mixing.ORDERS], [mixing.SLOT_BITS] * len(mixing.ORDERS))
+        for node, bit in one.bits():
+            for i, slot in enumerate(at.step(node)):
+                np.add.at(want[i], (bit.astype(int), slot), np.float32(weight[k]))
+    assert np.array_equal(got, want)
+    model = mixing.Mixer(want).frozen(less=True)
+    for out in (0, 1):
+        alone = [model.bits(mixing.of_strings(pa.array([t])), out)[0] for t in texts]
+        assert np.array_equal(model.bits(words, out), alone)
+
+
+def test_span_hash_of_long_and_short_spans():
+    rnd = np.random.default_rng(2)
+    data = rnd.integers(0, 256, 20_000).astype(np.uint8)
+    size = np.array([1, 2, 23, 24, 25, 26, 4095, 4096, 4097, 5000, 3, 0])
+    start = np.cumsum(size + 1) - size
+    step, mask = words_module._STEP, words_module.MASK
+    for at in (np.arange(len(size)), np.arange(4), np.arange(len(size))[::-1], np.zeros(0, int)):
+        plain = [(sum(int(words_module._BYTE[b]) * pow(step, k, mask + 1) for k, b in enumerate(data[s : s + n])) + int(n)) & mask for s, n in zip(start[at], size[at], strict=True)]
+        assert np.array_equal(words_module.span_hash(data, start[at], start[at] + size[at]), mixing.mix(np.array(plain, np.uint64)))
+
+
 def test_mixing_no_training(spark):
     from pyspark.sql import functions as F
 

@@ -75,6 +75,10 @@ GATES = 8 * 4
 GROUP = 50_000
 #: Bytes of words taken at once, so that a step's arrays stay in the processor's cache.
 BATCH = 8_000
+#: Bytes of a beginning, at most, that neighbouring words are computed once for.
+SHARED = 32
+#: Words that are sorted together for that.
+SORTED = 30_000
 #: Steps of one in a logit for which a frozen model keeps a bit's cost.
 FINE = 64
 HOT = 1 << 17
@@ -111,20 +115,45 @@ class Bytes:
             return mix(h + np.uint64(0xABCDEF))
         h = np.full(n, order, np.uint64)
         for k in range(1, order + 1):
-            prev = np.zeros(n, np.uint64)
-            prev[k:] = self.byte[:-k] + np.uint64(1)
-            prev[self.place < k] = 0  # the word starts later
-            h = h * np.uint64(0x100000001B3) + prev
+            h *= np.uint64(0x100000001B3)
+            h += self.earlier(k)
         return mix(h)
 
-    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each of the eight bits: the bits so far (with a leading 1), and the bit."""
-        node = np.ones(len(self.byte), np.uint64)
+    def earlier(self, k: int) -> np.ndarray:
+        """The byte k places before each, plus 1, or 0 where the word starts later; kept for other orders."""
+        have = self.__dict__.setdefault("_earlier", {})
+        if k not in have:
+            have[k] = np.zeros(len(self.byte), np.uint64)
+            have[k][k:] = self.byte[:-k] + np.uint64(1)
+            have[k][self.place < k] = 0
+        return have[k]
+
+    def bits(self, at: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the eight bits, of the bytes at places: the bits so far (with a leading 1), and the bit."""
+        byte = self.byte[at]
+        node = np.ones(len(byte), np.uint64)
         for b in range(7, -1, -1):
-            bit = (self.byte >> np.uint64(b)) & np.uint64(1)
+            bit = (byte >> np.uint64(b)) & np.uint64(1)
             yield node, bit
             node = node * np.uint64(2) + bit
 
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bytes that don't end a beginning of the word before, too, and for each byte the one of these that stands for it.
+
+        All contexts lie in the word, so bytes that end the same beginning have the same counts. Sorted words share most;
+        beyond SHARED bytes nothing is shared.
+        """
+        same, word = np.arange(len(self.byte)), np.arange(1, len(self.size))
+        for k in range(SHARED):
+            word = word[np.minimum(self.size[word], self.size[word - 1]) > k]
+            word = word[self.byte[self.base[word] + k] == self.byte[self.base[word - 1] + k]]
+            if not len(word):
+                break
+            lead = np.flatnonzero(np.concatenate(([True], np.diff(word) != 1)))  # runs of words with the same beginning
+            same[self.base[word] + k] = np.repeat(self.base[word[lead] - 1] + k, np.diff(np.append(lead, len(word))))
+        own = same == np.arange(len(same))
+        return np.flatnonzero(own), (np.cumsum(own) - 1)[same]
+
 
 class Slots:
     """Where contexts have their counts: a hash for four bits, whose counts lie together."""
@@ -144,6 +173,22 @@ class Slots:
         self.depth += 1
         return [x | sub for x in self.base]
 
+    def leaves(self, byte: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For both runs of four bits (0, 1) of each byte, and each context: the place of that run among all runs of its hash."""
+        for half, node, last in ((0, np.uint64(1), byte >> np.uint64(4)), (1, byte >> np.uint64(4) | np.uint64(16), byte & np.uint64(15))):
+            last = last.astype(np.int64)
+            for i, c in enumerate(self.contexts):
+                yield half, i, (mix(c + node * _SEED[i]) >> np.uint64(64 - self.widths[i])).astype(np.int64) & ~15 | last
+
+
+def _grown(leaves: np.ndarray) -> np.ndarray:
+    """Counts by slot and bit from counts of runs of four bits: those of a node are the sum of what follows it."""
+    tree = np.zeros((len(leaves) // 16, 32), leaves.dtype)
+    tree[:, 16:] = leaves.reshape(-1, 16)
+    for i in range(15, 1, -1):
+        tree[:, i] = tree[:, 2 * i] + tree[:, 2 * i + 1]
+    return tree.reshape(-1, 2)  # of slot s and bit b at 2 * s + b
+
 
 def widths(distinct: int) -> list[int]:
     """Bits of a slot's number for each order, by the number of distinct training words."""
@@ -151,16 +196,23 @@ def widths(distinct: int) -> list[int]:
     return [wide if order in WIDE else SLOT_BITS for order in ORDERS]
 
 
+def _tally_leaves(words: Bytes, weight: np.ndarray, table: list[np.ndarray]) -> None:
+    """Add words with their counts to table[order][leaf]."""
+    for begin, stop in words.runs(2 * BATCH):
+        part = words.part(begin, stop)
+        w = weight[begin:stop][part.owner].astype(np.float64)
+        own, same = part.beginnings()
+        w = np.bincount(same, w, len(own))
+        for _, i, at in Slots([part.contexts(o)[own] for o in ORDERS], [len(t).bit_length() - 1 for t in table]).leaves(part.byte[own]):
+            np.add.at(table[i], at, w)
+
+
 def tally(words: Bytes, weight: np.ndarray, table: np.ndarray | list[np.ndarray], sign: int = 1) -> None:
     """Add words with their counts to table[order][bit, slot] (sign 1), or take them out (-1)."""
-    sizes = [t.shape[-1] for t in table]
-    for begin, stop in words.runs():
-        part = words.part(begin, stop)
-        w = weight[begin:stop][part.owner].astype(np.float64) * sign
-        at = Slots([part.contexts(o) for o in ORDERS], [n.bit_length() - 1 for n in sizes])
-        for node, bit in part.bits():
-            for i, slot in enumerate(at.step(node)):
-                np.add.at(table[i].reshape(-1), slot + bit.astype(np.int64) * sizes[i], w.astype(table[i].dtype))
+    leaves = [np.zeros(t.shape[-1]) for t in table]
+    _tally_leaves(words, weight, leaves)
+    for t, x in zip(table, leaves, strict=True):
+        t += (sign * _grown(x).T).astype(t.dtype)
 
 
 def _packed(n0: np.ndarray, n1: np.ndarray, floor: float, levels: list[float], scale: int) -> np.ndarray:
@@ -224,17 +276,30 @@ class Sequence:
             yield node, bit, at.step(node.astype(np.uint64))
             node = 2 * node + bit
 
+    @classmethod
+    def leaves(cls, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Slots.leaves of the classes of words."""
+        return Slots(cls.contexts(h, first), [CONTEXT_BITS] * 2).leaves(h >> np.uint64(64 - CLASS_BITS))
+
+    @classmethod
+    def tally_leaves(cls, h: np.ndarray, first: np.ndarray, table: np.ndarray) -> None:
+        """Add the tokens of texts to table[context][leaf]."""
+        for _, i, at in cls.leaves(h, first):
+            np.add.at(table[i], at, table.dtype.type(1))
+
     @classmethod
     def tally(cls, h: np.ndarray, first: np.ndarray, table: np.ndarray) -> None:
-        for _, bit, at in cls.bits(h, cls.contexts(h, first)):
-            for i in range(2):
-                np.add.at(table[i].reshape(-1), 2 * at[i] + bit, table.dtype.type(1))
+        """Add the tokens of texts to table[context][slot, bit]."""
+        leaves = np.zeros(table.shape[:2], np.int32)
+        cls.tally_leaves(h, first, leaves)
+        for t, x in zip(table, leaves, strict=True):
+            t += _grown(x).astype(t.dtype)
 
     def inputs(self, node: np.ndarray, at: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """The predictors' logits and the gate."""
         x, gate = [self.prior[node]], np.zeros(len(node), np.int64)
         for i in range(2):
-            v = self.table[i][at[i]]
+            v = self.table[i].take(at[i])
             gate = gate * (len(self.LEVELS) + 1) + (v & 7)
             x.append((v >> 3).astype(np.float32) * np.float32(1 / self.SCALE))
         return x, gate
@@ -250,9 +315,21 @@ class Sequence:
                 here = (v & 7) == level
                 near = np.searchsorted((values[1:] + values[:-1]) / 2, (v[here] >> 3) / self.SCALE)
                 code[here] = bins + near
-            codes.append(code)
+            codes.append(self._by_leaf(code))
         out.codes = codes
-        out.near = np.clip(np.rint(self.prior * 4 + PRIORS // 2), 0, PRIORS - 1).astype(np.int64)
+        near = np.clip(np.rint(self.prior * 4 + PRIORS // 2), 0, PRIORS - 1).astype(np.int32)
+        of = np.arange(1 << CLASS_BITS, dtype=np.int32)
+        out.near = [near[(1 << d) | of >> (CLASS_BITS - d)] * (2 * CODES**2) + (of >> (CLASS_BITS - 1 - d) & 1) for d in range(CLASS_BITS)]
+        return out
+
+    @staticmethod
+    def _by_leaf(code: np.ndarray) -> np.ndarray:
+        """The four codes, from the lowest six bits on, that a run of four bits meets: of code[bit, slot]."""
+        leaf = np.arange(code.shape[1], dtype=np.int32)
+        out = np.zeros(len(leaf), np.uint32)
+        for d in range(4):
+            slot = leaf & ~15 | 1 << d | (leaf & 15) >> (4 - d)
+            out |= code[leaf >> (3 - d) & 1, slot].astype(np.uint32) << np.uint32(6 * d)
         return out
 
     @classmethod
@@ -268,13 +345,14 @@ class Sequence:
 
     def seen(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """How often each frequency bin, pair of codes and bit occur together in texts; of left()."""
-        cells, ctx = [np.zeros(0, np.int64)], self.contexts(h, first)
+        cells, ctx = [np.zeros(0, np.int32)], self.contexts(h, first)
         for a in range(0, len(h), BATCH):
-            for node, bit, at in self.bits(h[a : a + BATCH], [c[a : a + BATCH] for c in ctx]):
-                cell = self.near[node]
-                for i in range(2):
-                    cell = cell * CODES + self.codes[i].reshape(-1)[at[i] + (bit << CONTEXT_BITS)]
-                cells.append(cell * 2 + bit)
+            of = h[a : a + BATCH] >> np.uint64(64 - CLASS_BITS)
+            codes = {(half, i): self.codes[i][at] for half, i, at in Slots([c[a : a + BATCH] for c in ctx], [CONTEXT_BITS] * 2).leaves(of)}
+            of = of.astype(np.int64)
+            for b in range(CLASS_BITS):
+                one, two = (codes[b // 4, i] >> np.uint32(6 * (b % 4)) & np.uint32(CODES - 1) for i in range(2))
+                cells.append(self.near[b][of] + ((one << np.uint32(6) | two) << np.uint32(1)).view(np.int32))
         return np.bincount(np.concatenate(cells), minlength=PRIORS * CODES * CODES * 2)
 
     def fit(self, seen: np.ndarray) -> None:
@@ -300,6 +378,16 @@ class Sequence:
                 w[i] = np.clip(w[i] + np.clip(slope / bend, -0.2, 0.2), 0.0, 1.5)
         self.weights = w.astype(np.float32)
 
+    @staticmethod
+    def _steps(doc: np.ndarray, at: int) -> Iterator[tuple[int, int]]:
+        """Runs of whole texts with about BATCH tokens, from at on; doc: the text of each token."""
+        a = 0
+        while a < len(doc):
+            b = min(a + BATCH, len(doc))
+            b = int(np.searchsorted(doc, doc[b - 1], side="right"))
+            yield at + a, at + b
+            a = b
+
     def rate(self, h: np.ndarray, first: np.ndarray, learn: bool = False) -> np.ndarray:
         """log10 of P(class | words before) / P(class) of each word of texts.
 
@@ -316,23 +404,26 @@ class Sequence:
         ctx = self.contexts(h, first)
         own = np.zeros((3, len(size)), np.float32)  # each text's corrections of the weights
         total = np.zeros(len(h), np.float32)
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
+        for a, b in ((a, b) for low, high in zip(edge[:-1], edge[1:], strict=True) for a, b in self._steps(text[order[low:high]], int(low))):
             at = order[a:b]
             doc = text[at]
             lead = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
             mine = own[:, doc]
             pull = np.zeros((3, len(lead)), np.float32)
-            bits = np.zeros(len(at), np.float32)
+            rarity = np.ones(len(at))  # 1 / P(class), at most e ** 96
             for node, bit, slot in self.bits(h[at], [c[at] for c in ctx]):
                 x, gate = self.inputs(node, slot)
-                z = sum((self.weights[i][gate] + mine[i]) * x[i] for i in range(3))
+                z = (self.weights[0][gate] + mine[0]) * x[0]
+                for i in (1, 2):
+                    z += (self.weights[i][gate] + mine[i]) * x[i]
                 sign = (1 - 2 * bit).astype(np.float32)
-                odds = np.exp(np.clip(z, -12, 12) * sign)
-                bits -= np.log1p(odds)
-                miss = -sign * odds / (1 + odds)
+                odds = np.exp(np.clip(z, -12, 12, out=z) * sign)
+                all_odds = 1 + odds
+                rarity *= all_odds
+                miss = -sign * odds / all_odds
                 for i in range(3):
                     pull[i] += np.add.reduceat(miss * x[i], lead)
-            total[at] = bits
+            total[at] = -np.log(rarity)
             own[:, doc[lead]] = np.clip(own[:, doc[lead]] + ADAPT * pull / (CLASS_BITS * np.diff(np.append(lead, len(at)))), -0.5, 0.5)
         share = self.share[(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
         return total / np.log(10) - np.log10(np.maximum(share, 1e-12))
@@ -379,18 +470,18 @@ class Mixer:
         out.__dict__ |= self.__dict__ | {"weights": self.weights.copy(), "map": self.map.copy()}
         return out
 
-    def at(self, words: Bytes) -> Slots:
-        return Slots([words.contexts(o) for o in ORDERS], self.widths)
+    def at(self, words: Bytes, own: np.ndarray | slice = slice(None)) -> Slots:
+        return Slots([words.contexts(o)[own] for o in ORDERS], self.widths)
 
     def inputs(self, slot: list[np.ndarray], bit: np.ndarray, place: np.ndarray, out: int) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors and the gate; out: 1 leaves an occurrence of the bit itself out."""
         logits = np.empty((len(ORDERS), len(bit)), np.float32)
-        bit = bit.astype(np.int64)
+        half = {w: bit.astype(np.int64) << w for w in {*self.widths}} if out else {}
         for i, s in enumerate(slot):
             if out:
-                v = self.less[i].reshape(-1)[s + (bit << self.widths[i])]
+                v = self.less[i].reshape(-1).take(s | half[self.widths[i]])
             elif self.packed is not None:
-                v = self.packed[i][s]
+                v = self.packed[i].take(s)
             else:
                 v = _packed(self.table[i][0][s], self.table[i][1][s], 0.02, self.LEVELS, self.SCALE)
             np.multiply(v >> 3, np.float32(1 / self.SCALE), out=logits[i])
@@ -449,15 +540,16 @@ class Mixer:
         """log10 probability of each word by its bits, of a frozen model; out: 1 leaves an occurrence of the word out."""
         weights = np.ascontiguousarray(self.weights.T, np.float32)
         total = [np.zeros(0)]
-        for begin, stop in words.runs():
+        for begin, stop in words.runs(2 * BATCH):  # about half of a sorted run is shared
             part = words.part(begin, stop)
-            at, sums = self.at(part), np.zeros(len(part.byte), np.float32)
-            for node, bit in part.bits():
-                logits, gate = self.inputs(at.step(node), bit, part.place, out)
+            own, same = part.beginnings()
+            at, place, sums = self.at(part, own), part.place[own], np.zeros(len(own), np.float32)
+            for node, bit in part.bits(own):
+                logits, gate = self.inputs(at.step(node), bit, place, out)
                 z = self.logit(logits, gate, weights)
                 near = np.rint((z + np.float32(12)) * np.float32(FINE)).astype(np.int64)
                 sums += self.cost[(bit.astype(np.int64) * GATES + gate) * (24 * FINE + 1) + near]
-            total.append(np.bincount(part.owner, sums, len(part.size)))
+            total.append(np.bincount(part.owner, sums[same], len(part.size)))
         return np.concatenate(total)
 
 
@@ -512,73 +604,88 @@ def word_counts(docs: DataFrame, text: str, train: Column) -> DataFrame:
 
 
 def _blocks(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The tables in numbered blocks of one size, without empty ones."""
+    """The tables in numbered blocks of one size, without empty ones: float64 if the table is, else float32."""
     block = 0
     for t in tables:
         for at in range(0, t.size, BLOCK):
-            body = t.reshape(-1)[at : at + BLOCK].astype(np.float32)
+            body = t.reshape(-1)[at : at + BLOCK]
             if body.any():
+                body = body.astype(np.float64 if t.dtype == np.float64 else np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([body.tobytes()], pa.binary())], names=["block", "body"])
             block += 1
 
 
 def _summed(blocks: DataFrame, out: list[np.ndarray]) -> list[np.ndarray]:
-    """The sums of all tasks' blocks, put into out."""
+    """The sums of all tasks' blocks, put into out; blocks have out's kind of numbers."""
+    kind = out[0].dtype
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.float64)
         for x in t["body"]:
-            total += np.frombuffer(x.as_py(), np.float32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            total += np.frombuffer(x.as_py(), kind)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
     places = [t.reshape(-1)[at : at + BLOCK] for t in out for at in range(0, t.size, BLOCK)]
     # in two steps, so that no task reads a block of more than some dozens of tasks at once
     some = blocks.withColumn("part", F.spark_partition_id() % SUMS).groupBy("block", "part").applyInArrow(add, "block int, body binary")
     summed = written(some.groupBy("block").applyInArrow(add, "block int, body binary"), "tables")
     for r in summed.toLocalIterator():  # one part after another: the driver never holds the tables twice
-        places[r.block][:] = np.frombuffer(r.body, np.float32)
+        places[r.block][:] = np.frombuffer(r.body, kind)
     discard(summed)
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Bytes, pa.RecordBatch]]:
-    """Runs of rows with a bounded number of bytes of words."""
-    for b in batches:
+def _pieces(batches: Iterator[pa.RecordBatch], ordered: bool = False) -> Iterator[tuple[Bytes, pa.RecordBatch]]:
+    """Runs of rows with a bounded number of bytes of words; ordered: sorted by the word, SORTED rows or a batch at once."""
+    for b in _sorted(batches) if ordered else batches:
         text = column(b, "word").cast(pa.string(), safe=False)
         b = b.set_column(b.schema.get_field_index("word"), "word", text)
         for part in slices(iter([b]), "word", 500_000):
             yield of_strings(column(part, "word")), part
 
 
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(x.num_rows for x in some) >= SORTED:
+            yield from pa.Table.from_batches(some).sort_by("word").combine_chunks().to_batches()
+            some = []
+    if some:
+        yield from pa.Table.from_batches(some).sort_by("word").combine_chunks().to_batches()
+
+
 def _tables(words: DataFrame, bits: list[int]) -> list[np.ndarray]:
     """Counts of all training words in the predictors' tables, summed over a bounded number of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [np.zeros((2, 1 << n)) for n in bits]
-        for words, part in _pieces(batches):
-            tally(words, column(part, "c").to_numpy(), table)
-        yield from _blocks(table)
+        table = [np.zeros(1 << n) for n in bits]
+        for words, part in _pieces(batches, True):
+            _tally_leaves(words, column(part, "c").to_numpy(), table)
+        yield from _blocks([t.astype(np.float32) for t in table])
 
     # each task sends its tables on, so they are an eighth as many as elsewhere
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = words.where("c > 0").select("word", "c").coalesce(min(2000, max(12, parts // 8)))
-    return _summed(few.mapInArrow(run, "block int, body binary"), [np.zeros((2, 1 << n), np.float32) for n in bits])
+    leaves = _summed(few.mapInArrow(run, "block int, body binary"), [np.zeros(1 << n, np.float32) for n in bits])
+    return [np.ascontiguousarray(_grown(x).T) for x in leaves]
 
 
 def _sequence_tables(texts: DataFrame) -> np.ndarray:
     """Counts of all tokens of the texts in the tables of words before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << CONTEXT_BITS, 2), np.int32)
+        table = np.zeros((2, 1 << CONTEXT_BITS), np.int32)
         for b in slices(batches, "__text"):
             w = cut(*buffers(column(b, "__text")), lower=True)
             if len(w.start):
-                Sequence.tally(w.hash, w.first, table)
+                Sequence.tally_leaves(w.hash, w.first, table)
         yield from _blocks([table])
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = texts.coalesce(min(2000, max(12, parts // 8)))
-    return _summed(few.mapInArrow(run, "block int, body binary"), [np.zeros((2, 1 << CONTEXT_BITS, 2), np.float32)])[0]
+    leaves = _summed(few.mapInArrow(run, "block int, body binary"), [np.zeros((2, 1 << CONTEXT_BITS), np.float32)])[0]
+    return np.stack([_grown(x) for x in leaves])
 
 
 def _sequence(texts: DataFrame, rated: DataFrame, total: int) -> Sequence:
@@ -596,21 +703,19 @@ def _sequence(texts: DataFrame, rated: DataFrame, total: int) -> Sequence:
 def _seen(texts: DataFrame, model: Sequence) -> np.ndarray:
     """Sequence.seen of all texts."""
     shared = texts.sparkSession.sparkContext.broadcast(model.left())
+    cells = PRIORS * CODES * CODES * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, total = shared.value, np.zeros(PRIORS * CODES * CODES * 2, np.int64)
+        left, total = shared.value, np.zeros(cells)
         for b in slices(batches, "__text"):
             w = cut(*buffers(column(b, "__text")), lower=True)
             if len(w.start):
                 total += left.seen(w.hash, w.first)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+        yield from _blocks([total])
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = texts.coalesce(min(2000, max(12, parts // 8)))
-    cells = few.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(PRIORS * CODES * CODES * 2, np.int64)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    out = _summed(few.mapInArrow(run, "block int, body binary"), [np.zeros(cells)])[0].astype(np.int64)
     shared.destroy()
     return out
 
@@ -684,7 +789,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for words, part in _pieces(batches):
+        for words, part in _pieces(batches, True):
             c = column(part, "c").to_numpy()
             less, again = np.zeros(len(c), np.float32), np.flatnonzero(c > 1)
             less[again] = m.bits(of_strings(column(part, "word").take(pa.array(again))), 1)

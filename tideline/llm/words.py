@@ -32,10 +32,11 @@ def _splitmix(seed: int, n: int) -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that sums of products spread over all bits."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)  # h is new, the caller's stays
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 _BYTE = _splitmix(11, 256) | np.uint64(1)
@@ -50,6 +51,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POWERS = _powers(_STEP, 4096)
+#: Value of each byte at each of a span's first places, and the spans that are hashed together, in the processor's cache.
+_PLACES = _POWERS[:24, None] * _BYTE
+_SPANS = 1 << 15
 
 #: Byte classes. SPACED: [^\x20\x09-\x0D]+ ; ALNUM: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 SPACED = np.ones(256, bool)
@@ -104,16 +108,35 @@ class Words:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; spans are disjoint and ascending."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """64-bit hash of each byte span."""
+    out = (end - start).astype(np.uint64)
+    for a in range(0, len(start), _SPANS):
+        out[a : a + _SPANS] += _span_sums(data, start[a : a + _SPANS], end[a : a + _SPANS])
+    return mix(out)
+
+
+def _span_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of each span's byte values times powers: one place of all spans after another, the rest of long spans at once."""
     length = end - start
-    powers = _POWERS if length.max() <= len(_POWERS) else _powers(_STEP, int(length.max()))
-    total = int(length.sum())
-    base = np.cumsum(length) - length
-    within = np.arange(total) - np.repeat(base, length)
-    value = _BYTE[data[within + np.repeat(start, length)]] * powers[within]
-    return mix(np.add.reduceat(value, base) + length.astype(np.uint64))
+    size = np.minimum(length, len(_PLACES)).astype(np.uint8)
+    order = np.argsort(size, kind="stable")
+    skip = np.searchsorted(size[order], np.arange(len(_PLACES)), side="right")  # spans that end before a place
+    at, sums = start[order], np.zeros(len(start), np.uint64)
+    for k, a in enumerate(skip.tolist()):
+        if a == len(at):
+            break
+        sums[a:] += _PLACES[k].take(data.take(at[a:] + k))
+    out = np.empty_like(sums)
+    out[order] = sums
+    long = np.flatnonzero(length > len(_PLACES))
+    if len(long):
+        start, length = start[long] + len(_PLACES), length[long] - len(_PLACES)
+        most = int(length.max()) + len(_PLACES)
+        powers = _POWERS if most <= len(_POWERS) else _powers(_STEP, most)
+        base = np.cumsum(length) - length
+        within = np.arange(int(length.sum())) - np.repeat(base, length)
+        out[long] += np.add.reduceat(_BYTE[data[within + np.repeat(start, length)]] * powers[within + len(_PLACES)], base)
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,21 +159,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, lower: bool = False) -> Words:
     """The words of texts given as one byte array and offsets."""
-    if lower:
-        data = LOWER[data]
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
-    mask = inside[data]
-    edge = np.zeros(n + 1, bool)
+    raw = data.tobytes()
+    if lower:
+        raw = raw.translate(LOWER.tobytes())
+        data = np.frombuffer(raw, np.uint8)
+    mask = np.zeros(n + 2, bool)
+    mask[1:-1] = np.frombuffer(raw.translate(inside.tobytes()), bool)
+    before, here = mask[:-1], mask[1:]
+    edge = before != here
     edge[offsets] = True
-    before = np.zeros(n + 1, bool)
-    before[1:] = mask
-    here = np.zeros(n + 1, bool)
-    here[:n] = mask
-    start = np.flatnonzero(here & (~before | edge))
-    end = np.flatnonzero(before & (~here | edge))
+    start = np.flatnonzero(here & edge)
+    end = np.flatnonzero(before & edge)
     first = np.searchsorted(start, offsets)
     return Words(data, offsets, start, end, first)
 
